@@ -11,11 +11,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, packing, sharding, token_counts
+from . import bpe_codec, exact_dedup, packing, sharding, token_counts, topk, url_filters
 from .common import table
 
 #: Where a tokenizer file is, by name.
 TOKENIZERS: Callable[[str], str] = public_tokenizers.path
+#: URL rules: verdict, host and path.
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The list of blocked URLs: each seventh page of one host in each language. It does not grow with the tables."""
+    return spark.range(0, 100_000, 7).select(F.explode(F.array(*(F.lit(x) for x in ("de", "en", "es", "fr")))).alias("lang"), "id").select(F.format_string("http://tionsh.example.net/%s/%d", "lang", "id").alias("url"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +38,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), RULES, listed_urls(spark))
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 5, every=50, scale=256)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
     text = F.coalesce("text", F.lit(""))
@@ -45,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op4_url_filter": op4_url_filter,
+    "op7_top_k": op7_top_k,
     "op8_sharding": op8_sharding,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
@@ -57,4 +74,36 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size,
                row_number() OVER w = 1 AS kept, sha256(n) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY n ORDER BY length(t) DESC, doc_id)""",
+    "op4_url_filter": r"""
+        WITH a AS (
+            SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), b AS (
+            SELECT page_id, rest,
+                   translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+                   array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+                       lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid)(=.*)?$'))), '&') AS params
+            FROM a
+        ), rules(verdict, host, path) AS (
+            VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+        ), fitting AS (
+            SELECT b.page_id, r.verdict, r.host || r.path AS rule,
+                   row_number() OVER (PARTITION BY b.page_id ORDER BY length(r.host || r.path) DESC, r.host || r.path DESC) AS n
+            FROM b JOIN rules r ON (b.host = r.host OR ends_with(b.host, '.' || r.host)) AND starts_with(b.path, r.path)
+        ), listed AS (
+            SELECT 'tionsh.example.net/' || l || '/' || i AS known FROM range(0, 100000, 7) t(i), (VALUES ('de'), ('en'), ('es'), ('fr')) v(l)
+        )
+        SELECT b.page_id, b.host, b.path, f.rule,
+               coalesce(f.verdict, CASE WHEN regexp_replace(b.host, '^www\.', '') || regexp_replace(b.path, '/+$', '')
+                   || CASE WHEN params <> '' THEN '?' || params ELSE '' END IN (SELECT known FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM b LEFT JOIN fitting f ON f.page_id = b.page_id AND f.n = 1""",
+    "op7_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c)))
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0
+        ), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 5""",
 }
