@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, packing, sharding, token_counts, topk, url_filters
+from . import bpe_codec, exact_dedup, packing, quality, sharding, token_counts, topk, url_filters
 from .common import table
 
 #: Where a tokenizer file is, by name.
@@ -42,6 +42,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), RULES, listed_urls(spark))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), 5, every=50, scale=256)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
     "op7_top_k": op7_top_k,
     "op8_sharding": op8_sharding,
     "op10_bpe_round_trip": op10_bpe_round_trip,
