@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, packing, quality, sharding, token_counts, topk, url_filters
+from . import bpe_codec, exact_dedup, jaccard, packing, quality, sharding, token_counts, topk, url_filters
 from .common import table
 
 #: Where a tokenizer file is, by name.
@@ -47,6 +47,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=(90, 100))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), 5, every=50, scale=256)
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_top_k": op7_top_k,
     "op8_sharding": op8_sharding,
     "op10_bpe_round_trip": op10_bpe_round_trip,
@@ -103,6 +108,20 @@ ORACLES: dict[str, str] = {
                coalesce(f.verdict, CASE WHEN regexp_replace(b.host, '^www\.', '') || regexp_replace(b.path, '/+$', '')
                    || CASE WHEN params <> '' THEN '?' || params ELSE '' END IN (SELECT known FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
         FROM b LEFT JOIN fitting f ON f.page_id = b.page_id AND f.n = 1""",
+    "op6_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS sh FROM w
+        ), x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s), p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(v, c) AS (
+            SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v
+        )
+        SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE r.v = s.doc_id) AS component_id FROM s""",
     "op7_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
