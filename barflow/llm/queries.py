@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, jaccard, packing, quality, sharding, token_counts, topk, url_filters
+from . import bpe_codec, exact_dedup, jaccard, packing, pii, quality, sharding, token_counts, topk, url_filters
 from .common import table
 
 #: Where a tokenizer file is, by name.
@@ -61,6 +61,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base, added = F.col("base"), F.col("added")
+    joined = lambda extra: F.array_join(F.concat(*(pii.kind_spans(base[k], extra, k) for k in pii.KINDS)), ",")
+    return found.select("doc_id", *(F.size(base[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS), F.sha2(joined(None), 256).alias("base_sha256"), joined(added).alias("spans"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"))
 
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_top_k": op7_top_k,
     "op8_sharding": op8_sharding,
+    "op9_pii": op9_pii,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 

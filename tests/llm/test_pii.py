@@ -1,0 +1,90 @@
+"""Personal data: base spans against Python's own search, added spans on examples, redaction."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from barflow.llm import pii
+from barflow.llm.queries import op9_pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base(text):
+    out = {}
+    for kind, p in PATTERNS.items():
+        out[kind] = []
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+            if good:
+                out[kind].append(m.span())
+    return out
+
+
+def samples():
+    r = random.Random(8)
+    parts = ["a.b@c-d.com", "@", "x@y", "..", "é", "🙂", "10.0.0.1", "256.1.1.1", "1.2.3.4.5.6.7.8", "0001.02.3.4", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "5500005555555559", "378282246310005", "+1 (212) 555-0199", "+12", "+1..2", "+49 30 1234567 8", " ", "  ", "-", "1", "23", ".", "a", "_", "%", "\n", "b@c.d", "b@c.d@e.f", "4111 1111 1111 1112", "(", ")", "word", "<", "+"]
+    out = ["", None, "a" * 30000 + " " + "1" * 3000, "mail me: jo_ann@ex-ample.co.uk, or +1 (212) 555-0199.", "x@y.z" * 3, "10.0.0.1 " * 700]
+    return out + ["".join(r.choice(parts) for _ in range(r.randrange(1, 30))) for _ in range(1500)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "b", 1) for i, t in enumerate(samples())], "doc_id long, text string, base string, added int")
+
+
+def test_base_spans(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = op9_pii(spark, str(tmp_path))
+    assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString())
+    for r in plan.collect():
+        want = base(samples()[r.doc_id] or "")
+        text = ",".join(f"{k}:{a}:{b}" for k in PATTERNS for a, b in want[k])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(want[k]) for k in PATTERNS], samples()[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(text.split(",")) <= set(r.spans.split(",")) | {""}
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "hit"),
+    [
+        ("contact ann.lee42 (at) mail dot com today", "email", "ann.lee42 (at) mail dot com"),
+        ("from host 10[.]0[.]0[.]7 again", "ip", "10[.]0[.]0[.]7"),
+        ("thing call: (212) 555-0199 now", "phone", "(212) 555-0199"),
+        ("pay 378282246310005 now", "card", "378282246310005"),
+        ("the +1 (269) 555-3296 4532015112830366 of", "card", "4532015112830366"),
+    ],
+)
+def test_added_spans(spark, text, kind, hit):
+    got = pii.find(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().added
+    assert (kind, hit) in {(c.kind, text[c.start : c.end]) for c in got}
+
+
+def test_nothing_is_added_to_clean_prose(spark):
+    clean = ["met at noon.Then left", "order 123-456-7890 part", "1234567812345678 things", "on 2024-01-12 at 12:30, v 1.2.3", "The and at ertionan. In onth."]
+    got = pii.find(spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string")).collect()
+    assert [r.added for r in got] == [[]] * len(clean)
+
+
+def test_redaction(spark, docs):
+    df = spark.createDataFrame([(1, "é mail a@b.com or +1.10.0.0.1.22 end", "en"), (2, "clean", "fr"), (3, None, None), (3, "", "x")], "doc_id long, text string, lang string")
+    got = [tuple(r) for r in pii.redact(df).collect()]
+    assert got == [(1, "é mail [PRIVATE] or [PRIVATE] end", "en"), (2, "clean", "fr"), (3, "", None), (3, "", "x")]
+    for r in pii.redact(docs).collect():
+        spans = sorted(s for k in base(samples()[r.doc_id] or "").values() for s in k)
+        if not spans:
+            continue
+        assert "[PRIVATE]" in r.text
+    assert pii.find(df.limit(0)).count() == 0
