@@ -9,13 +9,14 @@ shares an index key is compared by bounds, then verified on whole sets.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, cut, raw, slices
@@ -101,6 +102,13 @@ def count_table(df: DataFrame, hashes) -> np.ndarray:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffles of frames that are no longer used. What they gave is checkpointed by then; without this they lie on
+    the disks until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Index:
     """Index keys and bounds of one set, for a similarity of num / den."""
 
@@ -322,16 +330,23 @@ class Join:
 
     def run(self) -> DataFrame:
         base, _ = self._index()
+        sweep(self.spark)
         # one set stands for all rows with the same
         sets = base.filter("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
         sets = cut(sets)
+        sweep(self.spark)
         entries = sets.select("id", F.explode("keys").alias("key"))
         lists = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first")).filter("members > 1")
-        entries = cut(entries.join(cut(lists), "key"))
+        lists = cut(lists)
+        sweep(self.spark)
+        entries = cut(entries.join(lists, "key"))
+        del lists
+        sweep(self.spark)
         sketches = sets.select("id", "n", "sketch")
         # first every member of a list with the list's smallest, then what is still apart
         stars = entries.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
         links = self.verify(self._bounded(stars, sketches))
+        sweep(self.spark)
         known = components(links)
         open_ = entries.filter("members > 2").select("id", "key", "members")
         for every in (False, True):
