@@ -42,7 +42,7 @@ def interval_vwap(d_turnover: Column, d_volume: Column, divisor: Column | float,
     return F.when(d_volume == 0, F.lit(None).cast("double")).otherwise(F.when(odd, last).otherwise(raw))
 
 
-def vwap_fell_back(vwap: Column, d_turnover: Column, d_volume: Column, divisor: Column | float, last: Column, tick: Column | float, most_ticks: float) -> Column:
+def vwap_fell_back(d_turnover: Column, d_volume: Column, divisor: Column | float, last: Column, tick: Column | float, most_ticks: float) -> Column:
     raw = d_turnover / F.nullif(d_volume * divisor, F.lit(0.0))
     return (d_volume > 0) & ((d_turnover <= 0) | F.coalesce(F.abs(raw - last) > F.lit(most_ticks) * tick, F.lit(True)))
 
