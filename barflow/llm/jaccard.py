@@ -53,7 +53,7 @@ def shingles(text: bytes, words: int, memo: Memo) -> np.ndarray:
     if not len(w):
         return w
     k = min(words, len(w))
-    h = np.full(len(w) - k + 1, np.uint64(k) * MULTIPLIER)
+    h = np.full(len(w) - k + 1, np.uint64(k * int(MULTIPLIER) % 2**64))
     for j in range(k):
         h = (h + w[j : len(w) - k + 1 + j]) * MULTIPLIER
         h ^= h >> np.uint64(29)
