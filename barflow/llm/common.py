@@ -44,15 +44,19 @@ def raw(column: pa.Array) -> list[bytes]:
 
 
 class Memo(dict):
-    """A table of fn's values that starts anew when full: memory stays bounded, values do not depend on it."""
+    """A bounded table of fn's values. When full, what was asked for since the last time stays, older entries go; values do not depend
+    on it."""
 
     def __init__(self, fn: Callable, limit: int):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.half, self.old = fn, limit // 2, {}
 
     def __missing__(self, key):
-        value = self.fn(key)
-        if len(self) >= self.limit:
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
         self[key] = value
         return value

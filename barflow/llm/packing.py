@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import Memo, slices, texts
 
 #: Documents in a group: enough that first-fit decreasing leaves about a thousandth of padding, few enough for any executor.
 GROUP_ROWS = 2048
-#: Words that each Python worker remembers.
+#: Words, and parts of words, that each Python worker remembers.
 MEMO = 400_000
+#: Fixed value: the pattern of the tokenizers that are supported.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that str.split() takes for white space and the tokenizer does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -51,30 +56,39 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 class Words:
     """Token ids of a text by the tokenizer library, remembered by word.
 
-    For tokenizers that drop white space and never look across it, the ids of a text are those of its words in turn.
+    For tokenizers that drop white space and never look across it, the ids of a text are those of its words in turn. Words of ASCII and
+    Western letters are split here and their parts go to the library's model, which is what the library does with them; others go
+    through all of it.
     """
 
-    def __init__(self, spec: str, dtype: str):
+    #: Words that are split here: without special strings, and with characters that normalisation only lower-cases.
+    SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+    def __init__(self, spec: str, wide: int):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(spec)
-        self.dtype = dtype
-        self.memo: Memo = Memo(self._ids, MEMO)
+        self.kind = {2: "H", 4: "I"}[wide]
+        self.letters = dict(enumerate(byte_letters()))
+        self.part = Memo(self._part, MEMO)
+        self.memo = Memo(self._word, MEMO)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array(self.kind, ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        return self._pack([t.id for t in self.lib.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))])
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _word(self, word: str) -> bytes:
+        if self.SIMPLE.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.part.__getitem__, self.PARTS.findall(word.lower())))
+        return self._pack(self.lib.encode(word, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
         if any(c in text for c in _ODD):
-            return self._ids(text)
-        words = text.split()
-        if new := set(words) - self.memo.keys():
-            new = list(new)
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-            for w, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join(map(self.memo.__getitem__, words))
+            return self._pack(self.lib.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.memo.__getitem__, text.split()))
 
 
 def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1, group_rows: int = GROUP_ROWS, seed: int = 17) -> DataFrame:
@@ -93,8 +107,8 @@ def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "t
     with open(path, encoding="utf-8") as f:
         spec = f.read()
     model = json.loads(spec)
-    pre = [p["type"] for p in model["pre_tokenizer"].get("pretokenizers", [])]
-    if pre != ["Split", "ByteLevel"] or not model["model"]["end_of_word_suffix"] or model["pre_tokenizer"]["pretokenizers"][0]["behavior"] != "Removed":
+    steps, norm = model["pre_tokenizer"].get("pretokenizers", []), (model["normalizer"] or {}).get("normalizers", [])
+    if [p["type"] for p in steps] != ["Split", "ByteLevel"] or steps[0]["pattern"] != {"Regex": SPLIT} or steps[0]["behavior"] != "Removed" or [n["type"] for n in norm] != ["NFC", "Replace", "Lowercase"]:
         raise ValueError(f"{path} is not a tokenizer that drops white space")
     dtype = "<u2" if max([end_id, *model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"])]) < 1 << 16 else "<u4"
     wide = np.dtype(dtype).itemsize
@@ -104,7 +118,7 @@ def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "t
     kind = rows.schema[0].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = Words(shared.value, dtype), np.array([end_id], dtype).tobytes()
+        words, end = Words(shared.value, wide), np.array([end_id], dtype).tobytes()
         for batch in slices(batches):
             of, starts, totals, ids = [], [], [], []
             for k, text in enumerate(texts(batch.column(1))):
