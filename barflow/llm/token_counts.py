@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Bpe, SegmentMap
-from .common import raw, slices
+from .common import Memo, raw, slices
 
-#: Segments that each Python worker remembers.
-MEMO = 250_000
+#: Segments, and words, that each Python worker remembers.
+MEMO = 500_000
 
 
 def count_tokens(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
@@ -31,7 +31,8 @@ def count_tokens(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe: Bpe = shared.value
         alone, merge, words = bpe.alone, bpe.merge, bpe.words
-        counts = SegmentMap(lambda s: sum(1 if w in alone else len(merge(w)) for w in words(s)), MEMO)
+        tokens = Memo(lambda w: 1 if w in alone else len(merge(w)), MEMO)
+        counts = SegmentMap(lambda s: sum(map(tokens.__getitem__, words(s))), MEMO)
         for batch in slices(batches):
             n_bytes, n_tokens = [], []
             for text in raw(batch.column(1)):
