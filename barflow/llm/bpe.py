@@ -142,6 +142,14 @@ def plain(text: str) -> list[str] | None:
     return chunks if "" not in chunks else None
 
 
+def fits(chunk: str) -> str | None:
+    """The segment that a chunk after the first stands for; None if white space at its edges belongs with its neighbours'."""
+    body = chunk[1:] if chunk[:1] == "\n" else chunk
+    if not body or _EDGE.match(body[0]) or _EDGE.match(body[-1]):
+        return None
+    return chunk if chunk[0] == "\n" else " " + chunk
+
+
 class SegmentMap:
     """Values of fn for each segment of a text, in order, remembered by segment."""
 
@@ -150,11 +158,8 @@ class SegmentMap:
         self.chunk = Memo(self._chunk, limit)
 
     def _chunk(self, chunk: str):
-        """None if the chunk's white space belongs with its neighbours'."""
-        body = chunk[1:] if chunk[0] == "\n" else chunk
-        if not body or _EDGE.match(body[0]) or _EDGE.match(body[-1]):
-            return None
-        return self.whole.fn(chunk if chunk[0] == "\n" else " " + chunk)
+        segment = fits(chunk)
+        return None if segment is None else self.whole.fn(segment)
 
     def values(self, text: str) -> list:
         if (chunks := plain(text)) and not _EDGE.match(chunks[0][-1]):

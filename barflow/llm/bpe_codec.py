@@ -7,17 +7,19 @@ compatibility (see bpe.Pairs). A word whose pairs all pass is encoded right; onl
 from __future__ import annotations
 
 import hashlib
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import Bpe, Pairs, segments
+from .bpe import Bpe, Pairs, fits, plain, segments
 from .common import slices, texts
 
-#: Words and segments that each Python worker remembers.
-MEMO = 200_000
+#: Segments that each Python worker remembers, twice.
+MEMO = 400_000
+DECIMAL, BYTES, PACKED = (operator.itemgetter(k) for k in range(3))
 
 
 class Codec:
@@ -27,7 +29,9 @@ class Codec:
         self.bpe, self.limit = bpe, limit
         self.pairs = Pairs(bpe)
         self.longest = max(map(len, bpe.alone))
-        self.known: dict[str, tuple[list[int], str, bytes]] = {}
+        #: of segments, and of chunks that stand for a segment of their own (None if they do not): decimal ids, bytes, packed ids
+        self.known: dict[str, tuple[str, bytes, bytes]] = {}
+        self.chunks: dict[str, tuple[str, bytes, bytes] | None] = {}
         self.merged = 0
 
     def greedy(self, word: str) -> list[int]:
@@ -54,29 +58,47 @@ class Codec:
             out[k] = [self.bpe.vocab[p] for p in self.bpe.merge(words[k])]
         return out
 
-    def learn(self, cut: list[list[str]]) -> None:
-        """Takes care that each segment in cut is known."""
-        new = set().union(*cut) - self.known.keys()
-        if not new:
-            return
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = set().union(*cut)
-        split = [(s, self.bpe.words(s)) for s in new]
-        words = list({w for _, ws in split for w in ws})
-        coded = dict(zip(words, self.encode_words(words), strict=True))
-        spell = self.bpe.token_bytes
-        for s, ws in split:
-            ids = [i for w in ws for i in coded[w]]
-            self.known[s] = (ids, ",".join(map(str, ids)), b"".join(map(spell.__getitem__, ids)))
-
-    def encode_batch(self, batch: list[str]) -> list[list[tuple[list[int], str, bytes]]]:
-        """For each text its pieces in order: ids, the same as text, and the bytes that the ids decode to."""
+    def learn(self, new: list[str]) -> list[tuple[str, bytes, bytes]]:
+        """What is remembered of each of the segments."""
+        split = [self.bpe.words(s) for s in new]
+        words = list({w for ws in split for w in ws})
+        spell, coded = self.bpe.token_bytes, {}
+        for w, ids in zip(words, self.encode_words(words), strict=True):
+            coded[w] = (",".join(map(str, ids)), b"".join(map(spell.__getitem__, ids)), np.array(ids, np.int32).tobytes())
+        return [(",".join(coded[w][0] for w in ws), b"".join(coded[w][1] for w in ws), b"".join(coded[w][2] for w in ws)) for ws in split]
+
+    def _remember(self, table: dict, wanted: set[str], segment) -> None:
+        new = [k for k in wanted if k not in table]
+        if len(table) + len(new) > self.limit:
+            table.clear()
+            new = list(wanted)
+        fit = [k for k in new if segment(k) is not None]
+        table.update(dict.fromkeys(new))
+        table.update(zip(fit, self.learn([segment(k) for k in fit]), strict=True))
+
+    def encode_batch(self, batch: list[str]) -> list[list[tuple[str, bytes, bytes]]]:
+        """For each text its pieces in order: decimal ids joined by commas, the bytes that the ids decode to, and 32-bit ids."""
         parts = [self.bpe.parts(t) for t in batch]
-        cut = [[segments(p) if k % 2 == 0 else [p] for k, p in enumerate(ps)] for ps in parts]
-        self.learn([s for doc in cut for s in doc[::2]])
-        special = {s: ([i], str(i), s.encode()) for s, i in self.bpe.special.items()}
-        return [[p for k, segs in enumerate(doc) for p in map((special if k % 2 else self.known).__getitem__, segs)] for doc in cut]
+        chunked = [[plain(p) for p in ps[::2]] for ps in parts]
+        self._remember(self.chunks, set().union(*(c[1:] for cs in chunked for c in cs if c)), fits)
+        special = {s: (str(i), s.encode(), np.array([i], np.int32).tobytes()) for s, i in self.bpe.special.items()}
+        out: list[list] = []
+        slow: list[tuple[list, int, list[str]]] = []
+        for ps, cs in zip(parts, chunked, strict=True):
+            doc: list = []
+            for k, p in enumerate(ps):
+                if k % 2:
+                    doc.append([special[p]])
+                    continue
+                c = cs[k // 2]
+                got = list(map(self.chunks.__getitem__, c[1:])) if c and fits(c[0]) is not None else [None]
+                slow.append((doc, len(doc), segments(p) if None in got else [c[0]]))
+                doc.append([] if None in got else got)
+            out.append(doc)
+        self._remember(self.known, set().union(*(s for _, _, s in slow)), lambda s: s)
+        for doc, k, segs in slow:
+            doc[k] = [*map(self.known.__getitem__, segs), *doc[k]]
+        return [[x for piece in doc for x in piece if x[0]] if len(doc) > 1 else [x for x in doc[0] if x[0]] for doc in out]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, ids that the model lacks are passed over."""
@@ -95,8 +117,10 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in slices(batches):
-            ids = [[i for p in doc for i in p[0]] for doc in codec.encode_batch(texts(batch.column(1)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+            ids = [np.frombuffer(b"".join(map(PACKED, doc)), np.int32) for doc in codec.encode_batch(texts(batch.column(1)))]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [id_col, "ids"])
 
     rows = df.select(id_col, text_col)
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
@@ -127,9 +151,9 @@ def round_trip(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
         codec = Codec(shared.value)
         for batch in slices(batches):
             coded = codec.encode_batch(texts(batch.column(1)))
-            n = [sum(len(p[0]) for p in doc) for doc in coded]
-            ids = [hashlib.sha256(",".join(p[1] for p in doc).encode()).hexdigest() for doc in coded]
-            back = [hashlib.sha256(b"".join(p[2] for p in doc).decode("utf-8", "replace").encode()).hexdigest() for doc in coded]
+            n = [sum(map(len, map(PACKED, doc))) // 4 for doc in coded]
+            ids = [hashlib.sha256(",".join(map(DECIMAL, doc)).encode()).hexdigest() for doc in coded]
+            back = [hashlib.sha256(b"".join(map(BYTES, doc)).decode("utf-8", "replace").encode()).hexdigest() for doc in coded]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
