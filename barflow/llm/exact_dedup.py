@@ -24,8 +24,8 @@ def _better(a: tuple, b: tuple) -> tuple:
     return min(a, b, key=lambda x: (-x[0], x[1] is None, x[1] or 0, x[2]))
 
 
-def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, keep_id, group_size, kept, text_sha256 of each row of df, dropped ones too.
+def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """id_col, keep_id, group_size, kept, text_sha256 of each row of df, dropped ones too; and row_col, a long, if it is named.
 
     Texts are equal if the same without blanks (BLANK). Of equal texts the row with the most code points in the original text
     stays, then the one with the smallest id. Null text counts as empty, and empty texts equal each other. Null ids come after
@@ -36,8 +36,9 @@ def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     in full and settles the groups that lie within it. Only the first and last key of a task can go on in another; those few
     texts (two a task) are compared in one more, small aggregation.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(row_col).alias("own")] if row_col else []))
     kind = rows.schema[0].dataType.simpleString()
+    own, own_kind = (["own"], ", own long") if row_col else ([], "")
 
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -45,12 +46,12 @@ def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             points = [len(t.decode()) for t in texts]
             norm = [t.translate(None, BLANK) for t in texts]
             hashes = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in norm]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.int64()), pa.array([t[:HEAD] for t in norm], pa.binary()), pa.array(hashes, pa.int64()), pa.array(norm, pa.binary())], ["id", "points", "head", "hash", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.int64()), pa.array([t[:HEAD] for t in norm], pa.binary()), pa.array(hashes, pa.int64()), pa.array(norm, pa.binary()), *batch.columns[2:]], ["id", "points", "head", "hash", "norm", *own])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 40
-        names = ["id", "row", "keep", "keep_points", "keep_row", "size", "sha", "run", "norm"]
-        kinds = [id_type[0], pa.int64(), id_type[0], pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        names = ["id", "row", "keep", "keep_points", "keep_row", "size", "sha", "run", "norm", *own]
+        kinds = [id_type[0], pa.int64(), id_type[0], pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), *(pa.int64() for _ in own)]
         out: list[tuple] = []
         n = runs = 0
 
@@ -58,15 +59,15 @@ def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             nonlocal runs
             runs += 1
             best, sha = run["best"], hashlib.sha256(run["norm"]).hexdigest()
-            for k, (i, row) in enumerate(run["rows"]):
-                out.append((i, row, best[1], best[0], best[2], len(run["rows"]), sha, task + runs if edge else None, run["norm"] if edge and k == 0 else None))
+            for k, (i, row, *more) in enumerate(run["rows"]):
+                out.append((i, row, best[1], best[0], best[2], len(run["rows"]), sha, task + runs if edge else None, run["norm"] if edge and k == 0 else None, *more))
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         key, first, held = None, True, []
         for batch in slices(batches):
-            for i, points, head, hashed, norm in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for i, points, head, hashed, norm, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n += 1
                 me = (points, i, task + n)
                 if key != (head, hashed):
@@ -76,7 +77,7 @@ def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 run = held[-1] if held else None
                 if run is None or run["norm"] != norm:
                     held.append(run := {"norm": norm, "rows": [], "best": me})
-                run["rows"].append((i, task + n))
+                run["rows"].append((i, task + n, *more))
                 run["best"] = _better(run["best"], me)
             if len(out) >= 4096:
                 yield batch_of(out)
@@ -87,9 +88,9 @@ def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             yield batch_of(out)
 
     id_type = [pa.int32() if kind == "int" else pa.string() if kind == "string" else pa.int64()]
-    normal = rows.mapInArrow(normalise, f"id {kind}, points long, head binary, hash long, norm binary")
+    normal = rows.mapInArrow(normalise, f"id {kind}, points long, head binary, hash long, norm binary{own_kind}")
     placed = normal.repartitionByRange("head", "hash", "id").sortWithinPartitions("head", "hash", "norm", "id")
-    settled = cut(placed.mapInArrow(settle, f"id {kind}, row long, keep {kind}, keep_points long, keep_row long, size long, sha string, run long, norm binary"))
+    settled = cut(placed.mapInArrow(settle, f"id {kind}, row long, keep {kind}, keep_points long, keep_row long, size long, sha string, run long, norm binary{own_kind}"))
 
     # runs that may go on in another task: at most those of two keys a task
     order = F.struct(-F.col("keep_points"), F.col("keep").isNull(), "keep", "keep_row")
@@ -104,4 +105,5 @@ def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("joint_size", "size").alias("group_size"),
         (F.col("row") == F.coalesce("joint_row", "keep_row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *(F.col(c).alias(row_col) for c in own),
     )

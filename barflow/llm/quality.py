@@ -174,11 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return Model(list(zip(got["__t"].to_pylist(), got["__y"].to_pylist(), strict=True)))
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, held_out, score (0 to 1), predicted (1 if score >= 0.5) of each row, from its whole text alone.
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, held_out, score (0 to 1), predicted (1 if score >= 0.5), and the columns in keep of each row, from its whole text alone.
 
-    Null text counts as empty. Null and repeated ids are scored as any; an empty table gives no rows; other columns are not
-    read. One pass without a shuffle; the model, of the sample's size at most, is broadcast.
+    Null text counts as empty. Null and repeated ids are scored as any; an empty table gives no rows; columns that are not named
+    are not read. One pass without a shuffle; the model, of the sample's size at most, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -187,7 +187,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         memo = model.memo()
         for batch in slices(batches, 256):
             scores = model.score(texts(batch.column(2)), memo)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), *batch.columns[3:]], [id_col, "held_out", "score", "predicted", *keep])
 
-    rows = docs.select(id_col, held_out(id_col).alias("__h"), F.col(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    rows = docs.select(id_col, held_out(id_col).alias("__h"), F.col(text_col), *(F.col(f"`{c}`") for c in keep))
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int{more}")

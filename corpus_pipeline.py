@@ -19,28 +19,40 @@ from barflow.llm.common import cut
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose ids are in ids (a column doc_id), and rows without id: they cannot be told apart, so they stay."""
-    none = docs.filter("doc_id IS NULL")
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns).unionByName(none)
+#: Numbers the rows of a stage's input, so that a decision is about one row whatever its doc_id.
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW. docs must give the same rows in the same order each time it is read, as the Parquet files of a stage do."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _kept(numbered: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of numbered that are in rows (a column ROW), without ROW."""
+    return numbered.join(rows.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score under 0.5) go. It is fitted on labelled documents that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs, quality.fit(docs, labels))
-    return _kept(docs, scored.filter("predicted = 1"))
+    scored = quality.score(docs, quality.fit(docs, labels), keep=tuple(c for c in docs.columns if c != "doc_id"))
+    return scored.filter("predicted = 1").select(docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for blanks one document stays."""
-    return _kept(docs, exact_dedup.find_copies(docs).filter("kept"))
+    """Of texts that are equal but for blanks one row stays, with null and repeated ids as well."""
+    numbered = _numbered(docs)
+    return _kept(numbered, exact_dedup.find_copies(numbered, row_col=ROW).filter("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words a shingle, similarity 0.8 or more) the document with the smallest id stays."""
-    groups = jaccard.near_duplicates(docs, words=5, similarity=(8, 10))
-    return _kept(docs, groups.filter("doc_id = component_id").select("doc_id").distinct())
+    """Of each group of near copies (five words a shingle, similarity 0.8 or more) the row with the smallest id stays; null ids come
+    last, and of equal ids the first row. Rows that share an id are documents of their own."""
+    numbered = _numbered(docs)
+    groups = jaccard.near_duplicates(numbered, id_col=ROW, words=5, similarity=(8, 10)).join(numbered.select(ROW, "doc_id"), ROW)
+    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("best"))
+    return _kept(numbered, best.select(F.col(f"best.{ROW}").alias(ROW)))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
