@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.scalars import aligned, price_bin
 from ..functions.times import epoch_minute
 from ..plans.config import Limits
+from .ticks import verdict_counts
 
 
 def contract_stats(rows: DataFrame, tick: Column | float, session_minutes: int, keys: list[str], *, morning: Column | None = None) -> DataFrame:
-    """One row a contract from its accepted ticks with deltas. Only morning ticks count; deltas come from both sessions. rows may
-    carry per-contract counters (filtered_rows, backwards_rows), which are kept."""
+    """One row a contract from its accepted ticks with deltas. Only morning ticks count; deltas come from both sessions. with_counters
+    adds what was rejected."""
     rows = rows.withColumn("__w", F.lit(True) if morning is None else morning)
     when = lambda c: F.when(F.col("__w"), c)
     agg = rows.groupBy(*keys).agg(
-        F.sum(when(F.col("delta_volume"))).cast("double").alias("total_volume"),
+        F.coalesce(F.sum(when(F.col("delta_volume"))), F.lit(0)).cast("double").alias("total_volume"),
         F.count_if(F.col("__w") & (F.col("delta_volume") > 0)).alias("nonzero_updates"),
         F.count_distinct(when(epoch_minute(F.col("time")))).alias("active_minutes"),
         F.count_distinct(when(price_bin(F.col("price"), tick))).alias("price_bins"),
@@ -27,6 +28,13 @@ def contract_stats(rows: DataFrame, tick: Column | float, session_minutes: int,
     return agg.withColumn("coverage", F.round(F.col("active_minutes") / session_minutes, 10))
 
 
+def with_counters(stats: DataFrame, judged: DataFrame, keys: list[str]) -> DataFrame:
+    """stats with filtered_rows (out of session or without a positive price) and backwards_rows, from all ticks of the contracts with
+    their verdict in the order session, price, time. A contract of which no tick is accepted has zeros elsewhere."""
+    counts = verdict_counts(judged, keys).select(*keys, (F.col("filtered_rows") + F.col("bad_price_rows")).alias("filtered_rows"), "backwards_rows")
+    return counts.join(stats, keys, "left").fillna(0)
+
+
 def reasons(limits: Limits) -> Column:
     """What speaks against a contract, in fixed order; empty if nothing does."""
     tests = [("volume", F.col("total_volume") < limits.volume), ("nonzero_updates", F.col("nonzero_updates") < limits.nonzero_updates), ("active_minute_coverage", F.col("coverage") < limits.coverage), ("price_bins", F.col("price_bins") < limits.bins), ("backwards_ticks", F.col("backwards_rows") > limits.backwards), ("tick_alignment", F.col("misaligned_rows") > limits.misaligned)]

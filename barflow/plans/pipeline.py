@@ -31,12 +31,17 @@ class Run:
     summary: DataFrame
 
 
+def judged_ticks(rows: DataFrame, sessions: Sessions) -> DataFrame:
+    """All ticks with instrument, root, day_key and the verdict on each, by contract and day."""
+    rows = rows.withColumn("instrument", F.col("symbol")).withColumn("root", F.upper(symbol_root(F.col("symbol")))).withColumn("day_key", F.coalesce("source_day", F.lit("")))
+    return ticks.with_verdict(rows, sessions, order=("session", "price", "time"), keys=["instrument", "day_key"])
+
+
 def normalized(rows: DataFrame, contracts: DataFrame, sessions: Sessions, cfg: ProfileConfig) -> DataFrame:
     """Accepted ticks with deltas, session, interval VWAP and quality flags. rows: symbol, seq, time, price, cumulative volume and
     turnover, source_day; contracts (root, tick_size, turnover_divisor) is a dimension of a few dozen rows."""
     minute = minute_of_day(F.col("time"))
-    rows = rows.withColumn("instrument", F.col("symbol")).withColumn("root", F.upper(symbol_root(F.col("symbol")))).withColumn("day_key", F.coalesce("source_day", F.lit("")))
-    good = ticks.deltas(ticks.valid_ticks(rows, sessions, order=("session", "price", "time"), keys=["instrument", "day_key"]), keys=["instrument", "day_key"], max_gap_ms=cfg.max_gap_ms)
+    good = ticks.deltas(judged_ticks(rows, sessions).filter("verdict = 'valid'").drop("verdict"), keys=["instrument", "day_key"], max_gap_ms=cfg.max_gap_ms)
     good = good.join(F.broadcast(contracts.select("root", "tick_size", "turnover_divisor")), "root")
     args = (F.col("delta_turnover"), F.col("delta_volume"), F.col("turnover_divisor"), F.col("price"), F.col("tick_size"), cfg.vwap_ticks)
     fell = F.when(vwap_fell_back(*args), F.array(F.lit("VWAP_FALLBACK_LTP"))).otherwise(F.array().cast("array<string>"))
@@ -86,8 +91,10 @@ def run(rows: DataFrame, contracts: DataFrame, sessions: Sessions, cfg: ProfileC
     norm = normalized(rows, contracts, sessions, cfg)
     morning = F.coalesce(F.col("session") == "morning", F.lit(False))
     minutes = Sessions(tuple(s for s in sessions.segments if s[0] < 12 * 60)).minutes
-    stats = selection.contract_stats(norm.withColumn("source_file", F.col("instrument")), F.col("tick_size"), minutes, ["trading_day", "root", "source_file"], morning=morning)
-    stats = stats.withColumn("backwards_rows", F.lit(0))
+    files = ["trading_day", "root", "source_file"]
+    stats = selection.contract_stats(norm.withColumn("source_file", F.col("instrument")), F.col("tick_size"), minutes, files, morning=morning)
+    judged = judged_ticks(rows, sessions).join(F.broadcast(contracts.select("root")), "root", "left_semi")
+    stats = selection.with_counters(stats, judged.withColumns({"source_file": F.col("instrument"), "trading_day": F.col("day_key")}), files)
     picked = selection.representative(stats, contracts.select("root"), cfg.limits)
     chosen = picked.filter("selected").select("root", F.col("source_file").alias("instrument"))
     # at most one contract a root

@@ -340,10 +340,12 @@ def review_counts(spark, sf):
 
 # --- selection -----------------------------------------------------------------------------------------------------------------
 def _contracts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _valid(spark, sf).withColumn("root", F.col("symbol")).withColumn("source_file", F.concat_ws("_", "symbol", (F.col("user_id") % 4).cast("string")))
-    rows = ticks.deltas(rows, keys=["root", "source_file"])
+    keys = ["root", "source_file"]
+    rows = event_ticks(spark, sf).withColumn("root", F.col("symbol")).withColumn("source_file", F.concat_ws("_", "symbol", (F.col("user_id") % 4).cast("string")))
+    judged = ticks.with_verdict(rows, SESSIONS, order=("session", "price", "time"), keys=keys)
+    good = ticks.deltas(judged.filter("verdict = 'valid'").drop("verdict"), keys=keys)
     morning = SESSIONS.label(T.minute_of_day(F.col("time"))) == "morning"
-    return selection.contract_stats(rows, 0.05, 135, ["root", "source_file"], morning=F.coalesce(morning, F.lit(False))).withColumn("backwards_rows", F.lit(0))
+    return selection.with_counters(selection.contract_stats(good, 0.05, 135, keys, morning=F.coalesce(morning, F.lit(False))), judged, keys)
 
 
 CONTRACTS = f"""{BASE}, p AS (SELECT *, symbol AS root, symbol || '_' || (user_id % 4) AS source_file FROM valid),
