@@ -12,18 +12,19 @@ from .ticks import verdict_counts
 
 
 def contract_stats(rows: DataFrame, tick: Column | float, session_minutes: int, keys: list[str], *, morning: Column | None = None) -> DataFrame:
-    """One row a contract from its accepted ticks with deltas. Only morning ticks count; deltas come from both sessions. with_counters
-    adds what was rejected."""
+    """One row a contract from its accepted ticks with deltas. Volume, updates, minutes and bins are those of morning ticks with
+    volume; deltas, valid and misaligned rows and resets come from all sessions. with_counters adds what was rejected."""
     rows = rows.withColumn("__w", F.lit(True) if morning is None else morning)
-    when = lambda c: F.when(F.col("__w"), c)
+    traded = F.col("__w") & (F.col("delta_volume") > 0)
+    when = lambda c: F.when(traded, c)
     agg = rows.groupBy(*keys).agg(
         F.coalesce(F.sum(when(F.col("delta_volume"))), F.lit(0)).cast("double").alias("total_volume"),
-        F.count_if(F.col("__w") & (F.col("delta_volume") > 0)).alias("nonzero_updates"),
+        F.count_if(traded).alias("nonzero_updates"),
         F.count_distinct(when(epoch_minute(F.col("time")))).alias("active_minutes"),
         F.count_distinct(when(price_bin(F.col("price"), tick))).alias("price_bins"),
-        F.count_if(F.col("__w")).alias("valid_rows"),
+        F.count("*").alias("valid_rows"),
         F.count_if(F.exists("quality_flags", lambda f: f.endswith("_RESET"))).alias("resets"),
-        F.count_if(F.col("__w") & ~aligned(F.col("price"), tick)).alias("misaligned_rows"),
+        F.count_if(~aligned(F.col("price"), tick)).alias("misaligned_rows"),
     )
     return agg.withColumn("coverage", F.round(F.col("active_minutes") / session_minutes, 10))
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barflow import queries as own
+from barflow.operators import selection
 from barflow.plans import pipeline
 from barflow.plans.config import Limits, ProfileConfig
 from barflow.sources.events import event_ticks
@@ -55,6 +56,21 @@ def test_rejected_ticks_are_counted(spark, scanned):
             assert r.reasons.split("|") == reasons[(r.root, r.source_file)] and r.selected == (r.reasons == "")
 
 
+def test_stats_equal_a_scan(spark, scanned):
+    for r in own.QUERIES["a1_contract_stats"](spark, SF).collect():
+        s = scanned[(r.root, r.source_file)]
+        assert (r.total_volume, r.nonzero_updates, r.valid_rows, r.misaligned_rows) == (s["total_volume"], s["nonzero_updates"], s["valid_rows"], s["misaligned_rows"])
+        assert (r.active_minutes, r.price_bins, r.coverage) == (len(s["minutes"]), len(s["bins"]), round(len(s["minutes"]) / 135, 10))
+
+
+def test_quoted_minutes_and_afternoon_prices(spark):
+    rows = [("A", 9 * 60 + k, 10.0 + k, 1 if k == 0 else 0, True) for k in range(9)] + [("A", 14 * 60, 10.3, 5, False)]
+    t = spark.createDataFrame(rows, "root string, minute int, price double, delta_volume int, early boolean")
+    t = t.withColumns({"time": F.timestamp_seconds(F.col("minute") * 60).cast("timestamp_ntz"), "quality_flags": F.array().cast("array<string>")})
+    r = selection.contract_stats(t, 1.0, 135, ["root"], morning=F.col("early")).first()
+    assert (r.total_volume, r.nonzero_updates, r.active_minutes, r.price_bins, r.valid_rows, r.misaligned_rows) == (1.0, 1, 1, 1, 10, 1)
+
+
 def test_pipeline_excludes_backward_contracts(spark, day):  # noqa: F811
     ticks, contracts = day
     back = ticks.withColumn("time", F.when(F.col("seq") == 100, F.lit(dt.datetime(2026, 1, 9, 9, 31)).cast("timestamp_ntz")).otherwise(F.col("time")))
