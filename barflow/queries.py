@@ -152,7 +152,9 @@ def trading_day(spark, sf):
 def calendar_day(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("trade_date"))
     dates = o.filter((F.weekday("trade_date") < 5) & (F.dayofmonth("trade_date") % 7 != 0)).distinct()
-    return day_map(dates, "1992-01-01", "2003-12-31").filter("date BETWEEN date'1994-01-01' AND date'1995-12-31'").select(*(F.col(c).cast("string").alias(c) for c in ("date", "day_session", "night_session")))
+    # each day from the first order to a week after the last, where no trade date follows
+    first, last = o.agg(F.min("trade_date"), F.date_add(F.max("trade_date"), 7)).first()
+    return day_map(dates, str(first), str(last)).select(*(F.col(c).cast("string").alias(c) for c in ("date", "day_session", "night_session")))
 
 
 @query(
