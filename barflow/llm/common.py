@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +18,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that the session names; a folder is set only where none is."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: the one that spark.checkpoint.dir names. Only a session within one process
+    (local mode, as in tests) may do without; it gets a temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints-{uuid.uuid4().hex}")
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Tables:
+    """Tables between the steps of one operator: Parquet in a folder of their own within the shared one, which goes at the end."""
+
+    #: Spark's own setting: a finished write's shuffle files go at once, not when the driver happens to collect its garbage. A frame that is
+    #: written here is never run again.
+    TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written and read again, so that what comes next does not repeat its work."""
+        with self.tidied():
+            df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    @contextmanager
+    def tidied(self) -> Iterator[None]:
+        before = self.spark.conf.get(self.TIDY, None)
+        self.spark.conf.set(self.TIDY, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(self.TIDY) if before is None else self.spark.conf.set(self.TIDY, before)
+
+    def drop(self, name: str = "") -> None:
+        """Deletes a table that is no longer read, or all."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Tables]:
+    own = Tables(spark)
+    try:
+        yield own
+    finally:
+        own.drop()
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, so that long texts do not become Python objects all at once."""
     for batch in batches:

@@ -9,17 +9,15 @@ shares an index key is compared by bounds, then verified on whole sets.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, raw, slices
+from .common import Memo, Tables, cut, raw, slices, tables
 from .components import components
 
 #: Counters of the frequency table: a shingle's frequency is at most its counter. 16 MB whatever the input.
@@ -32,6 +30,8 @@ FREQUENT = 64
 MEMO = 300_000
 #: Members of an index list that are compared at once; longer lists are cut into blocks, and blocks compared two by two.
 BLOCK = 512
+#: Of a block pair at most so many candidate pairs a member are verified at once; beyond, what connects them comes first.
+FEW = 4
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,13 +102,6 @@ def count_table(df: DataFrame, hashes) -> np.ndarray:
     return out
 
 
-def sweep(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffles of frames that are no longer used. What they gave is checkpointed by then; without this they lie on
-    the disks until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 class Index:
     """Index keys and bounds of one set, for a similarity of num / den."""
 
@@ -126,6 +119,11 @@ class Index:
         b = n.bit_length() - 1
         return [b, b - 1] if b and -(-self.num * n // self.den) < 1 << b else [b]
 
+    def classes(self, b: int) -> int:
+        """Classes of frequent tokens in band b; 0 if its smallest sets are too small to promise two tokens of one class in common, then
+        all tokens are indexed alone (at similarities over a half that is so for sets of one token)."""
+        return min(max(min(16, (1 << b) // 4), (1 << b) // 32, 1), -(-self.num * (1 << b) // self.den) - 1)
+
     def keys(self, tokens: np.ndarray) -> np.ndarray:
         """The set's index keys as signed 64-bit numbers. Tokens that no other row has need none."""
         counts = self.counters[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
@@ -135,13 +133,12 @@ class Index:
         out = []
         for b in self.bands(len(t)):
             salt = mix(np.array([b + 1], np.uint64))
-            # short sets have no frequent class: all of their tokens are indexed alone
-            rare = len(t) if b < 6 else int(np.searchsorted(c, self.frequent, "right"))
+            rare = int(np.searchsorted(c, self.frequent, "right")) if (classes := self.classes(b)) else len(t)
             alone, shared = t[: min(rare, need)], c[: min(rare, need)] > 1
             out.append(mix(alone[shared] ^ salt))
             if rare < need:
                 rest = t[rare:]
-                cls = (rest >> np.uint64(40)).astype(np.int64) % max(16, (1 << b) // 32)
+                cls = (rest >> np.uint64(40)).astype(np.int64) % classes
                 first = np.zeros(len(rest), bool)
                 first[np.unique(cls, return_index=True)[1]] = True
                 end = int(np.searchsorted(np.cumsum(~first), need - rare)) + 1
@@ -189,12 +186,12 @@ def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
 class Join:
     """The join of df's texts with themselves. Words a shingle, and similarity as num / den (whole numbers)."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, own: Tables):
         self.docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.words, self.num, self.den, self.id_col = words, num, den, id_col
-        self.spark = df.sparkSession
+        self.spark, self.tables = df.sparkSession, own
 
-    def _index(self) -> tuple[DataFrame, Broadcast]:
+    def _index(self) -> DataFrame:
         """Per row: id, n, fp (128-bit hash of the set), keys, sketch."""
         words, num, den = self.words, self.num, self.den
 
@@ -202,7 +199,8 @@ class Join:
             memo = word_memo()
             return lambda batch: (shingles(t, words, memo) for t in raw(batch.column(0)))
 
-        shared = self.spark.sparkContext.broadcast(count_table(self.docs.select("text"), hashes))
+        with self.tables.tidied():
+            shared = self.spark.sparkContext.broadcast(count_table(self.docs.select("text"), hashes))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, memo = Index(shared.value, num, den), word_memo()
@@ -216,15 +214,16 @@ class Join:
                     sketch.append(index.sketch(s))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["id", "n", "fp", "keys", "sketch"])
 
-        return cut(self.docs.mapInArrow(run, "id long, n long, fp binary, keys array<long>, sketch binary")), shared
+        base = self.tables.keep(self.docs.mapInArrow(run, "id long, n long, fp binary, keys array<long>, sketch binary"), "base")
+        shared.destroy()
+        return base
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b) of ids the ones whose whole sets are similar. Texts are read again, and only the sets of ids in
-        pairs (told by a table of fixed size) leave the scan."""
+    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Of distinct pairs (a, b) of ids (a written table) the ones whose whole sets are similar. Texts are read again, and only the
+        sets of ids in pairs (told by a table of fixed size) leave the scan."""
         words, num, den = self.words, self.num, self.den
-        pairs = cut(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        table = count_table(ids, lambda: lambda batch: [mix(batch.column(0).to_numpy().view(np.uint64))])
+        with self.tables.tidied():
+            table = count_table(pairs.select(F.explode(F.array("a", "b")).alias("id")), lambda: lambda batch: [mix(batch.column(0).to_numpy().view(np.uint64))])
         wanted = self.spark.sparkContext.broadcast(np.packbits(table > 0))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +246,10 @@ class Join:
         whole = self.docs.filter("id IS NOT NULL").mapInArrow(sets, "id long, tokens binary")
         one = pairs.join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         two = one.join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-        return cut(two.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct())
+        # rows that repeat an id can repeat a link; components takes that
+        links = self.tables.keep(two.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), name)
+        wanted.destroy()
+        return links
 
     def _bounded(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs that sizes and sketches do not rule out."""
@@ -264,28 +266,31 @@ class Join:
 
         side = lambda i, k: sketches.select(F.col("id").alias(i), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
         sized = pairs.join(side("a", 1), "a").join(side("b", 2), "b").filter(F.greatest("n1", "n2") * self.num <= F.least("n1", "n2") * self.den)
-        return sized.select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(run, "a long, b long").distinct()
+        return sized.select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(run, "a long, b long")
 
-    def _in_lists(self, lists: DataFrame, sketches: DataFrame, known: DataFrame, every: bool) -> DataFrame:
-        """Pairs of ids that share a list, lie in different components so far, and that bounds do not rule out: every such pair, or
-        just enough of each list's to connect what they would connect. A list is compared in blocks of about BLOCK members."""
-        num, den = self.num, self.den
-        rows = lists.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rows = cut(rows)
+    def _blocks(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Members (id, component) of the lists in rows that have more than one component, with n and sketch, in blocks of about BLOCK:
+        each block pair (key, i, j) has the members of blocks i and j."""
         split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        rows = rows.join(cut(split), "key").join(sketches.select("id", "n", "sketch"), "id")
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-        rows = rows.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+        rows = rows.join(split, "key").join(sketches.select("id", "n", "sketch"), "id")
+        rows = rows.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sketch")
+        return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sketch")
+
+    def _compare(self, blocks: DataFrame, every: bool) -> DataFrame:
+        """Pairs (a, b) of ids of a block pair that lie in different components so far and that bounds do not rule out. Of a block pair with
+        over FEW such pairs a member, unless every, just enough come to connect what all of them would, and a row without ids that
+        names it (key, i, j)."""
+        num, den = self.num, self.den
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(np.zeros(COUNTERS, np.uint8), num, den)
             held: list[tuple] = []
-            out: list[tuple[int, int]] = []
+            out: list[tuple] = []
 
             def close() -> None:
-                i, j = held[0][1], held[0][2]
+                key, i, j = held[0][:3]
                 left, right = [h for h in held if h[3] == i], [h for h in held if h[3] == j]
                 if not left or not right:
                     return
@@ -293,6 +298,9 @@ class Join:
                 near = index.can_link(n[0][:, None], n[1][None], differing([h[7] for h in left], [h[7] for h in right]))
                 near &= comp[0][:, None] != comp[1][None]
                 a, b = np.nonzero(np.triu(near) if i == j else near)
+                whole = every or len(a) <= FEW * len(held)
+                if not whole:
+                    out.append((None, None, key, i, j))
                 root: dict[int, int] = {}
 
                 def find(c: int) -> int:
@@ -301,17 +309,18 @@ class Join:
                     return c
 
                 for x, y in zip(a, b, strict=True):
-                    if not every:
+                    if not whole:
                         u, v = find(int(comp[0][x])), find(int(comp[1][y]))
                         if u == v:
                             continue
                         root[max(u, v)] = min(u, v)
-                    out.append((min(ids[0][x], ids[1][y]), max(ids[0][x], ids[1][y])))
+                    out.append((int(min(ids[0][x], ids[1][y])), int(max(ids[0][x], ids[1][y])), None, None, None))
 
             def flush() -> pa.RecordBatch:
-                pairs = np.array(out, np.int64).reshape(-1, 2)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
                 out.clear()
-                return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                return pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "i", "j"])
 
             for batch in slices(batches):
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -325,38 +334,42 @@ class Join:
                 close()
             yield flush()
 
-        grouped = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return grouped.mapInArrow(compare, "a long, b long").distinct()
+        grouped = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return grouped.mapInArrow(compare, "a long, b long, key long, i int, j int").distinct()
 
     def run(self) -> DataFrame:
-        base, _ = self._index()
-        sweep(self.spark)
+        keep, drop = self.tables.keep, self.tables.drop
+        base = self._index()
         # one set stands for all rows with the same
-        sets = base.filter("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-        sets = cut(sets)
-        sweep(self.spark)
+        first = lambda c: F.first(c).alias(c)
+        sets = keep(base.filter("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"), *map(first, ("n", "keys", "sketch"))), "sets")
         entries = sets.select("id", F.explode("keys").alias("key"))
         lists = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first")).filter("members > 1")
-        lists = cut(lists)
-        sweep(self.spark)
-        entries = cut(entries.join(lists, "key"))
-        del lists
-        sweep(self.spark)
+        entries = keep(entries.join(lists, "key"), "entries")
         sketches = sets.select("id", "n", "sketch")
         # first every member of a list with the list's smallest, then what is still apart
         stars = entries.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-        links = self.verify(self._bounded(stars, sketches))
-        sweep(self.spark)
-        known = components(links)
-        open_ = entries.filter("members > 2").select("id", "key", "members")
-        for every in (False, True):
-            found = self.verify(self._in_lists(open_, sketches, known, every))
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                known = components(links)
+        links = self.verify(keep(self._bounded(stars, sketches), "stars"), "star-links")
+        known = components(links, self.tables, "known")
+        rows = entries.filter("members > 2").join(known, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
+        rows = keep(rows, "open")
+        drop("entries")
+        blocks = self._blocks(rows, sketches)
+        found = keep(self._compare(blocks, False), "found")
+        more = self.verify(found.filter("a IS NOT NULL").select("a", "b"), "block-links")
+        known = components(links.unionByName(more), self.tables, "more")
+        crowded = found.filter("a IS NULL").select("key", "i", "j")
+        if not crowded.isEmpty():
+            rest = rows.drop("component").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            rest = self._blocks(keep(rest.join(crowded.select("key").distinct(), "key", "left_semi"), "crowded"), sketches)
+            found = keep(self._compare(rest.join(crowded, ["key", "i", "j"], "left_semi"), True), "rest")
+            last = self.verify(found.select("a", "b"), "rest-links")
+            known = components(links.unionByName(more).unionByName(last), self.tables, "last")
         label = sets.select("fp", "id").join(known, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-        out = base.select("id", "n", "fp").join(cut(label), "fp", "left")
-        return out.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+        out = base.select("id", "n", "fp").join(label, "fp", "left")
+        out = out.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+        with self.tables.tidied():
+            return cut(out)
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -371,6 +384,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Candidates: members of an index list are first compared with the list's smallest id only, which settles most groups in time
     proportional to their size; then pairs of a list that are still in different components are compared, in blocks. All bounds
-    are exact, so nothing is missed, whatever the size of a list.
+    are exact, so nothing is missed, whatever the size of a list. Steps are written to the shared folder and deleted at the end; what is
+    returned is a checkpoint.
     """
-    return Join(df, id_col, text_col, words, *similarity).run()
+    with tables(df.sparkSession) as own:
+        return Join(df, id_col, text_col, words, *similarity, own).run()

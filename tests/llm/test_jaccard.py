@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from barflow.llm import jaccard
+from barflow.llm.common import tables
 from barflow.llm.components import components
 
 
@@ -95,6 +96,7 @@ def test_components(spark):
     r = random.Random(1)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)]
     want = union(300, links)
-    got = {x.id: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: want[i] for p in links if p[0] != p[1] for i in p}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with tables(spark) as own:
+        got = {x.id: x.component for x in components(spark.createDataFrame(links, "a long, b long"), own, "x").collect()}
+        assert got == {i: want[i] for p in links if p[0] != p[1] for i in p}
+        assert components(spark.createDataFrame([], "a long, b long"), own, "y").count() == 0
