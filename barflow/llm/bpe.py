@@ -112,9 +112,16 @@ class Bpe:
         back = {c: b for b, c in enumerate(byte_letters())}
         return {i: bytes(map(back.__getitem__, s)) for s, i in self.vocab.items()} | {i: s.encode() for s, i in self.special.items()}
 
+    def letters(self, word: str) -> str:
+        """The word in byte letters."""
+        return word.replace(" ", self._letters[32]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self._letters)
+
+    def pretokens(self, segment: str) -> list[str]:
+        return self._pattern.findall(segment)
+
     def words(self, segment: str) -> list[str]:
         """The segment's pre-tokens in byte letters."""
-        return [w.encode().decode("latin-1").translate(self._letters) for w in self._pattern.findall(segment)]
+        return list(map(self.letters, self._pattern.findall(segment)))
 
     @cached_property
     def _special(self):

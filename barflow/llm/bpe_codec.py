@@ -7,7 +7,7 @@ compatibility (see bpe.Pairs). A word whose pairs all pass is encoded right; onl
 from __future__ import annotations
 
 import hashlib
-import operator
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,27 +17,53 @@ from pyspark.sql import DataFrame
 from .bpe import Bpe, Pairs, fits, plain, segments
 from .common import slices, texts
 
-#: Segments that each Python worker remembers, twice.
-MEMO = 400_000
-DECIMAL, BYTES, PACKED = (operator.itemgetter(k) for k in range(3))
+#: Segments, and as many words, that each Python worker remembers.
+MEMO = 600_000
+
+
+class Recent(dict):
+    """A table of bounded size. When half of it is new, or its keys are long, what was not asked for since the last time goes."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.half, self.old, self.letters = limit // 2, {}, 0
+
+    def missing(self, wanted: set) -> list:
+        """What of wanted is in neither generation; what is in the older one moves to the newer."""
+        if len(self) >= self.half or self.letters > 32 * self.half:
+            self.old, self.letters = dict(self), 0
+            self.clear()
+        new = [k for k in wanted if k not in self]
+        self.letters += sum(map(len, new))
+        self.update((k, self.old[k]) for k in new if k in self.old)
+        return [k for k in new if k not in self]
 
 
 class Codec:
-    """Encodes and decodes with one model. Words in byte letters and text segments are remembered up to a limit."""
+    """Encodes and decodes with one model. Words and text segments are remembered up to a limit.
+
+    What is remembered: decimal ids joined by commas, and the bytes that the ids decode to.
+    """
+
+    #: Segments whose pre-tokens are plain to see: a line end or none, letters with a space or none, other signs.
+    SIMPLE = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, bpe: Bpe, limit: int = MEMO):
-        self.bpe, self.limit = bpe, limit
+        self.bpe = bpe
         self.pairs = Pairs(bpe)
-        self.longest = max(map(len, bpe.alone))
-        #: of segments, and of chunks that stand for a segment of their own (None if they do not): decimal ids, bytes, packed ids
-        self.known: dict[str, tuple[str, bytes, bytes]] = {}
-        self.chunks: dict[str, tuple[str, bytes, bytes] | None] = {}
+        #: the most letters of a token by its first two
+        self.longest: dict[str, int] = {}
+        for token in bpe.alone:
+            self.longest[token[:2]] = max(len(token), self.longest.get(token[:2], 1))
+        self.known, self.words = Recent(limit), Recent(limit)
+        #: of chunks that stand for a segment of their own (None if they do not)
+        self.chunks = Recent(limit)
         self.merged = 0
 
     def greedy(self, word: str) -> list[int]:
         alone, ids, out, at, n = self.bpe.alone, self.bpe.vocab, [], 0, len(word)
         while at < n:
-            end = min(n, at + self.longest)
+            end = min(n, at + self.longest.get(word[at : at + 2], 1))
             while word[at:end] not in alone:
                 end -= 1
             out.append(ids[word[at:end]])
@@ -58,47 +84,57 @@ class Codec:
             out[k] = [self.bpe.vocab[p] for p in self.bpe.merge(words[k])]
         return out
 
-    def learn(self, new: list[str]) -> list[tuple[str, bytes, bytes]]:
+    def learn(self, new: list[str]) -> list[tuple[str, bytes]]:
         """What is remembered of each of the segments."""
-        split = [self.bpe.words(s) for s in new]
-        words = list({w for ws in split for w in ws})
-        spell, coded = self.bpe.token_bytes, {}
-        for w, ids in zip(words, self.encode_words(words), strict=True):
-            coded[w] = (",".join(map(str, ids)), b"".join(map(spell.__getitem__, ids)), np.array(ids, np.int32).tobytes())
-        return [(",".join(coded[w][0] for w in ws), b"".join(coded[w][1] for w in ws), b"".join(coded[w][2] for w in ws)) for ws in split]
-
-    def _remember(self, table: dict, wanted: set[str], segment) -> None:
-        new = [k for k in wanted if k not in table]
-        if len(table) + len(new) > self.limit:
-            table.clear()
-            new = list(wanted)
-        fit = [k for k in new if segment(k) is not None]
+        simple, split = self.SIMPLE.fullmatch, []
+        for s in new:
+            m = simple(s)
+            split.append([g for g in m.groups() if g] if m else self.bpe.pretokens(s))
+        words = self.words.missing({w for ws in split for w in ws})
+        spell = self.bpe.token_bytes.__getitem__
+        for w, ids in zip(words, self.encode_words(list(map(self.bpe.letters, words))), strict=True):
+            self.words[w] = (",".join(map(str, ids)), b"".join(map(spell, ids)))
+        got = self.words.__getitem__
+        out = []
+        for ws in split:
+            if len(ws) == 1:
+                out.append(got(ws[0]))
+            else:
+                parts = list(map(got, ws))
+                out.append((",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])))
+        return out
+
+    def _remember(self, table: Recent, wanted: set[str], segment) -> None:
+        new = table.missing(wanted)
+        parts = list(map(segment, new))
+        fit = [k for k, p in enumerate(parts) if p is not None]
         table.update(dict.fromkeys(new))
-        table.update(zip(fit, self.learn([segment(k) for k in fit]), strict=True))
+        table.update(zip((new[k] for k in fit), self.learn([parts[k] for k in fit]), strict=True))
 
-    def encode_batch(self, batch: list[str]) -> list[list[tuple[str, bytes, bytes]]]:
-        """For each text its pieces in order: decimal ids joined by commas, the bytes that the ids decode to, and 32-bit ids."""
+    def encode_batch(self, batch: list[str]) -> list[tuple[str, bytes]]:
+        """For each text its decimal ids joined by commas, and the bytes that the ids decode to."""
         parts = [self.bpe.parts(t) for t in batch]
         chunked = [[plain(p) for p in ps[::2]] for ps in parts]
         self._remember(self.chunks, set().union(*(c[1:] for cs in chunked for c in cs if c)), fits)
-        special = {s: (str(i), s.encode(), np.array([i], np.int32).tobytes()) for s, i in self.bpe.special.items()}
-        out: list[list] = []
-        slow: list[tuple[list, int, list[str]]] = []
-        for ps, cs in zip(parts, chunked, strict=True):
-            doc: list = []
+        slow: dict[tuple[int, int], list[str]] = {}
+        quick: dict[tuple[int, int], list] = {}
+        for d, (ps, cs) in enumerate(zip(parts, chunked, strict=True)):
+            for k, (p, c) in enumerate(zip(ps[::2], cs, strict=True)):
+                got = list(map(self.chunks.__getitem__, c[1:])) if c and fits(c[0]) is not None else [None]
+                slow[d, k] = segments(p) if None in got else [c[0]]
+                quick[d, k] = [] if None in got else got
+        self._remember(self.known, set().union(*slow.values()), lambda s: s)
+        out = []
+        for d, ps in enumerate(parts):
+            found: list[tuple[str, bytes]] = []
             for k, p in enumerate(ps):
                 if k % 2:
-                    doc.append([special[p]])
-                    continue
-                c = cs[k // 2]
-                got = list(map(self.chunks.__getitem__, c[1:])) if c and fits(c[0]) is not None else [None]
-                slow.append((doc, len(doc), segments(p) if None in got else [c[0]]))
-                doc.append([] if None in got else got)
-            out.append(doc)
-        self._remember(self.known, set().union(*(s for _, _, s in slow)), lambda s: s)
-        for doc, k, segs in slow:
-            doc[k] = [*map(self.known.__getitem__, segs), *doc[k]]
-        return [[x for piece in doc for x in piece if x[0]] if len(doc) > 1 else [x for x in doc[0] if x[0]] for doc in out]
+                    found.append((str(self.bpe.special[p]), p.encode()))
+                else:
+                    found += map(self.known.__getitem__, slow[d, k // 2])
+                    found += quick[d, k // 2]
+            out.append((",".join([f[0] for f in found if f[0]]), b"".join([f[1] for f in found])))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, ids that the model lacks are passed over."""
@@ -106,6 +142,17 @@ class Codec:
         return b"".join(spell[i] for i in ids if i in spell).decode("utf-8", "replace")
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def _codec(shared, path: str) -> Codec:
+    """The Python worker's codec for the file, kept with what it remembers from one task to the next."""
+    if path not in _CODECS:
+        _CODECS.clear()
+        _CODECS[path] = Codec(shared.value)
+    return _CODECS[path]
+
+
 def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids (array<int>) of each row of df; special strings inside texts become their ids. Null text: no ids.
 
@@ -115,9 +162,9 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     shared = df.sparkSession.sparkContext.broadcast(Bpe(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = _codec(shared, path)
         for batch in slices(batches):
-            ids = [np.frombuffer(b"".join(map(PACKED, doc)), np.int32) for doc in codec.encode_batch(texts(batch.column(1)))]
+            ids = [np.array(doc.split(",") if doc else [], np.int32) for doc, _ in codec.encode_batch(texts(batch.column(1)))]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], [id_col, "ids"])
@@ -131,7 +178,7 @@ def decode(df: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "
     shared = df.sparkSession.sparkContext.broadcast(Bpe(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = _codec(shared, path)
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], [id_col, "text"])
 
@@ -148,12 +195,12 @@ def round_trip(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
     shared = df.sparkSession.sparkContext.broadcast(Bpe(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = _codec(shared, path)
         for batch in slices(batches):
             coded = codec.encode_batch(texts(batch.column(1)))
-            n = [sum(map(len, map(PACKED, doc))) // 4 for doc in coded]
-            ids = [hashlib.sha256(",".join(map(DECIMAL, doc)).encode()).hexdigest() for doc in coded]
-            back = [hashlib.sha256(b"".join(map(BYTES, doc)).decode("utf-8", "replace").encode()).hexdigest() for doc in coded]
+            n = [doc.count(",") + 1 if doc else 0 for doc, _ in coded]
+            ids = [hashlib.sha256(doc.encode()).hexdigest() for doc, _ in coded]
+            back = [hashlib.sha256(spelled.decode("utf-8", "replace").encode()).hexdigest() for _, spelled in coded]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
