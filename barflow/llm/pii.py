@@ -14,14 +14,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Kinds with base patterns, and all kinds.
 KINDS = ("email", "ip", "card", "phone")
+ALL = (*KINDS, "secret")
 
 #: The base patterns. A search can only start where the last match ended or where a run of such characters begins;
 #: starts within a run cannot do better than its begin, so matches are those of the plain pattern without its quadratic search.
-#: Of digits the pattern takes maximal runs of single separators; only runs of 16 to 19 digits can pass.
+#: Possessive groups are loops, not recursion, so that a text of any length fits the stack. Of digits the pattern takes maximal runs of single separators; only runs of 16 to 19 digits can pass.
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 BASE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
@@ -29,19 +31,20 @@ BASE = {
 #: What a text must hold for a base pattern to be tried; cheap tests first.
 NEEDS = {"email": "@", "ip": None, "card": None, "phone": "+"}
 #: Generators: obfuscated addresses, defanged and long IP addresses, cards inside longer runs or with other separators, phone
-#: numbers without + or followed by more digits.
+#: numbers without + or followed by more digits, and runs of letters and digits as keys and tokens have them.
 PROPOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\((?:at|AT)\)|\[(?:at|AT)\]|\{at\}| at |@) ?[A-Za-z0-9-]{1,63}(?:(?: ?(?:\((?:dot|DOT)\)|\[(?:dot|DOT)\]|\[\.\]) ?| dot |\.)[A-Za-z]{2,24}){1,3}(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?:(?:\[\.\]|\(\.\))[0-9]{1,3}){3})(?![0-9A-Fa-f:])",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9]{1,3}(?:(?:\[\.\]|\(\.\))[0-9]{1,3}){3})(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ .-][0-9]{4}){3}|[0-9]{4}[ .-][0-9]{6}[ .-][0-9]{5}|[0-9]{15,19})(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+.-])(?:(?:\+|00)[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3,4}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+.-])(?:(?:(?:\+|00)[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3,4}[ .-][0-9]{4}|0[0-9](?:[ .-][0-9]{2}){4}|0[0-9]{2,4}[ /-][0-9]{5,8})(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z0-9_+/=-]{16})(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]++",
 }
 #: Words before a span that speak for each kind.
-HINTS = {"email": r"(?i)(mail|contact|write|reach|address)\W*\w*\W*$", "ip": r"(?i)(ip|host|server|address|from)\W*\w*\W*$", "card": r"(?i)(card|visa|master|amex|credit|pay)\w*\W*\w*\W*$", "phone": r"(?i)(phone|tel|call|mobile|fax|cell|dial)\w*\W*\w*\W*$"}
+HINTS = {"email": r"(?i)(mail|contact|write|reach|address)\W*\w*\W*$", "ip": r"(?i)(ip|host|server|address|from)\W*\w*\W*$", "card": r"(?i)(card|visa|master|amex|credit|pay)\w*\W*\w*\W*$", "phone": r"(?i)(phone|tel|call|mobile|fax|cell|dial)\w*\W*\w*\W*$", "secret": r"(?i)(token|secret|key|passw(?:or)?d|pwd|bearer|auth\w*|credentials?)\W*$"}
 #: What speaks against personal data before a span.
-AGAINST = r"(?i)(order|version|part|ref|isbn|invoice|serial|build|sku|item|no|number|id)\W*\w*\W*$"
+AGAINST = r"(?i)(order|version|part|ref|isbn|invoice|serial|build|sku|item|no|number|id|commit|sha[0-9]*|hash|digest|uuid|checksum|file|image|page)\W*\w*\W*$"
 ENDINGS = r"(?i)(com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$"
-FEATURES = ("is_email", "is_ip", "is_card", "is_phone", "luhn", "digits", "separators", "bracket", "hint", "against", "ending", "word_at", "prefixed", "mixed", "local_mark")
+FEATURES = (*(f"is_{k}" for k in ALL), "luhn", "digits", "separators", "bracket", "hint", "against", "ending", "word_at", "prefixed", "mixed", "local_mark", "assigned", "known", "hexadecimal")
 
 
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:
@@ -128,7 +131,7 @@ def _rebuilt(text: Column, spans: Column, put: Callable[[Column], Column]) -> Co
 def _features(kind: str, hit: Column, before: Column) -> dict[str, Column]:
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     count = lambda pattern: F.length(F.regexp_replace(hit, f"[^{pattern}]", "")).cast("double")
-    return {f"is_{k}": F.lit(float(k == kind)) for k in KINDS} | {
+    return {f"is_{k}": F.lit(float(k == kind)) for k in ALL} | {
         "luhn": flag(luhn(digits_of(hit))) if kind == "card" else F.lit(0.0),
         "digits": count("0-9"),
         "separators": count(" .-"),
@@ -140,20 +143,26 @@ def _features(kind: str, hit: Column, before: Column) -> dict[str, Column]:
         "prefixed": flag(hit.rlike(r"^(\+|00)")),
         "mixed": flag(hit.contains("-") & hit.contains(".")),
         "local_mark": flag(hit.rlike(r"^[A-Za-z]+[._0-9]+[A-Za-z0-9]* ?[(\[{ @]")),
+        "assigned": flag(before.rlike(r"[:=] ?[\"']?$")),
+        "known": flag(hit.rlike(r"^(AKIA|AIza|gh[ops]_|sk-|xox[abp]-)")),
+        "hexadecimal": flag(hit.rlike(r"^[0-9A-Fa-f]+$")),
     }
 
 
-def candidates(text: Column, kind: str, score: Callable[[dict[str, Column]], Column] | None = None) -> Column:
-    """What the kind's generator proposes: (start, end, hit, kind, score), or the features in place of the score."""
+def candidates(text: Column, kind: str) -> Column:
+    """What the kind's generator proposes: (start, end, kind, features in the order of FEATURES)."""
 
     def judged(m: Column) -> Column:
         first = F.greatest(m["start"] - 24, F.lit(0))
         f = _features(kind, m["hit"], F.substr(text, first + 1, m["start"] - first))
-        value = score(f).alias("score") if score else F.array(*(f[k] for k in FEATURES)).alias("features")
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), value)
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), F.array(*(f[k] for k in FEATURES)).alias("features"))
 
-    shape = "array<struct<start:int,end:int,kind:string," + ("score:double>>" if score else "features:array<double>>>")
-    return F.when(text.rlike(PROPOSE[kind]), F.transform(_matches(text, PROPOSE[kind]), judged)).otherwise(F.array().cast(shape))
+    none = F.array().cast("array<struct<start:int,end:int,kind:string,features:array<double>>>")
+    return F.when(text.rlike(PROPOSE[kind]), F.transform(_matches(text, PROPOSE[kind]), judged)).otherwise(none)
+
+
+#: Hints that stand before each key in the sentences.
+SURE = ("token", "secret", "api_key", "password", "bearer", "auth")
 
 
 def sentences(n: int, seed: int) -> list[tuple[str, int, int, int]]:
@@ -161,6 +170,9 @@ def sentences(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     r = random.Random(seed)
     word = lambda: "".join(r.choice(["the", "an", "re", "tion", "er", "on", "de", "le", "un", "al"]) for _ in range(r.randrange(1, 4)))
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k - 1)) + r.choice("0123456789")
+    base64 = lambda k: "".join(r.choice("ABCDEFGHijklmnopqrstuvwxyz0123456789-_") for _ in range(k - 2)) + r.choice("abc") + r.choice("123")
+    at, dot, end = ["(at)", "[at]", "(AT)", "{at}", "[AT]"], [" (dot) ", " [dot] ", ".", " dot ", "[.]"], ["com", "org", "net", "de", "fr", "co.uk", "edu"]
 
     def checked(k: int) -> str:
         body = r.choice("3456") + num(k - 2)
@@ -176,9 +188,10 @@ def sentences(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         return sep.join(d[e - s : e] for s, e in zip(sizes, ends, strict=True))
 
     good = [
-        (lambda: f"{word()}{r.choice(['', '.', '_'])}{num(2)} {r.choice(['(at)', '[at]', '(AT)'])} {word()}{r.choice([' (dot) ', ' [dot] ', '.', ' dot '])}{r.choice(['com', 'org', 'net', 'de', 'fr'])}", "mail", 3),
+        (lambda: f"{word()}{r.choice(['', '.', '_', '-'])}{r.choice(['', num(2), word()])}{r.choice(['', ' '])}{r.choice(at)}{r.choice(['', ' '])}{word()}{r.choice(dot)}{r.choice(end)}", "mail", 4),
         (lambda: f"{word()}{r.choice(['.', '_', ''])}{num(2)} at {word()} dot {r.choice(['com', 'org', 'net'])}", "contact", 2),
-        (lambda: ":".join("".join(r.choice("0123456789abcdef") for _ in range(4)) for _ in range(8)), "from", 2),
+        (lambda: ":".join(hexa(4) for _ in range(8)), "from", 2),
+        (lambda: f"2001:{hexa(3)}::{hexa(r.choice([1, 4]))}", "address", 1),
         (lambda: r.choice(["[.]", "(.)"]).join(str(r.randrange(256)) for _ in range(4)), "host", 2),
         (lambda: spaced(checked(16), (4, 4, 4, 4), r.choice(" .-")), "card", 2),
         (lambda: spaced(checked(15), (4, 6, 5), r.choice(" -")), "amex", 2),
@@ -186,6 +199,11 @@ def sentences(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         (lambda: f"({num(3)}) {num(3)}-{num(4)}", "call", 3),
         (lambda: f"{r.choice(['+', '00'])}{r.choice(['1', '49', '33'])} ({num(3)}) {num(3)}-{num(4)}", "tel", 3),
         (lambda: spaced(num(10), (3, 3, 4), r.choice("-. ")), "phone", 2),
+        (lambda: "0" + spaced(num(9), (1, 2, 2, 2, 2), r.choice("-. ")), "tel", 1),
+        (lambda: f"0{num(r.choice([2, 3]))}{r.choice(' /-')}{num(r.choice([6, 7, 8]))}", "call", 1),
+        (lambda: hexa(r.choice([24, 32, 40, 64])), "token", 3),
+        (lambda: base64(r.choice([20, 32, 43])), r.choice(["secret", "api_key", "password", "bearer", "auth"]), 3),
+        (lambda: r.choice(["AKIA", "ghp_", "sk-", "AIza"]) + base64(r.choice([16, 36])), "with", 1),
     ]
     bad = [
         (lambda: f"{word()} at {word()}.{word().title()}", "", 4),
@@ -195,13 +213,21 @@ def sentences(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         (lambda: unchecked(16), "", 2),
         (lambda: spaced(num(10), (3, 3, 4), r.choice("-. ")), "order", 3),
         (lambda: spaced(num(11), (3, 4, 4), r.choice("-. ")), "part", 2),
+        (lambda: "0" + spaced(num(9), (1, 2, 2, 2, 2), r.choice("-. ")), "serial", 1),
+        (lambda: f"0{num(3)}{r.choice(' /-')}{num(7)}", "item", 1),
+        (lambda: hexa(r.choice([32, 40, 64])), r.choice(["commit", "sha256", "hash", "digest", "uuid"]), 3),
+        (lambda: hexa(r.choice([24, 32])), "", 1),
+        (lambda: "-".join([word(), word(), "20" + num(2), num(2), word(), word()]) + "-" + word() * 3, "page", 2),
+        (lambda: f"img_20{num(6)}_{num(6)}_{word()}", "file", 1),
     ]
     out = []
     for _ in range(n):
         label = int(r.random() < 0.55)
         make, hint, _ = r.choices(good if label else bad, [g[2] for g in (good if label else bad)])[0]
-        before = " ".join(word() for _ in range(r.randrange(1, 5))) + (f" {hint}: " if hint and (not label or r.random() < 0.6) else " ")
         span = make()
+        # without its hint a key is no key
+        said = hint and (not label or hint in SURE or r.random() < 0.6)
+        before = " ".join(word() for _ in range(r.randrange(1, 5))) + (f" {hint}{r.choice([': ', ' ', ' = ', '=']) + r.choice(['', chr(34)])}" if said else " ")
         out.append((f"{before}{span} {word()} {word()}", len(before), len(before) + len(span), label))
     return out
 
@@ -246,9 +272,9 @@ class Boosting:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.array([self.start + self.rate * sum(self._walk(t, row) for t in self.trees) for row in x])))
 
-    def expression(self, f: dict[str, Column]) -> Column:
+    def expression(self, features: Column) -> Column:
         def walk(node: Tree | float) -> Column:
-            return F.when(f[FEATURES[node[0]]] < node[1], walk(node[2])).otherwise(walk(node[3])) if isinstance(node, tuple) else F.lit(node)
+            return F.when(features[node[0]] < node[1], walk(node[2])).otherwise(walk(node[3])) if isinstance(node, tuple) else F.lit(node)
 
         total = F.lit(self.start)
         for t in self.trees:
@@ -260,40 +286,35 @@ class Finder:
     """The fitted trees and each kind's threshold: the lowest score from which, on sentences not used for the trees, at least 98 of
     100 candidates are personal data (1.01, never reached, if none does)."""
 
-    def __init__(self, spark: SparkSession, n: int = 700, seed: int = 3):
-        fit, held = (self._table(spark, n, seed + k) for k in (0, 1))
-        self.trees = Boosting(fit[0], fit[1])
-        scores, self.threshold = self.trees.score(held[0]), {}
-        for i, kind in enumerate(KINDS):
-            own = held[0][:, i] > 0
-            fine = [t for t in np.unique(scores[own]) if held[1][own & (scores >= t)].mean() >= 0.98]
-            self.threshold[kind] = float(max(0.5, min(fine))) if fine else 1.01
+    def __init__(self, spark: SparkSession, n: int = 1500, seed: int = 3):
+        x, y, first = self._table(spark, sentences(n, seed) + sentences(n, seed + 1), n)
+        self.trees = Boosting(x[first], y[first])
+        scores, labels, self.threshold = self.trees.score(x[~first]), y[~first], {}
+        for i, kind in enumerate(ALL):
+            own = x[~first][:, i] > 0
+            steps = np.unique(scores[own])
+            fine = [k for k, t in enumerate(steps) if labels[own & (scores >= t)].mean() >= 0.98]
+            # between two scores that occur, so that rounding does not decide
+            self.threshold[kind] = float(max(0.5, (steps[min(fine)] + (steps[min(fine) - 1] if min(fine) else 0)) / 2)) if fine else 1.01
 
     @staticmethod
-    def _table(spark: SparkSession, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        made = sentences(n, seed)
+    def _table(spark: SparkSession, made: list[tuple[str, int, int, int]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features and labels of the sentences' candidates, and whether each is from the first n sentences."""
         rows = spark.range(1).select(F.posexplode(F.array(*(F.lit(s[0]) for s in made))).alias("k", "text"))
-        got = rows.select("k", F.explode(F.concat(*(candidates(F.col("text"), kind) for kind in KINDS))).alias("c")).select("k", "c.*").collect()
-        return np.array([r.features for r in got]), np.array([float(made[r.k][3] and (r.start, r.end) == made[r.k][1:3]) for r in got])
+        got = rows.select("k", F.explode(F.concat(*(candidates(F.col("text"), kind) for kind in ALL))).alias("c")).select("k", "c.*").collect()
+        labels = [float(made[r.k][3] and (r.start, r.end) == made[r.k][1:3]) for r in got]
+        return np.array([r.features for r in got]), np.array(labels), np.array([r.k < n for r in got])
 
     def added(self, masked: Column) -> Column:
-        """Candidates in a text whose base spans are masked that reach their threshold; of overlapping ones the best score stays,
-        then the earlier kind."""
-        # few hold a candidate, and the score is looked at only in those
-        score = lambda f: let(F.struct(*(f[k].alias(k) for k in FEATURES)), lambda s: self.trees.expression({k: s[k] for k in FEATURES}))
-        over = lambda least: lambda c: c["score"] >= least
-        good = [F.filter(candidates(masked, kind, score), over(self.threshold[kind])) for kind in KINDS]
-        near = 64  # a span has at most 210 code points and at least 7; those of a kind do not overlap
-
-        def alone(x: Column) -> Column:
-            def keep(c: Column, i: Column) -> Column:
-                first = F.greatest(i - near, F.lit(0))
-                rival = lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"]) & (d["kind"] != c["kind"]) & ((d["score"] > c["score"]) | ((d["score"] == c["score"]) & (d["kind"] < c["kind"])))
-                return ~F.exists(F.slice(x, first + 1, F.lit(2 * near + 1)), rival)
+        """Candidates in a text whose base spans are masked that reach their threshold, in order. Those of two kinds may overlap: nothing
+        that is taken hides another."""
 
-            return F.filter(x, keep)
+        def judged(c: Column) -> Column:
+            return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), self.trees.expression(c["features"]).alias("score"))
 
-        return let(F.array_sort(F.concat(*good)), alone)
+        least = F.create_map(*(F.lit(v) for kind in ALL for v in (kind, self.threshold[kind])))
+        every = F.concat(*(candidates(masked, kind) for kind in ALL))
+        return F.array_sort(F.filter(F.transform(every, judged), lambda c: c["score"] >= least[c["kind"]]))
 
 
 _FITTED: list[Finder] = []
@@ -306,27 +327,32 @@ def fitted(spark: SparkSession) -> Finder:
     return _FITTED[0]
 
 
-def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, text, the columns in keep, base (a struct of spans by kind), added (spans with kind and score) of each row.
-
-    Spans are (start, end) in code points, end exclusive; base spans of one kind do not overlap, those of two kinds may. Added
-    spans overlap no base span nor each other. Null text counts as empty and has none. Null and repeated ids are rows as any; an
-    empty table gives no rows; columns of df that are not named are not read. No shuffle, no Python on the executors.
-    """
+def _found(df: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """df with one more column, and its name, which df does not have: a struct of text, base and added."""
+    name = "__found"
+    while name in df.columns:
+        name += "_"
     finder = fitted(df.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col), text.alias("__text"), *(F.col(f"`{c}`").alias(f"__keep_{k}") for k, c in enumerate(keep)))
-    t = F.col("__text")
-    base = F.struct(*(base_spans(t, kind).alias(kind) for kind in KINDS))
 
-    def rest(b: Column) -> Column:
+    def rest(t: Column, b: Column) -> Column:
         flat = F.concat(*(F.transform(b[kind], lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for kind in KINDS))
         masked = F.when(F.size(flat) == 0, t).otherwise(let(_joined(flat), lambda s: _masked(t, s)))
-        return F.struct(b.alias("base"), let(masked, self_added).alias("added"))
+        return F.struct(t.alias("text"), b.alias("base"), let(masked, finder.added).alias("added"))
+
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return df.withColumn(name, let(text, lambda t: let(F.struct(*(base_spans(t, kind).alias(kind) for kind in KINDS)), lambda b: rest(t, b)))), name
 
-    self_added = finder.added
-    out = rows.withColumn("__found", let(base, rest))
-    return out.select(id_col, t.alias("text"), *(F.col(f"__keep_{k}").alias(c) for k, c in enumerate(keep)), F.col("__found")["base"].alias("base"), F.col("__found")["added"].alias("added"))
+
+def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, text, base (a struct of spans by kind), added (spans with kind and score) of each row.
+
+    Spans are (start, end) in code points, end exclusive; spans of one kind do not overlap, those of two kinds may. Added spans overlap no
+    base span. Kinds of added spans are those of base spans and "secret" (keys and tokens). Null text counts as empty and has none. Null and
+    repeated ids are rows as any; an empty table gives no rows; columns of df that are not named are not read. No shuffle, no Python on the
+    executors.
+    """
+    rows, name = _found(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), text_col)
+    return rows.select(id_col, *(F.col(name)[c].alias(c) for c in ("text", "base", "added")))
 
 
 def _joined(spans: Column) -> Column:
@@ -349,11 +375,14 @@ def kind_spans(found: Column, added: Column, kind: str) -> Column:
     return F.transform(own, lambda m: F.concat(F.lit(f"{kind}:"), m["start"].cast("string"), F.lit(":"), m["end"].cast("string")))
 
 
-def redact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with every span in text_col replaced by [PRIVATE]; overlapping spans become one. Rows without spans are unchanged."""
-    keep = tuple(c for c in df.columns if c not in (id_col, text_col))
-    found = find(df, id_col=id_col, text_col=text_col, keep=keep)
-    cut = lambda s: F.transform(s, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
-    spans = F.concat(*(cut(F.col("base")[kind]) for kind in KINDS), cut(F.col("added")))
-    clean = F.when(F.size(spans) == 0, F.col("text")).otherwise(let(_joined(spans), lambda s: _rebuilt(F.col("text"), s, lambda m: F.when(m["more"], "").otherwise("[PRIVATE]"))))
-    return found.withColumn("__clean", clean).select(*(F.col("__clean").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns))
+def redact(df: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """df with every span in text_col replaced by [PRIVATE]; overlapping spans become one. Rows without spans are unchanged but for null
+    texts, which become empty. All columns stay, whatever their names; nulls in them, repeated rows and an empty table do no harm."""
+    rows, name = _found(df, text_col)
+    place = lambda s: F.transform(s, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+
+    def clean(f: Column) -> Column:
+        spans = F.concat(*(place(f["base"][kind]) for kind in KINDS), place(f["added"]))
+        return F.when(F.size(spans) == 0, f["text"]).otherwise(let(_joined(spans), lambda s: _rebuilt(f["text"], s, lambda m: F.when(m["more"], "").otherwise("[PRIVATE]"))))
+
+    return rows.select(*(let(F.col(name), clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))

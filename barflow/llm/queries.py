@@ -67,7 +67,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base, added = F.col("base"), F.col("added")
     joined = lambda extra: F.array_join(F.concat(*(pii.kind_spans(base[k], extra, k) for k in pii.KINDS)), ",")
-    return found.select("doc_id", *(F.size(base[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS), F.sha2(joined(None), 256).alias("base_sha256"), joined(added).alias("spans"))
+    secrets = F.filter(added, lambda c: c["kind"] == "secret")
+    return found.select(
+        "doc_id",
+        *(F.size(base[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(joined(None), 256).alias("base_sha256"),
+        joined(added).alias("spans"),
+        F.array_join(F.transform(secrets, lambda c: F.concat_ws(":", c["start"], c["end"])), ",").alias("secret_spans"),
+        (sum(F.size(base[k]) for k in pii.KINDS) + F.size(added)).cast("long").alias("n_found"),
+    )
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
