@@ -10,6 +10,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut, raw, slices
 
@@ -17,6 +18,8 @@ from .common import cut, raw, slices
 BLANK = b" \t\n\x0b\x0c\r"
 #: Leading bytes of a text that the splitters compare; a hash of the whole text comes next, so that equals stay together.
 HEAD = 48
+#: Bytes of input for a task at most: it holds the ids of one group, as far as they lie in it.
+TASK_BYTES = 256 << 20
 
 
 def _better(a: tuple, b: tuple) -> tuple:
@@ -87,9 +90,13 @@ def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         if out:
             yield batch_of(out)
 
-    id_type = [pa.int32() if kind == "int" else pa.string() if kind == "string" else pa.int64()]
+    id_type = [to_arrow_type(rows.schema[0].dataType)]
     normal = rows.mapInArrow(normalise, f"id {kind}, points long, head binary, hash long, norm binary{own_kind}")
-    placed = normal.repartitionByRange("head", "hash", "id").sortWithinPartitions("head", "hash", "norm", "id")
+    # the session's number of partitions, or more where the plan's size says that a task would get over TASK_BYTES
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = size // TASK_BYTES if size < 1 << 60 else 0
+    wide = [tasks] if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    placed = normal.repartitionByRange(*wide, "head", "hash", "id").sortWithinPartitions("head", "hash", "norm", "id")
     settled = cut(placed.mapInArrow(settle, f"id {kind}, row long, keep {kind}, keep_points long, keep_row long, size long, sha string, run long, norm binary{own_kind}"))
 
     # runs that may go on in another task: at most those of two keys a task

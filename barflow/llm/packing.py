@@ -96,10 +96,11 @@ def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "t
 
     A document's tokens are those of the tokenizer file at path (read by the driver, broadcast) without special tokens, then
     end_id. It is cut into pieces of `length` tokens and a rest. A full piece is a sequence; the rests of a group of about
-    group_rows documents, drawn by a seeded hash of their ids, are packed by first-fit decreasing. ids: the piece's ids as
+    group_rows documents, drawn by a seeded hash of their places in the input, are packed by first-fit decreasing. ids: the piece's ids as
     little-endian unsigned 32-bit numbers. Ties in size go by id, then by place. sequence_id tells group and bin.
 
-    Null text counts as empty: one token, end_id. Rows that repeat an id, or have none, are packed as documents of their own. A
+    Null text counts as empty: one token, end_id. Rows that repeat an id, or have none, are packed as documents of their own, and spread over
+    the groups like others. df must give the same rows in the same order whenever it is read, as tables do. A
     text of any length moves as pieces. An empty table gives no rows. Other columns of df are not read.
     The only shuffle moves the pieces, by group and in the narrowest ids that hold the vocabulary.
     """
@@ -114,7 +115,7 @@ def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "t
     wide = np.dtype(dtype).itemsize
     shared = spark.sparkContext.broadcast(spec)
     groups = max(1, -(-df.count() // group_rows))
-    rows = df.select(F.col(id_col), F.col(text_col))
+    rows = df.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("place"))
     kind = rows.schema[0].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +130,7 @@ def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "t
                     starts.append(at)
                     totals.append(n)
                     ids.append(all_ids[at * wide : (at + length) * wide])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(ids, pa.binary())], ["id", "start", "total", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(ids, pa.binary()), batch.column(2).take(pa.array(of, pa.int64()))], ["id", "start", "total", "ids", "place"])
 
     def fill(key: tuple, group: pa.Table) -> pa.Table:
         own, start = group["id"].to_pylist(), group["start"].to_pylist()
@@ -156,6 +157,6 @@ def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "t
             }
         )
 
-    pieces = rows.mapInArrow(cut, f"id {kind}, start long, total long, ids binary")
-    drawn = pieces.withColumn("grp", F.pmod(F.xxhash64("id", F.when(F.octet_length("ids") == length * wide, F.col("start")), F.lit(seed)), F.lit(groups)))
+    pieces = rows.mapInArrow(cut, f"id {kind}, start long, total long, ids binary, place long")
+    drawn = pieces.withColumn("grp", F.pmod(F.xxhash64("place", F.when(F.octet_length("ids") == length * wide, F.col("start")), F.lit(seed)), F.lit(groups))).drop("place")
     return drawn.groupBy("grp").applyInArrow(fill, f"`{id_col}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -10,13 +10,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, slices, texts
 
 #: Labelled rows that the fit may use (the first by a hash of their ids).
 SAMPLE = 5000
+#: Bytes of their texts at most.
+SAMPLE_BYTES = 64 << 20
 #: Components of a word's index vector, those of them that are not 0, and words to either side that make its context.
 DIMS, ONES, WINDOW = 64, 6, 2
 #: Occurrences in the sample from which a word has a vector of its own; rarer words share their shape's.
@@ -165,12 +167,16 @@ def held_out(id_col: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """The model from at most `sample` labelled rows that are not held out: those whose ids hash lowest. Of an id's labels the
+    """The model from at most `sample` labelled rows that are not held out: those whose ids hash lowest, as far as
+    SAMPLE_BYTES of text go. Of an id's labels the
     largest counts; labels other than 0 and 1 and null texts do not. The driver gets the sample's texts."""
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(id_col, F.col(text_col).alias("__t")).join(F.broadcast(chosen), id_col).filter(F.col("__t").isNotNull())
-    got = rows.orderBy(F.xxhash64(id_col), id_col, "__t").limit(sample).select("__t", "__y").toArrow()
+    chosen = rows.orderBy(F.xxhash64(id_col), id_col, "__t").limit(sample)
+    # of these few rows, those whose texts fit
+    so_far = F.sum(F.octet_length("__t")).over(Window.orderBy(F.xxhash64(id_col), id_col, "__t").rowsBetween(Window.unboundedPreceding, 0))
+    got = chosen.withColumn("__sum", so_far).filter(F.col("__sum") <= SAMPLE_BYTES).select("__t", "__y").toArrow()
     return Model(list(zip(got["__t"].to_pylist(), got["__y"].to_pylist(), strict=True)))
 
 

@@ -5,45 +5,67 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Bytes of text in a bucket.
 BUCKET_BYTES = 16 << 20
+#: Buckets whose counts are summed up in one window.
+GROUP = 4096
+#: Rows that are equal in all columns and stay together.
+COPIES = 1024
+
+
+def scatter(df: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """df with __bucket."""
+    names = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.withColumn("__key", F.xxhash64(*names, F.lit(seed)))
+    many = cut(rows.groupBy("__key").count().filter(F.col("count") > COPIES).select("__key"))
+    if not many.isEmpty():
+        equal = rows.join(many, "__key", "left_semi").groupBy(*names).count()
+        equal = equal.select(*names, F.explode(F.sequence(F.lit(1), F.col("count"))).alias("__key")).withColumn("__key", F.xxhash64(*names, "__key", F.lit(seed)))
+        rows = rows.join(many, "__key", "left_anti").select(*names, "__key").unionByName(equal)
+    return rows.withColumn("__bucket", F.pmod("__key", F.lit(buckets))).drop("__key")
 
 
 def shard(df: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 29, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """df's columns in random order, with shard (0 to shards - 1) and slot (place in the shard, gapless from 0).
 
-    Pass 1 scatters whole records into buckets of about bucket_bytes by a seeded hash of their ids, so copies of one text
-    scatter like any rows. Pass 2 shuffles each bucket in memory by Fisher-Yates, seeded with the bucket's number. The buckets in
-    a row are one random order of all records; place p in it goes to slot p // shards of shard p % shards. So shards differ by
-    one row at most. The result depends on rows and seed alone, not on tasks or retries.
+    Pass 1 scatters whole records into buckets of about bucket_bytes by a seeded hash of all their columns, so any rows scatter: copies of one
+    text, rows of one id or of none. Rows that are equal in all and more than COPIES are counted and numbered, and scatter by number too.
+    Pass 2 shuffles each bucket in memory by Fisher-Yates, seeded with the bucket's number. The buckets in a row are one random order of all
+    records; place p in it goes to slot p // shards of shard p % shards. So shards differ by one row at most. The result depends on rows
+    and seed alone, not on tasks or retries.
 
     Null texts have no bytes; null ids and rows that repeat an id are records as any. An empty table gives no rows. Columns of
-    df named shard or slot are replaced. The driver gets one count a bucket.
+    df named shard or slot are replaced. The first place of each bucket is a sum within 4096 buckets and one over such groups; no table of
+    buckets goes to the driver.
     """
     names = [c for c in df.columns if c not in ("shard", "slot")]
     df = df.select(*(F.col(f"`{c}`") for c in names))
     total = df.select(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).alias("b")).first().b or 0
     buckets = max(1, -(-total // bucket_bytes))
-    placed = df.withColumn("__bucket", F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(buckets)))
-    counts = np.zeros(buckets + 1, np.int64)
-    for r in placed.groupBy("__bucket").count().toLocalIterator():
-        counts[r[0] + 1] = r[1]
-    first = df.sparkSession.sparkContext.broadcast(np.cumsum(counts))
+    placed = scatter(df, buckets, seed)
+    counts = placed.groupBy("__bucket").agg(F.count("*").alias("n")).withColumn("part", F.expr(f"__bucket div {GROUP}"))
+    inner = F.sum("n").over(Window.partitionBy("part").orderBy("__bucket")) - F.col("n")
+    # one row a group of buckets: 64 GB of text each
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    groups = counts.groupBy("part").agg(F.sum("n").alias("n")).select("part", before.alias("before"))
+    first = counts.withColumn("inner", inner).join(groups, "part").select("__bucket", (F.col("inner") + F.col("before")).alias("__first"))
 
     def shuffle(key: tuple, group: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
+        bucket, start = key[0].as_py(), group["__first"][0].as_py() if group.num_rows else 0
         group = group.select(names)
         group = group.take(pc.sort_indices(group, [(id_col, "ascending"), (text_col, "ascending")]))
         order = np.arange(group.num_rows)
         np.random.Generator(np.random.PCG64([seed, bucket])).shuffle(order)  # Fisher-Yates
-        at = first.value[bucket] + np.arange(group.num_rows)
+        at = start + np.arange(group.num_rows)
         return group.take(pa.array(order)).append_column("shard", pa.array((at % shards).astype(np.int32))).append_column("slot", pa.array(at // shards))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return placed.groupBy("__bucket").applyInArrow(shuffle, f"{fields}, shard int, slot long")
+    return placed.join(first, "__bucket").groupBy("__bucket").applyInArrow(shuffle, f"{fields}, shard int, slot long")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Tables, cut, tables
+
 #: Vectors in a block, queries searched at once in it, and queries that one pass over the table serves (they are broadcast).
 BLOCK, TOGETHER, QUERIES_A_PASS = 4096, 512, 8192
 #: Depths at which bounds are taken, as parts of the lists.
-DEPTHS = (0.125, 0.25, 0.5, 0.75, 1.0)
+DEPTHS = (0.0625, 0.125, 0.25, 0.5, 1.0)
 #: A query stops reading once at most this many vectors can still qualify; their final scores are then resolved.
 FEW = 32
 
@@ -53,42 +55,80 @@ class Best:
         self.floor = self.kept[:, -1]
 
 
-def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, at: np.ndarray, best: Best) -> int:
-    """Adds to best what block x can give the queries (numbers `at` in best). The vectors whose scores were resolved are counted.
+class Lists:
+    """A block's lists, one a dimension, sorted by component, with how far they were read from either end.
+
+    part[v, q] sums what was read of vector v for query q: components of its lists, those that raise the query's score from the top on, those
+    that lower it from the bottom on. unread (a table for each end) says which components were not reached yet; nothing else is known of them
+    but that they lie between the place reached and the list's other end.
+    """
 
-    Each dimension is a list sorted by component. A query reads it from the top if its own component is positive, else from the
-    bottom. Down to a depth, what has been read counts in full. What has not is bounded above by the value at the depth, and
-    below by the list's end. A vector stays while its upper bound reaches the k-th best lower bound.
+    def __init__(self, x: np.ndarray, queries: np.ndarray, kind: type):
+        self.order = np.argsort(x, axis=0, kind="stable")
+        self.lists = np.take_along_axis(x, self.order, 0).astype(kind)
+        self.n, self.dims = x.shape
+        self.gain, self.loss = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
+        self.part = np.zeros((self.n, len(queries)), kind)
+        self.unread = np.ones((2, self.n, self.dims), kind)
+        self.at = self.read = 0
+
+    def read_to(self, depth: int) -> None:
+        """Reads each list on to this depth, the top for queries with a positive component, the bottom for the others."""
+        for d in range(self.dims):
+            for end, factor, rows in ((0, self.gain[:, d], slice(self.n - depth, self.n - self.at)), (1, self.loss[:, d], slice(self.at, depth))):
+                if factor.any():
+                    places = self.order[rows, d]
+                    self.part[places] += self.lists[rows, d][:, None] * factor
+                    self.unread[end, places, d] = 0
+        self.read += (depth - self.at) * int(np.count_nonzero(self.gain) + np.count_nonzero(self.loss))
+        self.at = depth
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest score that each vector can have for each query."""
+        top, bottom = self.lists[self.n - self.at], self.lists[self.at - 1]
+        least = self.part + self.unread[0] @ (self.gain * self.lists[0]).T + self.unread[1] @ (self.loss * self.lists[-1]).T
+        most = self.part + self.unread[0] @ (self.gain * top).T + self.unread[1] @ (self.loss * bottom).T
+        return least, most
+
+    def only(self, queries: np.ndarray) -> None:
+        """Goes on for these queries."""
+        self.part, self.gain, self.loss = self.part[:, queries], self.gain[queries], self.loss[queries]
+
+
+def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, at: np.ndarray, best: Best) -> tuple[int, int]:
+    """Adds to best what block x can give the queries (numbers `at` in best). The vectors whose scores were resolved, and the components read
+    before, are counted.
+
+    All queries read their lists to one depth, then bounds are taken. A vector stays while its greatest score reaches the k-th greatest of
+    the least scores, here or in blocks before. A query of which few vectors stay stops reading.
     """
-    n, dims = x.shape
-    lists = np.sort(x, axis=0)
-    split = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
-    alive = np.ones((len(queries), n), bool)
-    alive[own[:, None] == ids[None, :]] = False
-    # sums of doubles stray by less than this from those of whole numbers
-    slack = 1e-9 * (1 + np.abs(queries).sum(1) * np.abs(x).max(initial=0))
+    n, resolved = len(x), 0
+    # single precision where it is near enough; bounds are widened by more than rounding can move them
+    reach = np.abs(queries).sum(1) * np.abs(x).max(initial=0)
+    kind = np.float32 if reach.max(initial=0) < 2**40 else np.float64
+    slack = (1 + reach) * (1e-6 if kind is np.float32 else 1e-9) * 4
+    lists = Lists(x, queries, kind)
+    alive = own[None, :] != ids[:, None]
+    going = np.arange(len(queries))
     for depth in DEPTHS:
-        t = max(1, int(n * depth))
-        top, bottom = lists[n - t], lists[t - 1]
-        upper = split @ np.hstack([np.maximum(x, top), np.minimum(x, bottom)]).T
-        floor = best.floor[at]
-        if depth < 1:
-            lower = split @ np.hstack([np.where(x >= top, x, lists[0]), np.where(x <= bottom, x, lists[-1])]).T
-            lower[~alive] = -np.inf
-            both = np.hstack([lower, best.kept[at]])
-            floor = np.maximum(floor, np.partition(both, both.shape[1] - best.k, axis=1)[:, both.shape[1] - best.k])
-        alive &= upper >= (floor - slack)[:, None]
-        if alive.sum(1).max(initial=0) <= FEW:
+        lists.read_to(max(1, int(n * depth)))
+        least, most = lists.bounds()
+        least[~alive] = -np.inf
+        both = np.vstack([least, best.kept[at[going]].T])
+        floor = np.maximum(best.floor[at[going]], np.partition(both, len(both) - best.k, axis=0)[len(both) - best.k])
+        alive &= most >= (floor - 2 * slack[going])[None, :]
+        stops = (alive.sum(0) <= FEW) | (depth == 1)
+        v, q = np.nonzero(alive & stops)
+        resolved += len(q)
+        for lo in range(0, len(q), 1 << 16):
+            a, b = going[q[lo : lo + (1 << 16)]], v[lo : lo + (1 << 16)]
+            best.add(at[a], ids[b], exact_dot(queries[a], x[b]))
+        if stops.all():
             break
-    if depth == 1:  # all has been read: upper is the score; only the k best of the block, with their ties, are resolved
-        upper[~alive] = -np.inf
-        if n > best.k:
-            alive &= upper >= (np.partition(upper, n - best.k, axis=1)[:, n - best.k] - slack)[:, None]
-    q, v = np.nonzero(alive)
-    for lo in range(0, len(q), 1 << 16):
-        a, b = q[lo : lo + (1 << 16)], v[lo : lo + (1 << 16)]
-        best.add(at[a], ids[b], exact_dot(queries[a], x[b]))
-    return len(q)
+        left = np.flatnonzero(~stops)
+        lists.only(left)
+        alive, going = alive[:, left], going[left]
+    return resolved, lists.read
 
 
 def top_k(df: DataFrame, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, scale: int = 256) -> DataFrame:
@@ -101,8 +141,8 @@ def top_k(df: DataFrame, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "
     query with fewer than k candidates gets all. Rows that repeat an id are candidates each. Scores beyond 64 bits are held at
     the limits. An empty table gives no rows; other columns of df are not read.
 
-    Queries are served QUERIES_A_PASS at a time, drawn by a hash of their ids: so many vectors are broadcast, never more. Each
-    task searches its rows in blocks, and hands on k rows a query.
+    Queries are served QUERIES_A_PASS at a time, drawn by a hash of their ids: so many vectors are broadcast, never more. Each pass reads
+    the table once (its rows do not move) and writes k rows a query and task before the next begins; what is returned is a checkpoint.
     """
     spark = df.sparkSession
     x = F.col("vec")
@@ -111,7 +151,7 @@ def top_k(df: DataFrame, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "
     asked = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
     passes = max(1, -(-asked.count() // QUERIES_A_PASS))
 
-    def one(part: int) -> DataFrame:
+    def one(part: int, tables: Tables) -> DataFrame:
         own = asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == part).toArrow()
         by_size: dict[int, list[tuple[int, list]]] = {}
         for i, vec in zip(own["id"].to_pylist(), own["vec"].to_pylist(), strict=True):
@@ -149,10 +189,17 @@ def top_k(df: DataFrame, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "
                 if len(b.query):
                     yield pa.RecordBatch.from_arrays([pa.array(queries[d][0][b.query]), pa.array(b.id), pa.array(b.score)], ["query_id", "vec_id", "score"])
 
-        return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+        found = tables.keep(rows.mapInArrow(run, "query_id long, vec_id long, score long"), f"pass={part}")
+        shared.destroy()
+        return found
+
+    with tables(spark) as own:
+        for part in range(passes):
+            found = one(part, own)
+        found = spark.read.schema(found.schema).parquet(*(f"{own.folder}/pass={part}" for part in range(passes)))
+        return cut(_ranked(found, k))
+
 
-    found = one(0)
-    for part in range(1, passes):
-        found = found.unionByName(one(part))
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -9,9 +9,10 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barflow.llm import exact_dedup, packing, sharding
+from barflow.llm import exact_dedup, packing, queries, sharding
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -101,3 +102,49 @@ def test_sharding(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows())
     assert sharding.shard(docs.limit(0)).count() == 0
     assert zlib.crc32(b"") == 0
+
+
+def test_rows_of_one_id_scatter(spark):
+    same = spark.range(30000).selectExpr("CAST(NULL AS bigint) AS doc_id", "'one text' AS text")
+    texts = spark.range(30000).selectExpr("7L AS doc_id", "concat('text ', id) AS text")
+    df = same.union(texts)
+    in_buckets = [r["count"] for r in sharding.scatter(df, 60, 1).groupBy("__bucket").count().collect()]
+    assert len(in_buckets) == 60 and max(in_buckets) < 1400
+    got = sharding.shard(df, 4, bucket_bytes=100_000)
+    assert sorted(map(tuple, got.groupBy("shard").agg(F.count("*"), F.max("slot")).collect())) == [(k, 15000, 14999) for k in range(4)]
+    assert got.filter("doc_id IS NULL AND text = 'one text'").count() == 30000
+    packed = packing.pack(df, WORDS, length=256, group_rows=1000)
+    sizes = [r["count"] for r in packed.withColumn("g", packed.sequence_id.bitwiseAND(-1 << 32)).groupBy("g").count().collect()]
+    assert sum(sizes) == 60000 and max(sizes) < 1400
+
+
+def test_contract_columns_of_shards_and_packs(spark, docs, tmp_path):
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    text = dict(rows())
+    got = queries.op8_sharding(spark, str(tmp_path)).collect()
+    assert len(got) == len(text) and {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+    counts = defaultdict(list)
+    for r in got:
+        t = (text[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(t) + 1, zlib.crc32(t))
+        counts[r.shard].append(r.slot)
+    assert sorted(counts) == list(range(16)) and all(sorted(s) == list(range(len(s))) for s in counts.values())
+    assert max(map(len, counts.values())) - min(map(len, counts.values())) <= 1
+    lib = Tokenizer.from_file(WORDS)
+    want = {i: [*lib.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows()}
+    for r in queries.op3_packing(spark, str(tmp_path)).collect():
+        ids = want[r.doc_id][r.start : r.start + r.length]
+        assert (len(ids), r.ids_crc32, r.doc_tokens) == (r.length, zlib.crc32(np.array(ids, "<u4").tobytes()), len(want[r.doc_id]))
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(10,0)", "date", "string"])
+def test_copies_with_other_ids(spark, kind):
+    made = {"date": "date_add(date'2020-01-01', CAST(id AS int))"}.get(kind, f"CAST(id AS {kind})")
+    df = spark.range(40).selectExpr(f"{made} AS doc_id", "concat('t', id % 4) AS text")
+    got = exact_dedup.find_copies(df.unionByName(df.selectExpr(f"CAST(NULL AS {kind}) AS doc_id", "text"))).collect()
+    assert len(got) == 80 and sum(r.kept for r in got) == 4 and {r.group_size for r in got} == {20}
+
+
+def test_copies_of_very_long_texts(spark):
+    df = spark.range(6).selectExpr("id AS doc_id", "concat(repeat('long text ', 300000), IF(id < 4, 'a', 'b')) AS text")
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.find_copies(df).collect()} == {i: (0, 4) if i < 4 else (4, 2) for i in range(6)}

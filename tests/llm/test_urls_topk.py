@@ -77,8 +77,33 @@ def test_search_in_blocks_and_passes(spark, monkeypatch):
     best = topk.Best(20, 5)
     x, ids = topk.whole(np.array([v for _, v in rows]), 256), np.array([i for i, _ in rows])
     asked = ids % 50 == 0
-    resolved = sum(topk.search(x[lo:lo + 256], ids[lo:lo + 256], x[asked], ids[asked], np.arange(asked.sum()), best) for lo in range(0, 1000, 256))
+    resolved = sum(topk.search(x[lo:lo + 256], ids[lo:lo + 256], x[asked], ids[asked], np.arange(asked.sum()), best)[0] for lo in range(0, 1000, 256))
     want = brute(rows, 5)
     assert {(int(ids[asked][q]), int(i), int(s)) for q, i, s in zip(best.query, best.id, best.score)} == {(q, i, s) for q, _, i, s in want}
     assert resolved < 20 * 1000 / 2
     assert {tuple(x) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()} == want
+
+
+def test_reading_stops():
+    """Where few vectors stand out, few components of each list are read; what is not read is not looked up."""
+    r = np.random.default_rng(7)
+    x = topk.whole(r.exponential(size=(4000, 8)) ** 4, 256)
+    asked = x[:100]
+    best = topk.Best(100, 5)
+    read = topk.search(x, np.arange(4000), asked, np.arange(100), np.arange(100), best)[1]
+    assert read < 0.5 * 100 * 4000 * 8
+    scores = asked @ x.T
+    scores[np.arange(100), np.arange(100)] = -np.inf
+    want = {(q, int(i), int(scores[q, i])) for q in range(100) for i in np.lexsort((np.arange(4000), -scores[q]))[:5]}
+    assert {(int(q), int(i), int(s)) for q, i, s in zip(best.query, best.id, best.score)} == want
+
+
+def test_bounds_hold_at_each_depth():
+    r = np.random.default_rng(8)
+    x, q = topk.whole(r.normal(size=(300, 5)), 256), topk.whole(r.normal(size=(20, 5)), 256)
+    lists = topk.Lists(x, q, np.float64)
+    for depth in (1, 20, 150, 300):
+        lists.read_to(depth)
+        least, most = lists.bounds()
+        assert (least <= x @ q.T).all() and (x @ q.T <= most).all()
+    assert (least == most).all() and lists.read == 300 * np.count_nonzero(q)
