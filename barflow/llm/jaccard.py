@@ -30,8 +30,10 @@ FREQUENT = 64
 MEMO = 300_000
 #: Members of an index list that are compared at once; longer lists are cut into blocks, and blocks compared two by two.
 BLOCK = 512
-#: Of a block pair at most so many candidate pairs a member are verified at once; beyond, what connects them comes first.
-FEW = 4
+#: Of a block pair at most so many candidate pairs a component are verified at once; beyond, what connects them comes first.
+FEW = 2
+#: Pairs that a task of the comparison remembers, so that those of several lists leave it once.
+PAIRS = 100_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -280,7 +282,7 @@ class Join:
 
     def _compare(self, blocks: DataFrame, every: bool) -> DataFrame:
         """Pairs (a, b) of ids of a block pair that lie in different components so far and that bounds do not rule out. Of a block pair with
-        over FEW such pairs a member, unless every, just enough come to connect what all of them would, and a row without ids that
+        over FEW such pairs a component, unless every, just enough come to connect what all of them would, and a row without ids that
         names it (key, i, j)."""
         num, den = self.num, self.den
 
@@ -288,6 +290,7 @@ class Join:
             index = Index(np.zeros(COUNTERS, np.uint8), num, den)
             held: list[tuple] = []
             out: list[tuple] = []
+            sent: set[tuple[int, int]] = set()
 
             def close() -> None:
                 key, i, j = held[0][:3]
@@ -298,7 +301,9 @@ class Join:
                 near = index.can_link(n[0][:, None], n[1][None], differing([h[7] for h in left], [h[7] for h in right]))
                 near &= comp[0][:, None] != comp[1][None]
                 a, b = np.nonzero(np.triu(near) if i == j else near)
-                whole = every or len(a) <= FEW * len(held)
+                whole = every or len(a) <= FEW * len({h[5] for h in held})
+                if len(sent) > PAIRS:
+                    sent.clear()
                 if not whole:
                     out.append((None, None, key, i, j))
                 root: dict[int, int] = {}
@@ -314,7 +319,10 @@ class Join:
                         if u == v:
                             continue
                         root[max(u, v)] = min(u, v)
-                    out.append((int(min(ids[0][x], ids[1][y])), int(max(ids[0][x], ids[1][y])), None, None, None))
+                    pair = int(min(ids[0][x], ids[1][y])), int(max(ids[0][x], ids[1][y]))
+                    if pair not in sent:
+                        sent.add(pair)
+                        out.append((*pair, None, None, None))
 
             def flush() -> pa.RecordBatch:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
@@ -350,21 +358,21 @@ class Join:
         # first every member of a list with the list's smallest, then what is still apart
         stars = entries.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
         links = self.verify(keep(self._bounded(stars, sketches), "stars"), "star-links")
-        known = components(links, self.tables, "known")
+        known = components(links, self.tables, "known", rounds=1)
         rows = entries.filter("members > 2").join(known, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
         rows = keep(rows, "open")
         drop("entries")
         blocks = self._blocks(rows, sketches)
         found = keep(self._compare(blocks, False), "found")
-        more = self.verify(found.filter("a IS NOT NULL").select("a", "b"), "block-links")
-        known = components(links.unionByName(more), self.tables, "more")
+        links = links.unionByName(self.verify(found.filter("a IS NOT NULL").select("a", "b"), "block-links"))
         crowded = found.filter("a IS NULL").select("key", "i", "j")
         if not crowded.isEmpty():
+            known = components(links, self.tables, "more", rounds=2)
             rest = rows.drop("component").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
             rest = self._blocks(keep(rest.join(crowded.select("key").distinct(), "key", "left_semi"), "crowded"), sketches)
             found = keep(self._compare(rest.join(crowded, ["key", "i", "j"], "left_semi"), True), "rest")
-            last = self.verify(found.select("a", "b"), "rest-links")
-            known = components(links.unionByName(more).unionByName(last), self.tables, "last")
+            links = links.unionByName(self.verify(found.select("a", "b"), "rest-links"))
+        known = components(links, self.tables, "last")
         label = sets.select("fp", "id").join(known, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
         out = base.select("id", "n", "fp").join(label, "fp", "left")
         out = out.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))

@@ -100,3 +100,25 @@ def test_components(spark):
         got = {x.id: x.component for x in components(spark.createDataFrame(links, "a long, b long"), own, "x").collect()}
         assert got == {i: want[i] for p in links if p[0] != p[1] for i in p}
         assert components(spark.createDataFrame([], "a long, b long"), own, "y").count() == 0
+        part = {x.id: x.component for x in components(spark.createDataFrame(links, "a long, b long"), own, "z", rounds=1).collect()}
+        assert set(part) == set(got) and all(got[i] == got[c] for i, c in part.items())
+
+
+def test_long_lists(spark, monkeypatch):
+    """Groups in which the smallest id is no copy of most, in lists of many blocks, with and without room for all candidates."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage, texts = [word() for _ in range(60)], []
+    for _ in range(300):
+        copy = passage + [word() for _ in range(2)]
+        for _ in range(r.randrange(1, 4)):
+            copy[r.randrange(60)] = word()
+        texts.append(" ".join(copy))
+    want = brute(texts, 3, 70, 100)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 3 < len({c for _, c in want}) < 290
+    for block, few in ((16, 2), (512, 0)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "FEW", few)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(df, words=3, similarity=(70, 100)).collect()}
+        assert got == dict(enumerate(want)), (block, few)
