@@ -29,7 +29,9 @@ FREQUENT = 64
 #: Words that each Python worker remembers.
 MEMO = 300_000
 #: Members of an index list that are compared at once; longer lists are cut into blocks, and blocks compared two by two.
-BLOCK = 512
+BLOCK = 2048
+#: Members of one block that are compared with all of the other at a time.
+STRIP = 256
 #: Of a block pair at most so many candidate pairs a component are verified at once; beyond, what connects them comes first.
 FEW = 2
 #: Pairs that a task of the comparison remembers, so that those of several lists leave it once.
@@ -298,8 +300,10 @@ class Join:
                 if not left or not right:
                     return
                 ids, comp, n = ([np.array([h[k] for h in side]) for side in (left, right)] for k in (4, 5, 6))
-                near = index.can_link(n[0][:, None], n[1][None], differing([h[7] for h in left], [h[7] for h in right]))
-                near &= comp[0][:, None] != comp[1][None]
+                near, sketches = comp[0][:, None] != comp[1][None], [h[7] for h in right]
+                for lo in range(0, len(left), STRIP):
+                    strip = slice(lo, lo + STRIP)
+                    near[strip] &= index.can_link(n[0][strip, None], n[1][None], differing([h[7] for h in left[strip]], sketches))
                 a, b = np.nonzero(np.triu(near) if i == j else near)
                 whole = every or len(a) <= FEW * len({h[5] for h in held})
                 if len(sent) > PAIRS:
