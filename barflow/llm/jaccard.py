@@ -284,8 +284,8 @@ class Join:
 
     def _compare(self, blocks: DataFrame, every: bool) -> DataFrame:
         """Pairs (a, b) of ids of a block pair that lie in different components so far and that bounds do not rule out. Of a block pair with
-        over FEW such pairs a component, unless every, just enough come to connect what all of them would, and a row without ids that
-        names it (key, i, j)."""
+        over FEW such pairs a component, unless every, just enough come to connect what all of them would, and for each member with such
+        a pair a row with b alone that names it and the block pair (key, i, j)."""
         num, den = self.num, self.den
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +309,7 @@ class Join:
                 if len(sent) > PAIRS:
                     sent.clear()
                 if not whole:
-                    out.append((None, None, key, i, j))
+                    out.extend((None, int(x), key, i, j) for x in {*ids[0][a].tolist(), *ids[1][b].tolist()})
                 root: dict[int, int] = {}
 
                 def find(c: int) -> int:
@@ -369,12 +369,13 @@ class Join:
         blocks = self._blocks(rows, sketches)
         found = keep(self._compare(blocks, False), "found")
         links = links.unionByName(self.verify(found.filter("a IS NOT NULL").select("a", "b"), "block-links"))
-        crowded = found.filter("a IS NULL").select("key", "i", "j")
+        # members of the block pairs of which some pairs are left
+        crowded = found.filter("a IS NULL").select("key", "i", "j", F.col("b").alias("id"))
         if not crowded.isEmpty():
             known = components(links, self.tables, "more", rounds=2)
             rest = rows.drop("component").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            rest = self._blocks(keep(rest.join(crowded.select("key").distinct(), "key", "left_semi"), "crowded"), sketches)
-            found = keep(self._compare(rest.join(crowded, ["key", "i", "j"], "left_semi"), True), "rest")
+            rest = self._blocks(keep(rest.join(crowded.select("key", "id").distinct(), ["key", "id"], "left_semi"), "crowded"), sketches)
+            found = keep(self._compare(rest.join(crowded, ["key", "i", "j", "id"], "left_semi"), True), "rest")
             links = links.unionByName(self.verify(found.select("a", "b"), "rest-links"))
         known = components(links, self.tables, "last")
         label = sets.select("fp", "id").join(known, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
