@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch_minute, floor_minute, minute_of_day, trading_day
@@ -36,20 +36,21 @@ def bars_1m(rows: DataFrame, sessions: Sessions, *, keys: list[str] = ["symbol"]
     return out.drop("__m")
 
 
-def roll_up(bars: DataFrame, minutes: int, sessions: Sessions, *, keys: list[str] = ["symbol"], by_day: bool = False) -> DataFrame:  # noqa: B006
+def roll_up(bars: DataFrame, minutes: int | Column, sessions: Sessions, *, keys: list[str] = ["symbol"], by_day: bool = False) -> DataFrame:  # noqa: B006
     """Bars of `minutes` from one-minute bars: a bar ends where the slot of the day changes, and after a segment's last minute.
 
     Slots have no date, so two days whose bars meet in one slot join, unless by_day. Bars are few (at most 1,440 a symbol and
-    day), so one symbol's fit in a task.
+    day), so one symbol's fit in a task. minutes can be a column that is among the keys; bars of one minute stay as they are.
     """
     w = Window.partitionBy(*keys).orderBy("bar_time")
-    minute = minute_of_day(F.col("bar_time"))
-    rows = bars.withColumn("__slot", F.floor(minute / minutes)).withColumn("__last", sessions.is_last_minute(minute))
-    new = F.lag("__slot").over(w).isNull() | (F.lag("__slot").over(w) != F.col("__slot")) | F.lag("__last").over(w)
+    minute, n = minute_of_day(F.col("bar_time")), minutes if isinstance(minutes, Column) else F.lit(minutes)
+    rows = bars.withColumn("__slot", F.floor(minute / n)).withColumn("__last", sessions.is_last_minute(minute))
+    new = (n == 1) | F.lag("__slot").over(w).isNull() | (F.lag("__slot").over(w) != F.col("__slot")) | F.lag("__last").over(w)
     if by_day:
         new = new | (F.lag("trading_day").over(w) != F.col("trading_day"))
     rows = rows.withColumn("__new", new.cast("int")).withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "__g").agg(
+    flags = F.when(n == 1, F.col("flags")).otherwise(CLOSED) if isinstance(minutes, Column) else F.lit(CLOSED)
+    return rows.withColumn("__flags", flags).groupBy(*keys, "__g").agg(
         F.min("bar_time").alias("bar_time"),
         F.min_by("trading_day", "bar_time").alias("trading_day"),
         F.min_by("open", "bar_time").alias("open"),
@@ -61,17 +62,17 @@ def roll_up(bars: DataFrame, minutes: int, sessions: Sessions, *, keys: list[str
         F.max_by("open_interest", "bar_time").alias("open_interest"),
         F.lit(0.0).alias("settlement"),
         F.sum("tick_count").cast("int").alias("tick_count"),
-        F.lit(CLOSED).alias("flags"),
+        F.first("__flags").cast("int").alias("flags"),
     ).drop("__g")
 
 
 def all_periods(ticks: DataFrame, sessions: Sessions, periods: tuple[int, ...] = (5, 15), **options) -> DataFrame:
-    """One-minute bars and each longer period's, told apart by period ("60m", not "1h")."""
+    """One-minute bars and each longer period's, told apart by period ("60m", not "1h"). One-minute bars are made once, and a row of each
+    goes to every period."""
     one = bars_1m(deltas(valid_ticks(ticks, sessions), **options), sessions)
-    out = one.withColumn("period", F.lit("1m"))
-    for n in periods:
-        out = out.unionByName(roll_up(one, n, sessions).withColumn("period", F.lit(f"{n}m")))
-    return out
+    rows = one.withColumn("__n", F.explode(F.array(*(F.lit(n) for n in (1, *periods)))))
+    rolled = roll_up(rows, F.col("__n"), sessions, keys=["symbol", "__n"])
+    return rolled.withColumn("period", F.concat(F.col("__n").cast("string"), F.lit("m"))).drop("__n")
 
 
 def consecutive_bars(rows: DataFrame, keys: list[str]) -> DataFrame:

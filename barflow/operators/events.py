@@ -30,7 +30,7 @@ def first_touch(zones: DataFrame, ticks: DataFrame, keys: list[str]) -> DataFram
     before = F.lag("price").over(Window.partitionBy(*keys).orderBy("seq"))
     moves = ticks.select(*keys, "seq", "time", "price", before.alias("__b")).filter("__b IS NOT NULL AND __b <> price")
     role = F.when((F.col("__b") > F.col("upper")) & (F.col("price") <= F.col("upper")), "support").when((F.col("__b") < F.col("lower")) & (F.col("price") >= F.col("lower")), "resistance")
-    hits = moves.join(F.broadcast(zones), keys).withColumn("role", role).filter("role IS NOT NULL")
+    hits = moves.join(zones, keys).withColumn("role", role).filter("role IS NOT NULL")
     first = hits.groupBy(*keys, "zone_no").agg(F.min(F.struct(F.col("seq").alias("touch_seq"), "role", F.col("time").alias("touch_time"), F.col("price").alias("touch_price"))).alias("t"))
     return zones.join(first.select(*keys, "zone_no", "t.*"), [*keys, "zone_no"])
 
@@ -46,11 +46,11 @@ def outcomes(touched: DataFrame, ticks: DataFrame, limits: DataFrame, tick: Colu
     away = F.when(up, price >= F.col("upper") + F.col("reaction_ticks") * tick).otherwise(price <= F.col("lower") - F.col("reaction_ticks") * tick)
     through = F.when(up, price <= F.col("lower") - F.col("penetration_ticks") * tick).otherwise(price >= F.col("upper") + F.col("penetration_ticks") * tick)
     base = touched.join(limits, keys)
-    after = ticks.select(*keys, "seq", "time", "price").join(F.broadcast(base), keys).filter("seq >= touch_seq").withColumn("__what", F.when(away, "bounce").when(through, "break"))
+    after = ticks.select(*keys, "seq", "time", "price").join(base, keys).filter("seq >= touch_seq").withColumn("__what", F.when(away, "bounce").when(through, "break"))
     end = after.groupBy(*own).agg(F.coalesce(F.min(F.when(F.col("__what").isNotNull(), F.struct("seq", "time", "price", "__what"))), F.max(F.struct("seq", "time", "price", "__what"))).alias("e"))
     end = end.select(*own, F.col("e.seq").alias("resolution_seq"), F.col("e.time").alias("resolution_time"), F.col("e.price").alias("resolution_price"), F.coalesce("e.__what", F.lit("timeout")).alias("outcome"))
     gain = F.when(up, price - F.col("touch_price")).otherwise(F.col("touch_price") - price) / tick
-    way = after.join(F.broadcast(end.select(*own, "resolution_seq")), own).filter("seq <= resolution_seq")
+    way = after.join(end.select(*own, "resolution_seq"), own).filter("seq <= resolution_seq")
     reach = way.groupBy(*own).agg(F.greatest(F.lit(0.0), F.max(gain)).alias("mfe_ticks"), F.greatest(F.lit(0.0), F.max(-gain)).alias("mae_ticks"))
     minutes = (F.unix_micros(F.col("resolution_time").cast("timestamp")) - F.unix_micros(F.col("touch_time").cast("timestamp"))) / 60_000_000
     return base.join(end, own).join(reach, own).withColumn("minutes_to_resolution", minutes)

@@ -23,26 +23,40 @@ def minute_ranges(rows: DataFrame, tick: Column | float, keys: list[str]) -> Dat
 
 
 def dense(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """Every bin from the lowest to the highest of a key (over both methods), 0 where there is no volume."""
-    span = hist.groupBy(*keys).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.collect_set("method").alias("ms"))
-    grid = span.select(*keys, F.explode("ms").alias("method"), "lo", "hi").select(*keys, "method", F.explode(F.sequence("lo", "hi")).alias("bin"))
-    return grid.join(hist, [*keys, "method", "bin"], "left").withColumn("volume", F.coalesce("volume", F.lit(0)))
+    """Every bin from the lowest to the highest of a key (over both methods), 0 where there is no volume. A key's bins, some hundred, are
+    gathered in arrays, so hist is read once."""
+    cells = F.collect_list(F.struct("method", "bin", "volume"))
+    span = hist.groupBy(*keys).agg(F.min("bin").alias("__lo"), F.max("bin").alias("__hi"), cells.alias("__cells"))
+    own = span.withColumn("method", F.explode(F.array_distinct(F.transform("__cells", lambda c: c["method"]))))
+    own = own.withColumn("__own", F.map_from_entries(F.transform(F.filter("__cells", lambda c: c["method"] == F.col("method")), lambda c: F.struct(c["bin"], c["volume"]))))
+    rows = own.select(*keys, "method", "__own", F.explode(F.sequence("__lo", "__hi")).alias("bin"))
+    return rows.select(*keys, "method", "bin", F.coalesce(F.try_element_at("__own", F.col("bin")), F.lit(0)).alias("volume"))
 
 
 def all_scales(full: DataFrame, sigmas: tuple[float, ...], keys: list[str]) -> DataFrame:
     """(keys, method, bin, sigma, volume): convolution with Gaussian kernels over dense bins, zero outside, then scaled so that each
-    total is kept. Sigma 0 copies. Each bin hands its shares for all sigmas to its neighbours in one pass, and sums start before the
-    shuffle; a profile has some hundred bins, so the totals are windows over them."""
+    total is kept. Sigma 0 copies. A profile's bins, some hundred, are gathered in an array once, and each scale is made from that."""
     group = [*keys, "method"]
-    weights = [(float(s), k - len(g) // 2, w) for s in sigmas for g in [gaussian_kernel(s) if s > 0 else [1.0]] for k, w in enumerate(g)]
-    kernel = F.array(*(F.struct(F.lit(s).alias("sigma"), F.lit(k).alias("k"), F.lit(w).alias("w")) for s, k, w in weights))
-    given = full.filter("volume <> 0").select(*group, "bin", "volume", F.explode(kernel).alias("x"))
-    spread = given.groupBy(*group, "x.sigma", (F.col("bin") + F.col("x.k")).alias("bin")).agg(F.sum(F.col("volume") * F.col("x.w")).alias("__v"))
-    inside = full.withColumn("sigma", F.explode(F.array(*(F.lit(float(s)) for s in sigmas)))).join(spread, [*group, "sigma", "bin"], "left")
-    w = Window.partitionBy(*group, "sigma")
-    got, total = F.sum("__v").over(w), F.sum("volume").over(w)
-    value = F.when(F.col("sigma") <= 0, F.col("volume").cast("double")).when(got > 0, F.coalesce("__v", F.lit(0.0)) * total / got).otherwise(0.0)
-    return inside.select(*group, "bin", "sigma", value.alias("volume"))
+    bins = F.array_sort(F.collect_list(F.struct("bin", F.col("volume").cast("double").alias("v"))))
+    one = full.groupBy(*group).agg(bins.alias("__b")).withColumn("__v", F.transform("__b", lambda x: x["v"]))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    v = F.col("__v")
+
+    def scale(sigma: float):
+        if sigma <= 0:
+            return v
+        g = gaussian_kernel(sigma)
+        half = len(g) // 2
+        edge = F.array_repeat(F.lit(0.0), half)
+        weights = F.array(*(F.lit(float(w)) for w in g[::-1]))
+        spread = F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: total(F.zip_with(F.slice(F.concat(edge, v, edge), i, F.lit(len(g))), weights, lambda x, w: x * w)))
+        got = F.transform(F.array(spread), lambda s: F.struct(s.alias("s"), total(s).alias("t")))
+        return F.flatten(F.transform(got, lambda x: F.transform(x["s"], lambda y: F.when(x["t"] > 0, y * total(v) / x["t"]).otherwise(0.0))))
+
+    made = F.array(*(F.struct(F.lit(float(s)).alias("sigma"), scale(float(s)).alias("volumes")) for s in sigmas))
+    each = one.select(*group, "__b", F.explode(made).alias("x"))
+    rows = each.select(*group, "x.sigma", F.explode(F.zip_with("__b", "x.volumes", lambda b, y: F.struct(b["bin"].alias("bin"), y.alias("volume")))).alias("y"))
+    return rows.select(*group, "y.bin", "sigma", "y.volume")
 
 
 def smoothed(full: DataFrame, sigma: float, keys: list[str]) -> DataFrame:

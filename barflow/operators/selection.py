@@ -42,10 +42,14 @@ def reasons(limits: Limits) -> Column:
     return F.array_compact(F.array(*(F.when(test, name) for name, test in tests)))
 
 
-def representative(stats: DataFrame, roots: DataFrame, limits: Limits, *, root: str = "root", source: str = "source_file") -> DataFrame:
-    """Each root's contract with the largest volume, then most updates, then last source name; roots without one say no_source_file.
-    selected: nothing speaks against it. roots: a dimension of a few dozen rows."""
-    best = Window.partitionBy(root).orderBy(F.desc("total_volume"), F.desc("nonzero_updates"), F.desc(source))
+def representative(stats: DataFrame, roots: DataFrame, limits: Limits, *, root: str = "root", source: str = "source_file", day: str | None = None) -> DataFrame:
+    """Each root's contract (of each day in stats, if day names its column) with the largest volume, then most updates, then last source
+    name; roots without one say no_source_file. selected: nothing speaks against it. roots: a dimension of a few dozen rows."""
+    keys = [root] if day is None else [day, root]
+    best = Window.partitionBy(*keys).orderBy(F.desc("total_volume"), F.desc("nonzero_updates"), F.desc(source))
     top = stats.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n").withColumn("reasons", reasons(limits))
-    out = roots.join(top, root, "left").withColumn("reasons", F.coalesce("reasons", F.array(F.lit("no_source_file"))))
-    return out.withColumn("selected", F.size("reasons") == 0).orderBy(root)
+    if day is not None:
+        # a few dozen roots on each day
+        roots = stats.select(day).distinct().crossJoin(F.broadcast(roots))
+    out = roots.join(top, keys, "left").withColumn("reasons", F.coalesce("reasons", F.array(F.lit("no_source_file"))))
+    return out.withColumn("selected", F.size("reasons") == 0).orderBy(*keys)

@@ -95,10 +95,10 @@ def run(rows: DataFrame, contracts: DataFrame, sessions: Sessions, cfg: ProfileC
     stats = selection.contract_stats(norm.withColumn("source_file", F.col("instrument")), F.col("tick_size"), minutes, files, morning=morning)
     judged = judged_ticks(rows, sessions).join(F.broadcast(contracts.select("root")), "root", "left_semi")
     stats = selection.with_counters(stats, judged.withColumns({"source_file": F.col("instrument"), "trading_day": F.col("day_key")}), files)
-    picked = selection.representative(stats, contracts.select("root"), cfg.limits)
-    chosen = picked.filter("selected").select("root", F.col("source_file").alias("instrument"))
-    # at most one contract a root
-    norm = norm.join(F.broadcast(chosen), ["root", "instrument"], "left_semi")
+    picked = selection.representative(stats, contracts.select("root"), cfg.limits, day="trading_day")
+    chosen = picked.filter("selected").select("trading_day", "root", F.col("source_file").alias("instrument"))
+    # at most one contract a root and day
+    norm = norm.join(chosen, KEYS, "left_semi")
     early = norm.filter("session = 'morning'")
     full = profile.dense(profile.histograms(early, F.col("tick_size"), [*KEYS, "tick_size"]), [*KEYS, "tick_size"])
     scales = profile.all_scales(full, cfg.sigmas, [*KEYS, "tick_size"])

@@ -146,8 +146,8 @@ def trading_day(spark, sf):
 @query(
     "t9_calendar_day",
     """WITH c AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE isodow(o_orderdate) < 6 AND day(o_orderdate) % 7 <> 0),
-    g AS (SELECT unnest(generate_series(DATE '1994-01-01', DATE '1995-12-31', INTERVAL 1 DAY))::DATE AS date)
-    SELECT date::VARCHAR AS date, (SELECT min(d) FROM c WHERE d >= date)::VARCHAR AS day_session, (SELECT min(d) FROM c WHERE d > date)::VARCHAR AS night_session FROM g""",
+    e AS (SELECT min(o_orderdate)::DATE AS first, max(o_orderdate)::DATE + 7 AS last FROM orders), g AS (SELECT unnest(generate_series(first, last, INTERVAL 1 DAY))::DATE AS date FROM e)
+    SELECT g.date::VARCHAR AS date, a.d::VARCHAR AS day_session, b.d::VARCHAR AS night_session FROM g ASOF LEFT JOIN c a ON g.date <= a.d ASOF LEFT JOIN c b ON g.date < b.d""",
 )
 def calendar_day(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("trade_date"))
@@ -350,13 +350,18 @@ def _contracts(spark: SparkSession, sf: str) -> DataFrame:
     return selection.with_counters(selection.contract_stats(good, 0.05, 135, keys, morning=F.coalesce(morning, F.lit(False))), judged, keys)
 
 
-CONTRACTS = f"""{BASE}, p AS (SELECT *, symbol AS root, symbol || '_' || (user_id % 4) AS source_file FROM valid),
-    q AS (SELECT *, lag(volume) OVER w AS pv, lag(turnover) OVER w AS pt FROM p WINDOW w AS (PARTITION BY root, source_file ORDER BY seq)),
-    s AS (SELECT *, CASE WHEN pv IS NULL THEN 0 ELSE greatest(volume - pv, 0) END AS dv, {MORNING} AS w FROM q),
-    st AS (SELECT root, source_file, sum(dv) FILTER (w)::DOUBLE AS total_volume, count_if(w AND dv > 0)::BIGINT AS nonzero_updates, count(DISTINCT CASE WHEN w THEN date_trunc('minute', time) END) AS active_minutes,
-        count(DISTINCT CASE WHEN w THEN round_even(price / 0.05, 0) END) AS price_bins, count_if(w)::BIGINT AS valid_rows, count_if(volume < pv OR turnover < pt)::BIGINT AS resets,
-        count_if(w AND abs(price / 0.05 - round_even(price / 0.05, 0)) > 1e-6)::BIGINT AS misaligned_rows FROM s GROUP BY root, source_file),
-    stats AS (SELECT *, round(active_minutes / 135.0, 10) AS coverage, 0 AS backwards_rows FROM st)"""
+CONTRACTS = f"""{BASE}, p AS (SELECT * EXCLUDE (base), symbol AS root, symbol || '_' || (user_id % 4) AS source_file FROM judged),
+    jd AS (SELECT *, max(CASE WHEN price > 0 AND {INS} THEN time END) OVER (PARTITION BY root, source_file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM p),
+    vd AS (SELECT *, CASE WHEN NOT {INS} THEN 'session' WHEN NOT coalesce(price > 0, false) THEN 'price' WHEN time < base THEN 'time' ELSE 'valid' END AS verdict FROM jd),
+    q AS (SELECT *, lag(volume) OVER w AS pv, lag(turnover) OVER w AS pt FROM vd WHERE verdict = 'valid' WINDOW w AS (PARTITION BY root, source_file ORDER BY seq)),
+    s AS (SELECT *, CASE WHEN pv IS NULL THEN 0 ELSE greatest(volume - pv, 0) END AS dv, {MORNING} AS early FROM q),
+    st AS (SELECT root, source_file, coalesce(sum(dv) FILTER (early), 0)::DOUBLE AS total_volume, count_if(early AND dv > 0)::BIGINT AS nonzero_updates,
+        count(DISTINCT CASE WHEN early AND dv > 0 THEN date_trunc('minute', time) END) AS active_minutes, count(DISTINCT CASE WHEN early AND dv > 0 THEN round_even(price / 0.05, 0) END) AS price_bins,
+        count(*) AS valid_rows, count_if(coalesce(volume < pv OR turnover < pt, false))::BIGINT AS resets, count_if(abs(price / 0.05 - round_even(price / 0.05, 0)) > 1e-6)::BIGINT AS misaligned_rows FROM s GROUP BY root, source_file),
+    rejected AS (SELECT root, source_file, count_if(verdict IN ('session', 'price'))::BIGINT AS filtered_rows, count_if(verdict = 'time')::BIGINT AS backwards_rows FROM vd GROUP BY root, source_file),
+    stats AS (SELECT root, source_file, filtered_rows, backwards_rows, coalesce(total_volume, 0) AS total_volume, coalesce(nonzero_updates, 0) AS nonzero_updates, coalesce(active_minutes, 0) AS active_minutes,
+        coalesce(price_bins, 0) AS price_bins, coalesce(valid_rows, 0) AS valid_rows, coalesce(resets, 0) AS resets, coalesce(misaligned_rows, 0) AS misaligned_rows, coalesce(round(active_minutes / 135.0, 10), 0.0) AS coverage
+        FROM rejected LEFT JOIN st USING (root, source_file))"""
 
 
 @query("a1_contract_stats", f"{CONTRACTS} SELECT * FROM stats")
@@ -452,7 +457,23 @@ def edges(spark, sf):
     return h.groupBy("symbol").agg((F.min("bin") - 1).alias("low_from"), (F.min("bin") + 1).alias("low_to"), (F.max("bin") - 1).alias("high_from"), (F.max("bin") + 1).alias("high_to"))
 
 
-@query("p5_value_area")
+AREA = f"""{DENSE.replace("WITH ", "WITH RECURSIVE ", 1)}, tot AS (SELECT symbol, method, sum(volume) AS t, max(volume) AS top, min(bin) AS lo, max(bin) AS hi, sum((bin - mn) * volume) / sum(volume) + any_value(mn) AS center
+        FROM (SELECT *, min(bin) OVER (PARTITION BY symbol, method) AS mn FROM de) GROUP BY symbol, method),
+    pk AS (SELECT symbol, method, arg_min(bin, row(abs(bin - center), bin)) AS poc FROM de JOIN tot USING (symbol, method) WHERE volume = top GROUP BY symbol, method),
+    grow(symbol, method, a, b, got) AS (
+        SELECT symbol, method, poc, poc, top FROM pk JOIN tot USING (symbol, method)
+        UNION ALL
+        SELECT g.symbol, g.method, CASE WHEN l.volume >= coalesce(r.volume, -1) THEN g.a - 1 ELSE g.a END, CASE WHEN r.volume >= coalesce(l.volume, -1) THEN g.b + 1 ELSE g.b END,
+               g.got + CASE WHEN l.volume >= coalesce(r.volume, -1) THEN l.volume ELSE 0 END + CASE WHEN r.volume >= coalesce(l.volume, -1) THEN r.volume ELSE 0 END
+        FROM grow g JOIN tot USING (symbol, method) LEFT JOIN de l ON l.symbol = g.symbol AND l.method = g.method AND l.bin = g.a - 1
+        LEFT JOIN de r ON r.symbol = g.symbol AND r.method = g.method AND r.bin = g.b + 1
+        WHERE g.got < 0.7 * t AND (l.bin IS NOT NULL OR r.bin IS NOT NULL)
+    ), flat AS (SELECT symbol, method, coalesce(max(bin) FILTER (bin < poc AND volume < top) + 1, any_value(lo)) AS poc_low, coalesce(min(bin) FILTER (bin > poc AND volume < top) - 1, any_value(hi)) AS poc_high
+        FROM de JOIN pk USING (symbol, method) JOIN tot USING (symbol, method) GROUP BY symbol, method)
+    SELECT symbol, method, poc, poc_low::INT AS poc_low, poc_high::INT AS poc_high, min(a)::INT AS val, max(b)::INT AS vah FROM grow JOIN pk USING (symbol, method) JOIN flat USING (symbol, method) GROUP BY ALL"""
+
+
+@query("p5_value_area", AREA)
 def value_area(spark, sf):
     return levels.value_areas(_dense(spark, sf), CONFIG.value_area, KEY)
 

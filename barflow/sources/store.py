@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ PARTS = ["symbol", "period", "trading_day"]
 
 def safe_component(text: str) -> str:
     """text, if it can be part of a path."""
-    if not re.fullmatch(r"[\w.%-]+", text) or text in (".", ".."):
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", text) or text in (".", ".."):
         raise ValueError(f"not a path component: {text!r}")
     return text
 
@@ -40,7 +41,17 @@ def read_archive(spark: SparkSession, path: str, schema: str, **parts: object) -
 
 def persist(bars: DataFrame, path: str, schema: str) -> int:
     """Writes closed bars of the batch into the archive: the last of a key wins, over what is there too. Only trading days with a new
-    or changed bar are written again. Returns how many bars are new or changed; 0 when the batch comes again. bars need seq."""
+    or changed bar are written again. Returns how many bars are new or changed; 0 when the batch comes again. bars need seq. Runs on a
+    local archive take turns; what is staged has a folder of its own run, which goes at the end."""
+    with locked(path.rstrip("/")) if local(path) else nullcontext():
+        return _persist(bars, path, schema)
+
+
+def local(path: str) -> bool:
+    return "://" not in path and not path.startswith("file:")
+
+
+def _persist(bars: DataFrame, path: str, schema: str) -> int:
     spark = bars.sparkSession
     cols = [f.name for f in spark.createDataFrame([], schema).schema]
     batch = last_wins(bars.filter(has_flag(F.col("flags"), CLOSED)), KEYS).select(*cols, F.lit(0).alias("seq")).persist()
@@ -54,10 +65,12 @@ def persist(bars: DataFrame, path: str, schema: str) -> int:
             return 0
         days = spark.createDataFrame([(r.symbol, r.period, r.trading_day) for r in moved], "symbol string, period string, trading_day int")
         new = upsert(existing.join(F.broadcast(days), PARTS, "left_semi"), batch.join(F.broadcast(days), PARTS, "left_semi"), KEYS)
-        staged = f"{path.rstrip('/')}.staged"
+        staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
         new.write.mode("overwrite").parquet(staged)  # what is read must not be what is overwritten
         ready = spark.read.schema(schema).parquet(staged)
         ready.repartition(*(F.col(c) for c in PARTS)).sortWithinPartitions(*PARTS, "bar_time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         return sum(r["count"] for r in moved)
     finally:
         batch.unpersist()
@@ -68,6 +81,7 @@ def locked(path: str) -> Iterator[None]:
     """One writer at a time on a host: holds a lock file beside the local path."""
     import fcntl
 
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(f"{path}.lock", "w") as f:
         fcntl.flock(f, fcntl.LOCK_EX)
         yield

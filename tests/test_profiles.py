@@ -86,3 +86,40 @@ def test_representative(spark):
     roots = spark.createDataFrame([("IF",), ("IC",)], "root string")
     got = [(r.root, r.source_file, r.reasons) for r in selection.representative(s, roots, Limits(volume=10, nonzero_updates=0, bins=1)).collect()]
     assert got == [("IC", None, ["no_source_file"]), ("IF", "IF2603", ["price_bins"])]
+
+
+def stepwise(v, first, last, least, both):
+    """Growth bin by bin."""
+    n = len(v)
+    while v[first : last + 1].sum() < least and (first > 0 or last < n - 1):
+        left = v[first - 1] if first else -1
+        right = v[last + 1] if last < n - 1 else -1
+        if left == right and both:
+            first, last = first - 1, last + 1
+        elif left >= right:
+            first -= 1
+        else:
+            last += 1
+    return first, last
+
+
+def test_growth_in_runs_equals_growth_by_bins():
+    r = np.random.default_rng(1)
+    for _ in range(2000):
+        v = r.integers(0, r.choice([2, 4, 30]), r.integers(1, 25)).astype(float)
+        if v.sum():
+            at, least = int(np.argmax(v)), float(v.sum() * r.choice([0.1, 0.5, 0.7, 0.95, 1.0]))
+            for both in (True, False):
+                assert levels.grown(v, at, at, least, both) == stepwise(v, at, at, least, both), (v, at, least, both)
+
+
+def test_value_area_needs_volume():
+    with pytest.raises(ValueError, match="needs volume"):
+        levels.value_area(np.zeros(4), 0.7)
+
+
+def test_peaks_lie_at_even_halves_and_have_the_height_at_two_ticks():
+    flat = lambda i: np.eye(12)[i] * 10
+    scales = {0.0: flat(2), 1.0: flat(2), 2.0: np.linspace(1, 12, 12) * 0.001, 4.0: flat(3), 8.0: flat(3)}
+    peaks = levels.persistent_peaks(scales, 10.0, ProfileConfig(peak_share=0.5))
+    assert [(p.index, round(p.value, 6), len(p.scales)) for p in peaks] == [(2, 0.003, 4)]

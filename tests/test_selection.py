@@ -80,3 +80,15 @@ def test_pipeline_excludes_backward_contracts(spark, day):  # noqa: F811
     assert got["IF"] == ("IF2603", ["backwards_ticks"], False)
     # no tick accepted: a file all the same
     assert got["IC"] == ("IC2603", ["volume", "nonzero_updates", "active_minute_coverage", "price_bins"], False)
+
+
+def test_each_day_has_its_own_contract(spark, day):  # noqa: F811
+    ticks, contracts = day
+    other = ticks.withColumns({"symbol": F.lit("IF2606"), "price": F.col("price") + 1})
+    small = lambda t: t.withColumns({"volume": F.col("volume") / 5, "turnover": F.col("turnover") / 5})
+    later = lambda t: t.withColumns({"time": F.col("time") + F.expr("INTERVAL 3 DAYS"), "source_day": F.lit("20260112"), "seq": F.col("seq") + 1000})
+    rows = ticks.unionByName(small(other)).unionByName(later(small(ticks))).unionByName(later(other))
+    run = pipeline.run(rows, contracts, S, ProfileConfig(limits=Limits(volume=10, nonzero_updates=5, coverage=0.5)))
+    got = {(r.trading_day, r.root): r.source_file for r in run.selected.collect()}
+    assert got == {("20260109", "IF"): "IF2603", ("20260112", "IF"): "IF2606", ("20260109", "IC"): None, ("20260112", "IC"): None}
+    assert {(r.trading_day, r.instrument) for r in run.levels.select("trading_day", "instrument").distinct().collect()} == {("20260109", "IF2603"), ("20260112", "IF2606")}
