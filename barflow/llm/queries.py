@@ -119,13 +119,13 @@ ORACLES: dict[str, str] = {
             SELECT b.page_id, r.verdict, r.host || r.path AS rule,
                    row_number() OVER (PARTITION BY b.page_id ORDER BY length(r.host || r.path) DESC, r.host || r.path DESC) AS n
             FROM b JOIN rules r ON (b.host = r.host OR ends_with(b.host, '.' || r.host)) AND starts_with(b.path, r.path)
+        ), known AS (
+            SELECT page_id, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS url FROM b
         ), listed AS (
-            SELECT 'tionsh.example.net/' || l || '/' || i AS known FROM range(0, 100000, 7) t(i), (VALUES ('de'), ('en'), ('es'), ('fr')) v(l)
+            SELECT DISTINCT url FROM known WHERE regexp_matches(md5(url), '^[01]')
         )
-        SELECT b.page_id, b.host, b.path, f.rule,
-               coalesce(f.verdict, CASE WHEN regexp_replace(b.host, '^www\.', '') || regexp_replace(b.path, '/+$', '')
-                   || CASE WHEN params <> '' THEN '?' || params ELSE '' END IN (SELECT known FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
-        FROM b LEFT JOIN fitting f ON f.page_id = b.page_id AND f.n = 1""",
+        SELECT b.page_id, b.host, b.path, f.rule, coalesce(f.verdict, CASE WHEN k.url IN (SELECT url FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM b JOIN known k ON k.page_id = b.page_id LEFT JOIN fitting f ON f.page_id = b.page_id AND f.n = 1""",
     "op6_ngram_jaccard": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
