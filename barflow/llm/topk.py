@@ -58,49 +58,56 @@ class Best:
 class Lists:
     """A block's lists, one a dimension, sorted by component, with how far they were read from either end.
 
-    part[v, q] sums what was read of vector v for query q: components of its lists, those that raise the query's score from the top on, those
-    that lower it from the bottom on. unread (a table for each end) says which components were not reached yet; nothing else is known of them
-    but that they lie between the place reached and the list's other end.
+    part[q, v] sums what was read of vector v for query q: components of its lists, those that raise the query's score from the top on, those
+    that lower it from the bottom on. A stretch just read from all lists is laid out by vector, nothing else in it, and added to the sums of
+    all queries as one product. unread (rows: the lists from the top, then from the bottom) says which components were not reached yet;
+    nothing else is known of them but that they lie between the place reached and the list's other end.
     """
 
     def __init__(self, x: np.ndarray, queries: np.ndarray, kind: type):
-        self.order = np.argsort(x, axis=0, kind="stable")
-        self.lists = np.take_along_axis(x, self.order, 0).astype(kind)
-        self.n, self.dims = x.shape
-        self.gain, self.loss = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-        self.part = np.zeros((self.n, len(queries)), kind)
-        self.unread = np.ones((2, self.n, self.dims), kind)
+        by_list = np.ascontiguousarray(x.T)
+        self.order = np.argsort(by_list, axis=1, kind="stable")
+        self.lists = np.take_along_axis(by_list, self.order, 1).astype(kind)
+        self.dims, self.n = by_list.shape
+        self.weights = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).astype(kind)
+        self.part = np.zeros((len(queries), self.n), kind)
+        self.unread = np.ones((2 * self.dims, self.n), kind)
         self.at = self.read = 0
 
     def read_to(self, depth: int) -> None:
         """Reads each list on to this depth, the top for queries with a positive component, the bottom for the others."""
-        for d in range(self.dims):
-            for end, factor, rows in ((0, self.gain[:, d], slice(self.n - depth, self.n - self.at)), (1, self.loss[:, d], slice(self.at, depth))):
-                if factor.any():
-                    places = self.order[rows, d]
-                    self.part[places] += self.lists[rows, d][:, None] * factor
-                    self.unread[end, places, d] = 0
-        self.read += (depth - self.at) * int(np.count_nonzero(self.gain) + np.count_nonzero(self.loss))
+        stretch = np.zeros((2 * self.dims, self.n), self.lists.dtype)
+        for rows, span in ((slice(0, self.dims), slice(self.n - depth, self.n - self.at)), (slice(self.dims, None), slice(self.at, depth))):
+            np.put_along_axis(stretch[rows], self.order[:, span], self.lists[:, span], 1)
+            np.put_along_axis(self.unread[rows], self.order[:, span], 0, 1)
+        self.part += self.weights @ stretch
+        self.read += (depth - self.at) * int(np.count_nonzero(self.weights))
         self.at = depth
 
-    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        """The least and the greatest score that each vector can have for each query."""
-        top, bottom = self.lists[self.n - self.at], self.lists[self.at - 1]
-        least = self.part + self.unread[0] @ (self.gain * self.lists[0]).T + self.unread[1] @ (self.loss * self.lists[-1]).T
-        most = self.part + self.unread[0] @ (self.gain * top).T + self.unread[1] @ (self.loss * bottom).T
-        return least, most
+    def _bound(self, queries, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+        if self.at == self.n:
+            return self.part[queries].copy()
+        return self.part[queries] + (self.weights[queries] * np.concatenate([top, bottom])) @ self.unread
+
+    def least(self, queries=slice(None)) -> np.ndarray:
+        """The least score that each vector can have for each of these queries: what is unread lies at the lists' other ends."""
+        return self._bound(queries, self.lists[:, 0], self.lists[:, -1])
+
+    def most(self, queries=slice(None)) -> np.ndarray:
+        """The greatest: what is unread is as good as the place reached."""
+        return self._bound(queries, self.lists[:, self.n - self.at], self.lists[:, self.at - 1])
 
     def only(self, queries: np.ndarray) -> None:
         """Goes on for these queries."""
-        self.part, self.gain, self.loss = self.part[:, queries], self.gain[queries], self.loss[queries]
+        self.part, self.weights = self.part[queries], self.weights[queries]
 
 
 def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, at: np.ndarray, best: Best) -> tuple[int, int]:
     """Adds to best what block x can give the queries (numbers `at` in best). The vectors whose scores were resolved, and the components read
     before, are counted.
 
-    All queries read their lists to one depth, then bounds are taken. A vector stays while its greatest score reaches the k-th greatest of
-    the least scores, here or in blocks before. A query of which few vectors stay stops reading.
+    All queries read their lists to one depth, then bounds are taken. A vector stays while its greatest score reaches the k-th greatest score
+    of blocks before, and, where that leaves more than FEW, of the least scores here. A query of which few vectors stay stops reading.
     """
     n, resolved = len(x), 0
     # single precision where it is near enough; bounds are widened by more than rounding can move them
@@ -108,17 +115,22 @@ def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray,
     kind = np.float32 if reach.max(initial=0) < 2**40 else np.float64
     slack = (1 + reach) * (1e-6 if kind is np.float32 else 1e-9) * 4
     lists = Lists(x, queries, kind)
-    alive = own[None, :] != ids[:, None]
+    alive = own[:, None] != ids[None, :]
     going = np.arange(len(queries))
     for depth in DEPTHS:
         lists.read_to(max(1, int(n * depth)))
-        least, most = lists.bounds()
-        least[~alive] = -np.inf
-        both = np.vstack([least, best.kept[at[going]].T])
-        floor = np.maximum(best.floor[at[going]], np.partition(both, len(both) - best.k, axis=0)[len(both) - best.k])
-        alive &= most >= (floor - 2 * slack[going])[None, :]
-        stops = (alive.sum(0) <= FEW) | (depth == 1)
-        v, q = np.nonzero(alive & stops)
+        most = lists.most()
+        floor = best.floor[at[going]] - 2 * slack[going]
+        alive &= most >= floor[:, None]
+        many = np.flatnonzero(alive.sum(1) > FEW)
+        if len(many):
+            least = lists.least(many)
+            least[~alive[many]] = -np.inf
+            both = np.hstack([least, best.kept[at[going[many]]]])
+            floor = np.partition(both, both.shape[1] - best.k, axis=1)[:, both.shape[1] - best.k] - 2 * slack[going[many]]
+            alive[many] &= most[many] >= floor[:, None]
+        stops = (alive.sum(1) <= FEW) | (depth == 1)
+        q, v = np.nonzero(alive & stops[:, None])
         resolved += len(q)
         for lo in range(0, len(q), 1 << 16):
             a, b = going[q[lo : lo + (1 << 16)]], v[lo : lo + (1 << 16)]
@@ -127,7 +139,7 @@ def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray,
             break
         left = np.flatnonzero(~stops)
         lists.only(left)
-        alive, going = alive[:, left], going[left]
+        alive, going = alive[left], going[left]
     return resolved, lists.read
 
 

@@ -104,6 +104,6 @@ def test_bounds_hold_at_each_depth():
     lists = topk.Lists(x, q, np.float64)
     for depth in (1, 20, 150, 300):
         lists.read_to(depth)
-        least, most = lists.bounds()
-        assert (least <= x @ q.T).all() and (x @ q.T <= most).all()
+        least, most = lists.least(), lists.most()
+        assert (least <= q @ x.T).all() and (q @ x.T <= most).all()
     assert (least == most).all() and lists.read == 300 * np.count_nonzero(q)
