@@ -355,9 +355,11 @@ class Join:
         # one set stands for all rows with the same
         first = lambda c: F.first(c).alias(c)
         sets = keep(base.filter("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"), *map(first, ("n", "keys", "sketch"))), "sets")
-        entries = sets.select("id", F.explode("keys").alias("key"))
-        lists = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first")).filter("members > 1")
-        entries = keep(entries.join(lists, "key"), "entries")
+        entries = sets.select("id", F.xxhash64("fp").alias("one"), F.xxhash64(F.lit(1), "fp").alias("two"), F.explode("keys").alias("key"))
+        lists = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"))
+        # lists of the same members (told by a 128-bit sum of their sets, number and least id) give the same pairs: one stands for all
+        lists = lists.filter("members > 1").groupBy("members", "first", "one", "two").agg(F.min("key").alias("key"))
+        entries = keep(entries.select("id", "key").join(lists.select("key", "members", "first"), "key"), "entries")
         sketches = sets.select("id", "n", "sketch")
         # first every member of a list with the list's smallest, then what is still apart
         stars = entries.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
