@@ -18,7 +18,7 @@ from .common import Memo, slices, texts
 
 #: Documents in a group: enough that first-fit decreasing leaves about a thousandth of padding, few enough for any executor.
 GROUP_ROWS = 2048
-#: Words, and parts of words, that each Python worker remembers.
+#: Words, parts of words among them, that each Python worker remembers.
 MEMO = 400_000
 #: Fixed value: the pattern of the tokenizers that are supported.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -71,7 +71,6 @@ class Words:
         self.lib = Tokenizer.from_str(spec)
         self.kind = {2: "H", 4: "I"}[wide]
         self.letters = dict(enumerate(byte_letters()))
-        self.part = Memo(self._part, MEMO)
         self.memo = Memo(self._word, MEMO)
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -82,7 +81,9 @@ class Words:
 
     def _word(self, word: str) -> bytes:
         if self.SIMPLE.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.part.__getitem__, self.PARTS.findall(word.lower())))
+            parts = self.PARTS.findall(word.lower())
+            # a part is a word of one part: all are remembered in one table
+            return self._part(parts[0]) if len(parts) == 1 else b"".join(map(self.memo.__getitem__, parts))
         return self._pack(self.lib.encode(word, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:

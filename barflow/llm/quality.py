@@ -187,14 +187,17 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     are not read. One pass without a shuffle; the model, of the sample's size at most, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    # the text goes to the workers once, kept or not
+    own = [c for c in keep if c != text_col]
+    place = [own.index(c) + 3 if c != text_col else 2 for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         memo = model.memo()
         for batch in slices(batches, 256):
             scores = model.score(texts(batch.column(2)), memo)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), *batch.columns[3:]], [id_col, "held_out", "score", "predicted", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), *(batch.column(k) for k in place)], [id_col, "held_out", "score", "predicted", *keep])
 
-    rows = docs.select(id_col, held_out(id_col).alias("__h"), F.col(text_col), *(F.col(f"`{c}`") for c in keep))
+    rows = docs.select(id_col, held_out(id_col).alias("__h"), F.col(text_col), *(F.col(f"`{c}`") for c in own))
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int{more}")
