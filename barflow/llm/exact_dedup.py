@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, raw, slices
+from .common import cut, giving_back, raw, slices
 
 #: Bytes that do not count: `[\x20\x09-\x0D]`. None of them is part of another character in UTF-8.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -91,13 +91,13 @@ def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             yield batch_of(out)
 
     id_type = [to_arrow_type(rows.schema[0].dataType)]
-    normal = rows.mapInArrow(normalise, f"id {kind}, points long, head binary, hash long, norm binary{own_kind}")
+    normal = rows.mapInArrow(giving_back(normalise), f"id {kind}, points long, head binary, hash long, norm binary{own_kind}")
     # the session's number of partitions, or more where the plan's size says that a task would get over TASK_BYTES
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     tasks = size // TASK_BYTES if size < 1 << 60 else 0
     wide = [tasks] if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
     placed = normal.repartitionByRange(*wide, "head", "hash", "id").sortWithinPartitions("head", "hash", "norm", "id")
-    settled = cut(placed.mapInArrow(settle, f"id {kind}, row long, keep {kind}, keep_points long, keep_row long, size long, sha string, run long, norm binary{own_kind}"))
+    settled = cut(placed.mapInArrow(giving_back(settle), f"id {kind}, row long, keep {kind}, keep_points long, keep_row long, size long, sha string, run long, norm binary{own_kind}"))
 
     # runs that may go on in another task: at most those of two keys a task
     order = F.struct(-F.col("keep_points"), F.col("keep").isNull(), "keep", "keep_row")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Tables, cut, raw, slices, tables
+from .common import Memo, Tables, cut, giving_back, raw, slices, tables
 from .components import components
 
 #: Counters of the frequency table: a shingle's frequency is at most its counter. 16 MB whatever the input.
@@ -101,7 +101,7 @@ def count_table(df: DataFrame, hashes) -> np.ndarray:
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
 
     out = np.zeros(COUNTERS, np.uint32)
-    for r in df.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+    for r in df.mapInArrow(giving_back(count), "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
         out[r.part * (COUNTERS // PARTS) : (r.part + 1) * (COUNTERS // PARTS)] = np.frombuffer(r.counts, "<u4")
     return out
 
@@ -218,7 +218,7 @@ class Join:
                     sketch.append(index.sketch(s))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["id", "n", "fp", "keys", "sketch"])
 
-        base = self.tables.keep(self.docs.mapInArrow(run, "id long, n long, fp binary, keys array<long>, sketch binary"), "base")
+        base = self.tables.keep(self.docs.mapInArrow(giving_back(run), "id long, n long, fp binary, keys array<long>, sketch binary"), "base")
         shared.destroy()
         return base
 
@@ -247,11 +247,11 @@ class Join:
                     good.append(den * both >= num * (len(x) + len(y) - both) > 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], ["a", "b"])
 
-        whole = self.docs.filter("id IS NOT NULL").mapInArrow(sets, "id long, tokens binary")
+        whole = self.docs.filter("id IS NOT NULL").mapInArrow(giving_back(sets), "id long, tokens binary")
         one = pairs.join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         two = one.join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
         # rows that repeat an id can repeat a link; components takes that
-        links = self.tables.keep(two.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), name)
+        links = self.tables.keep(two.select("a", "b", "x", "y").mapInArrow(giving_back(similar), "a long, b long"), name)
         wanted.destroy()
         return links
 
@@ -270,7 +270,7 @@ class Join:
 
         side = lambda i, k: sketches.select(F.col("id").alias(i), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
         sized = pairs.join(side("a", 1), "a").join(side("b", 2), "b").filter(F.greatest("n1", "n2") * self.num <= F.least("n1", "n2") * self.den)
-        return sized.select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(run, "a long, b long")
+        return sized.select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(giving_back(run), "a long, b long")
 
     def _blocks(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
         """Members (id, component) of the lists in rows that have more than one component, with n and sketch, in blocks of about BLOCK:
@@ -347,7 +347,7 @@ class Join:
             yield flush()
 
         grouped = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return grouped.mapInArrow(compare, "a long, b long, key long, i int, j int").distinct()
+        return grouped.mapInArrow(giving_back(compare), "a long, b long, key long, i int, j int").distinct()
 
     def run(self) -> DataFrame:
         keep, drop = self.tables.keep, self.tables.drop

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import Memo, slices, texts
+from .common import Memo, giving_back, slices, texts
 
 #: Documents in a group: enough that first-fit decreasing leaves about a thousandth of padding, few enough for any executor.
 GROUP_ROWS = 2048
@@ -158,6 +158,6 @@ def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "t
             }
         )
 
-    pieces = rows.mapInArrow(cut, f"id {kind}, start long, total long, ids binary, place long")
+    pieces = rows.mapInArrow(giving_back(cut), f"id {kind}, start long, total long, ids binary, place long")
     drawn = pieces.withColumn("grp", F.pmod(F.xxhash64("place", F.when(F.octet_length("ids") == length * wide, F.col("start")), F.lit(seed)), F.lit(groups))).drop("place")
     return drawn.groupBy("grp").applyInArrow(fill, f"`{id_col}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

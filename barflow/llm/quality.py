@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, slices, texts
+from .common import Memo, giving_back, slices, texts
 
 #: Labelled rows that the fit may use (the first by a hash of their ids).
 SAMPLE = 5000
@@ -200,4 +200,4 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(id_col, held_out(id_col).alias("__h"), F.col(text_col), *(F.col(f"`{c}`") for c in own))
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int{more}")
+    return rows.mapInArrow(giving_back(run), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int{more}")
