@@ -54,12 +54,22 @@ def normalization_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.count("*").alias("rows"), F.count_if(F.col("delta_volume") > 0).alias("positive_rows"), F.sum("delta_volume").alias("assigned_volume"), has("VOLUME_RESET").alias("volume_resets"), has("TURNOVER_RESET").alias("turnover_resets"), has("LONG_GAP").alias("long_gaps"), has("VWAP_FALLBACK_LTP").alias("vwap_fallbacks"))
 
 
-def quality_stats(rows: DataFrame, sessions: Sessions, keys: list[str]) -> DataFrame:
-    """Counters of a simple tick file: rows by verdict (order session, then time, after invalid ones), resets, and ticks without volume."""
+def quality_stats(rows: DataFrame, sessions: Sessions, keys: list[str], instrument: Column | str | None = None) -> DataFrame:
+    """Counters of a simple tick file: rows by verdict (order session, then time, after invalid ones), resets, ticks without volume, and
+    ticks of morning and afternoon. Invalid (bad_price_rows) are rows without a positive price, with a negative volume, or, with an
+    instrument given, of another symbol."""
+    fits = F.coalesce(F.col("volume") >= 0, F.lit(True))
+    if instrument is not None:
+        fits = fits & (F.col("symbol") == instrument)
+    rows = rows.withColumn("price", F.when(fits, F.col("price")))
     judged = ticks.with_verdict(rows, sessions, order=("price", "session", "time"), keys=keys)
     base = ticks.verdict_counts(judged, keys)
     good = ticks.deltas(judged.filter("verdict = 'valid'").withColumn("turnover", F.lit(0)), keys=keys)
-    more = good.groupBy(*keys).agg(F.count_if(F.array_contains("quality_flags", "VOLUME_RESET")).alias("volume_resets"), F.count_if(F.col("delta_volume") == 0).alias("zero_delta_rows"))
+    part = sessions.label(minute_of_day(F.col("time")))
+    more = good.groupBy(*keys).agg(
+        F.count_if(F.array_contains("quality_flags", "VOLUME_RESET")).alias("volume_resets"), F.count_if(F.col("delta_volume") == 0).alias("zero_delta_rows"),
+        F.count_if(part == "morning").alias("morning_rows"), F.count_if(part == "afternoon").alias("afternoon_rows"),
+    )
     return base.join(more, keys, "left").fillna(0)
 
 
