@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a Python worker turns into objects at a time.
 SLICE = 512
+#: Spark's own setting of the bytes after which a batch of rows goes to a Python worker, whatever its rows, and a value for it: a batch lies in
+#: memory several times, in buffers of up to twice its size on Spark's side and two at a time in the worker.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +80,12 @@ def tables(spark: SparkSession) -> Iterator[Tables]:
         own.drop()
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Sets BATCH for the session, unless it is set. It counts when a plan runs, which may be any time later, so it stays."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, so that long texts do not become Python objects all at once."""
     for batch in batches:

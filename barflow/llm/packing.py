@@ -91,6 +91,10 @@ class Words:
             return self._pack(self.lib.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.memo.__getitem__, text.split()))
 
+    def close(self) -> None:
+        """Parts the table from the object, which refer to each other, so that both go as soon as they are no longer used."""
+        del self.memo
+
 
 def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1, group_rows: int = GROUP_ROWS, seed: int = 17) -> DataFrame:
     """Sequences of at most `length` tokens, as pieces: id_col, start, length, doc_tokens, sequence_id, offset, ids.
@@ -132,6 +136,7 @@ def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "t
                     totals.append(n)
                     ids.append(all_ids[at * wide : (at + length) * wide])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(ids, pa.binary()), batch.column(2).take(pa.array(of, pa.int64()))], ["id", "start", "total", "ids", "place"])
+        words.close()
 
     def fill(key: tuple, group: pa.Table) -> pa.Table:
         own, start = group["id"].to_pylist(), group["start"].to_pylist()

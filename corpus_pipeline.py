@@ -7,13 +7,15 @@ All but the last return the columns of documents.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import exact_dedup, jaccard, packing, pii, quality
-from barflow.llm.common import cut
+from barflow.llm.common import cut, short_batches
 
 #: Where the packing stage's tokenizer file is.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -66,7 +68,18 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, TOKENIZER, length=2048, end_id=1)
 
 
-STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("ngram_jaccard", near_stage), ("pii", pii_stage), ("packing", packing_stage)]
+def _lean(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """stage in a session whose batches for Python workers are short: all stages share the executors, and what one's buffers took stays with them."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        short_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _lean(stage)) for name, stage in (("quality", quality_stage), ("exact_dedup", exact_stage), ("ngram_jaccard", near_stage), ("pii", pii_stage), ("packing", packing_stage))]
 
 #: The classifier, the trees and the tokenizer are not SQL; the stages are tested against plain versions.
 ORACLE_SQL = None

@@ -1,8 +1,10 @@
 """Exact dedup, packing and sharding against brute force."""
 
+import gc
 import hashlib
 import random
 import re
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -72,6 +74,21 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0), WORDS).count() == 0
 
 
+def test_words_go_at_once():
+    """The words' table is freed at the end of its task, before the worker gives memory back, not at some later search for cycles."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = packing.Words(f.read(), 2)
+    assert words.ids("the things it's 12")
+    gone = [weakref.ref(words), weakref.ref(words.memo)]
+    gc.disable()
+    try:
+        words.close()
+        del words
+        assert [g() for g in gone] == [None, None]
+    finally:
+        gc.enable()
+
+
 def test_first_fit_decreasing():
     r = random.Random(0)
     for _ in range(200):

@@ -3,10 +3,12 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barflow.llm import quality
+from barflow.llm import common, quality
 
 from .test_jaccard import brute
 from .test_pii import base
@@ -66,3 +68,19 @@ def test_model_is_the_same_each_time(spark):
     models = [quality.fit(docs.repartition(n), labels) for n in (1, 3)]
     a, b = (m.score(["the thing", ""], m.memo()) for m in models)
     assert np.allclose(a, b)
+
+
+def test_workers_get_short_batches(spark):
+    """Rows of 0.5 MB go to the Python workers in batches of a few MB, not 32 MB at once; a session's own setting stays."""
+    docs = spark.range(64, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 175_000).alias("text"))
+    own = spark.conf.get(common.BATCH, None)
+    try:
+        spark.conf.unset(common.BATCH)
+        dict(corpus_pipeline.STAGES)["packing"](spark, docs, "")
+        got = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]}) for b in batches), "rows long, bytes long").collect()
+        assert sum(r.rows for r in got) == 64 and max(r.bytes for r in got) <= common.BATCH_BYTES + 600_000
+        spark.conf.set(common.BATCH, "1000000")
+        dict(corpus_pipeline.STAGES)["packing"](spark, docs, "")
+        assert spark.conf.get(common.BATCH) == "1000000"
+    finally:
+        spark.conf.unset(common.BATCH) if own is None else spark.conf.set(common.BATCH, own)
