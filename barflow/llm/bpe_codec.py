@@ -9,13 +9,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Bpe, Pairs, fits, plain, segments
-from .common import slices, texts
+from .common import slices, texts, uncollected
 
 #: Segments, and as many words, that each Python worker remembers.
 MEMO = 600_000
@@ -74,14 +75,15 @@ class Codec:
         """The ids of each word (in byte letters)."""
         out = [self.greedy(w) for w in words]
         sizes = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter((i for ids in out for i in ids), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(out), np.int64, int(sizes.sum()))
         of = np.repeat(np.arange(len(out)), sizes)
         inner = np.flatnonzero(of[1:] == of[:-1]) if len(flat) else np.empty(0, np.int64)
         keys, back = np.unique(flat[inner] * self.pairs.n + flat[inner + 1], return_inverse=True)
         good = self.pairs.compatible(keys // self.pairs.n, keys % self.pairs.n)[back]
-        for k in np.unique(of[inner[~good]]):
-            self.merged += 1
-            out[k] = [self.bpe.vocab[p] for p in self.bpe.merge(words[k])]
+        failing, number, merge = np.unique(of[inner[~good]]).tolist(), self.bpe.vocab.__getitem__, self.bpe.merge
+        self.merged += len(failing)
+        for k in failing:
+            out[k] = list(map(number, merge(words[k])))
         return out
 
     def learn(self, new: list[str]) -> list[tuple[str, bytes]]:
@@ -111,6 +113,7 @@ class Codec:
         table.update(dict.fromkeys(new))
         table.update(zip((new[k] for k in fit), self.learn([parts[k] for k in fit]), strict=True))
 
+    @uncollected()
     def encode_batch(self, batch: list[str]) -> list[tuple[str, bytes]]:
         """For each text its decimal ids joined by commas, and the bytes that the ids decode to."""
         parts = [self.bpe.parts(t) for t in batch]

@@ -1,5 +1,6 @@
 """Counting, encoding and decoding against the tokenizer library."""
 
+import gc
 import hashlib
 import os
 import random
@@ -63,3 +64,24 @@ def test_speculation_equals_merging():
     assert codec.encode_words(words) == wanted
     assert 0 < codec.merged < len(words)
     assert all(bpe._merge_long(w) == bpe.merge(w) for w in words[:3000])
+
+
+def test_no_search_for_cycles_while_encoding(wanted):
+    """Python's collector does not run over what is remembered while a batch is encoded, only once when it is on again."""
+    codec, seen = bpe_codec.Codec(Bpe(PATH)), []
+    gc.callbacks.append(seen_by := lambda phase, info: seen.append(phase))
+    try:
+        gc.collect()
+        seen.clear()
+        got = codec.encode_batch([t for t, _, _ in wanted])
+        runs = seen.count("start")
+    finally:
+        gc.callbacks.remove(seen_by)
+    assert gc.isenabled() and runs <= 1, runs
+    assert [doc for doc, _ in got] == [",".join(map(str, ids)) for _, ids, _ in wanted]
+    gc.disable()
+    try:
+        codec.encode_batch(["a"])
+        assert not gc.isenabled()
+    finally:
+        gc.enable()
