@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import regex
@@ -64,7 +65,7 @@ class Bpe:
         if len(word) > LONG:
             return self._merge_long(word)
         parts, rank = list(word), self.ranks.get
-        rs = [rank(p, NEVER) for p in zip(parts, parts[1:], strict=False)]
+        rs = list(map(rank, zip(parts, parts[1:], strict=False), repeat(NEVER)))
         while len(parts) > stop and rs:
             r = min(rs)
             if r == NEVER:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,13 @@ class Recent(dict):
         if len(self) >= self.half or self.letters > 32 * self.half:
             self.old, self.letters = dict(self), 0
             self.clear()
-        new = [k for k in wanted if k not in self]
+        new = list(filterfalse(self.__contains__, wanted))
         self.letters += sum(map(len, new))
-        self.update((k, self.old[k]) for k in new if k in self.old)
-        return [k for k in new if k not in self]
+        back = list(filter(self.old.__contains__, new))
+        if not back:
+            return new
+        self.update(zip(back, map(self.old.__getitem__, back), strict=True))
+        return list(filterfalse(self.old.__contains__, new))
 
 
 class Codec:
@@ -101,6 +104,9 @@ class Codec:
         for ws in split:
             if len(ws) == 1:
                 out.append(got(ws[0]))
+            elif len(ws) == 2:
+                (ids, spelled), (more, rest) = got(ws[0]), got(ws[1])
+                out.append((f"{ids},{more}", spelled + rest))
             else:
                 parts = list(map(got, ws))
                 out.append((",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])))
@@ -109,9 +115,11 @@ class Codec:
     def _remember(self, table: Recent, wanted: set[str], segment) -> None:
         new = table.missing(wanted)
         parts = list(map(segment, new))
-        fit = [k for k, p in enumerate(parts) if p is not None]
-        table.update(dict.fromkeys(new))
-        table.update(zip((new[k] for k in fit), self.learn([parts[k] for k in fit]), strict=True))
+        if None in parts:
+            table.update(dict.fromkeys(k for k, p in zip(new, parts, strict=True) if p is None))
+            new = [k for k, p in zip(new, parts, strict=True) if p is not None]
+            parts = [p for p in parts if p is not None]
+        table.update(zip(new, self.learn(parts), strict=True))
 
     @uncollected()
     def encode_batch(self, batch: list[str]) -> list[tuple[str, bytes]]:
@@ -136,7 +144,8 @@ class Codec:
                 else:
                     found += map(self.known.__getitem__, slow[d, k // 2])
                     found += quick[d, k // 2]
-            out.append((",".join([f[0] for f in found if f[0]]), b"".join([f[1] for f in found])))
+            ids, spelled = zip(*found, strict=True) if found else ((), ())
+            out.append((",".join(filter(None, ids)), b"".join(spelled)))
         return out
 
     def decode(self, ids: list[int]) -> str:
