@@ -69,6 +69,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(spec)
+        # the library's own memory of words belongs to the thread and outlives the tokenizer: a worker would keep one of each task
+        self.lib.model._resize_cache(0)
         self.kind = {2: "H", 4: "I"}[wide]
         self.letters = dict(enumerate(byte_letters()))
         self.memo = Memo(self._word, MEMO)
