@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, jaccard, packing, pii, quality, sharding, token_counts, topk, url_filters
+from . import bpe_codec, conversations, exact_dedup, jaccard, licenses, negatives, packing, pii, quality, sharding, token_counts, topk, url_filters
 from .common import table
 
 #: Where a tokenizer file is, by name.
@@ -82,6 +82,50 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label=label, every=100, positives_each=5, negatives_each=5, band=(80, 100), scale=256)
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    places, starts = F.col("places"), F.transform("places", lambda p: p["start"])
+    best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(licenses.labels_of(places), ",").alias("base_labels"),
+        F.array_join(licenses.labels_of(places, F.col("blocks")), ",").alias("labels"),
+        F.when(F.size(places) > 0, 1.0).otherwise(best).alias("score"),
+    )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The rows of conversations with the faults that a hash of conversation and turn says: dropped, emptied, unmarked, repeated, said by the user."""
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    fault = F.crc32(name.cast("binary")) % 20
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text)
+    role = F.when(fault == 4, "user").otherwise(role)
+    copies = F.explode(F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.filter(fault != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    left = damaged(rows)
+    repaired = conversations.repair(left)
+    figures = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    found = repaired.conversations.select("conv", *figures).join(conversations.digests(conversations.replay(left, repaired)).withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c")))
+    every = rows.select("conv_id").distinct()
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    return out.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in figures), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", nothing).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -93,6 +137,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_pii": op9_pii,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_licenses": op12_licenses,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLES: dict[str, str] = {
@@ -149,4 +196,40 @@ ORACLES: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0
         ), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c)))
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_sum(list_transform(list_zip(a.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.x) = len(c.x) WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id)::INT AS positive_rank FROM s WHERE same
+        ), n AS (
+            SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score, p.positive_rank
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score WHERE p.positive_rank <= 5
+        )
+        SELECT * FROM n WHERE rank <= 5""",
+    "op12_licenses": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), p AS (
+            SELECT r, doc_id, w, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS mit,
+                   list_filter(range(0, len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS apache,
+                   list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl FROM d
+        ), q AS (
+            SELECT r, doc_id, w, mit || apache || gpl AS places, list_filter([CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END], lambda l: l IS NOT NULL) AS base FROM p
+        ), t(k, label, words) AS (VALUES @templates@), b AS (
+            SELECT r, i, w[i * 32 + 1 : i * 32 + 64] AS own FROM (SELECT r, w, unnest(range(0, greatest(1, (len(w) + 31) // 32 - 1))) AS i FROM d)
+        ), x AS (
+            SELECT b.r, b.i, t.k, t.label, t.words, len(list_intersect(t.words, b.own)) / len(t.words) AS containment
+            FROM b, t WHERE 10 * len(list_intersect(t.words, b.own)) >= 9 * len(t.words)
+        ), z AS (
+            SELECT x.r, x.containment, CASE WHEN NOT EXISTS (SELECT 1 FROM x o WHERE o.r = x.r AND o.i = x.i AND len(o.words) > len(x.words) AND list_has_all(o.words, x.words)) THEN x.label END AS label FROM x
+        ), y AS (
+            SELECT r, max(containment) AS best, coalesce(list(label) FILTER (label IS NOT NULL), []) AS labels FROM z GROUP BY r
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word, array_to_string(base, ',') AS base_labels,
+               array_to_string(list_sort(list_distinct(base || coalesce(y.labels, []::VARCHAR[]))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(y.best, 0.0)::DOUBLE END AS score
+        FROM q LEFT JOIN y USING (r)""".replace("@templates@", ", ".join(f"({k}, '{label}', {sorted(set(text.lower().split()))})" for k, (label, text) in enumerate(licenses.TEMPLATES))),
 }
