@@ -12,7 +12,7 @@ from .functions import names
 from .plans.pipeline import quality_stats
 from .queries import ARCHIVE, BARS, BASE, DELTAS, INS, KEY, MORNING, SESSIONS, _archive, _one, _with_deltas, query
 from .schema import BAR, EXTERNAL_BAR
-from .sources import raw, store
+from .sources import raw, records, store
 from .sources.events import event_ticks
 
 EXTERNAL = "bar_time AS datetime, open, high, low, close, volume::DOUBLE AS volume, open_interest AS hold"
@@ -98,3 +98,11 @@ def quality(spark, sf):
     rows = event_ticks(spark, sf).withColumn("volume", F.when(F.col("seq") % 53 == 0, F.lit(-1)).otherwise(F.col("volume")))
     named = F.when(F.col("seq") % 61 == 0, F.lit("other")).otherwise(F.col("symbol"))
     return quality_stats(rows, SESSIONS, KEY, instrument=named)
+
+
+@query("s15_csv_records", "SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents WHERE doc_id IS NOT NULL")
+def csv_records(spark, sf):
+    place = _place(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id IS NOT NULL").select("doc_id", "lang", "text", "source")
+    docs.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(place)
+    return records.csv_rows(spark, place, docs.columns).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", "source")
