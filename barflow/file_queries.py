@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .functions import names
 from .plans.pipeline import quality_stats
-from .queries import ARCHIVE, BARS, BASE, DELTAS, INS, KEY, MORNING, SESSIONS, _archive, _one, _with_deltas, query
-from .schema import BAR, EXTERNAL_BAR
+from .queries import ARCHIVE, BARS, BASE, DELTAS, INS, KEY, MORNING, SESSIONS, _archive, _one, _rolled, _with_deltas, query
+from .schema import BAR, EXTERNAL_BAR, TICK
 from .sources import raw, records, store
 from .sources.events import event_ticks
+from .streaming import sinks
+from .streaming.bars import COLUMNS
 
 EXTERNAL = "bar_time AS datetime, open, high, low, close, volume::DOUBLE AS volume, open_interest AS hold"
 
@@ -106,3 +108,21 @@ def csv_records(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id IS NOT NULL").select("doc_id", "lang", "text", "source")
     docs.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(place)
     return records.csv_rows(spark, place, docs.columns).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", "source")
+
+
+_LIVE = "SELECT symbol, '{0}m' AS period, bar_time, trading_day, open, high, low, close, volume::DOUBLE AS volume, turnover::DOUBLE AS turnover, open_interest, tick_count, flags FROM {1}"
+
+
+@query("st_live_archive", f"{BARS}, {_rolled(5, 'x')}, {_rolled(15, 'y')} {_LIVE.format(1, 'b')} UNION ALL {_LIVE.format(5, 'x')} UNION ALL {_LIVE.format(15, 'y')}")
+def live_archive(spark, sf):
+    """Ticks in four files, as they came, are replayed as a stream into an archive; a last file says that each symbol has ended."""
+    place, t = _place(spark), event_ticks(spark, sf)
+    kinds = {c: k for c, k in (part.split() for part in TICK.split(", "))}
+    rows = t.select(*((F.col(c) if c in t.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()), F.lit(False).alias("flush"))
+    last = t.agg(F.max("seq")).first()[0] + 1
+    for k in range(4):
+        rows.filter((F.col("seq") >= last * k // 4) & (F.col("seq") < last * (k + 1) // 4)).write.mode("append").parquet(f"{place}/ticks")
+    ends = rows.groupBy("symbol").agg(F.max("time").alias("time"))
+    ends.select(*((F.lit(last) if c == "seq" else F.col(c) if c in ("symbol", "time") else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()), F.lit(True).alias("flush")).write.mode("append").parquet(f"{place}/ticks")
+    sinks.replay(spark, f"{place}/ticks", f"{TICK}, flush BOOLEAN", SESSIONS, f"{place}/archive", "live", f"{place}/progress", files=64, delay="30 days")
+    return store.read_archive(spark, f"{place}/archive", BAR).select(*COLUMNS)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from ..operators.dml import last_wins, upsert
 from ..schema import BAR, BAR_COLUMNS, CLOSED, EXTERNAL_BAR
 from .files import read_bars
 from .ingest import consistent
-from .store import local, locked, read_archive
+from .store import exclusive, named_parts, only, path_of, read_archive
 
 RAW = "symbol STRING, period STRING, year INT, datetime TIMESTAMP_NTZ, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, hold DOUBLE"
 RAW_KEYS, RAW_PARTS = ["symbol", "period", "datetime"], ["symbol", "period", "year"]
@@ -24,8 +23,8 @@ REVIEW_COLUMNS = ["tradingDay", "instrument", "zoneId", "nodeType", "center", "l
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    fs, where = path_of(spark, path)
+    return fs.exists(where)
 
 
 def bars_if_there(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +37,10 @@ def bars_if_there(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raw(spark: SparkSession, path: str, **parts: object) -> DataFrame:
     """Rows of the raw archive; none where there is none yet. A row of another year than its partition's raises."""
-    rows = read_archive(spark, path, RAW, **parts)
+    return _own_year(read_archive(spark, path, RAW, **parts))
+
+
+def _own_year(rows: DataFrame) -> DataFrame:
     year = F.when(F.year("datetime") == F.col("year"), F.col("year")).otherwise(F.raise_error(F.concat(F.lit("outside of its year: "), F.col("datetime").cast("string"))).cast("int"))
     return rows.withColumn("year", year)
 
@@ -46,15 +48,14 @@ def read_raw(spark: SparkSession, path: str, **parts: object) -> DataFrame:
 def upsert_raw(rows: DataFrame, path: str) -> int:
     """Takes rows (symbol, period, seq and the columns of an external bar) into the raw archive, the last of a time winning. All rows of all
     symbols, and what is there of their years, are checked before the first partition is written: a bar whose prices do not fit
-    together raises, and nothing has changed. Returns the partitions written. On a local archive writers take turns."""
+    together raises, and nothing has changed. Returns the partitions written. Writers of one archive take turns."""
     spark = rows.sparkSession
     good = F.when(consistent(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("inconsistent bar at "), F.col("datetime").cast("string"))))
-    with locked(path.rstrip("/")) if local(path) else nullcontext():
+    with exclusive(spark, path.rstrip("/")):
         batch = rows.withColumn("year", F.year("datetime")).filter(good)
         cols = [f.name for f in spark.createDataFrame([], RAW).schema]
         batch = last_wins(batch, RAW_KEYS).select(*cols, "seq")
-        years = batch.select(*RAW_PARTS).distinct()
-        old = read_raw(spark, path).join(years, RAW_PARTS, "left_semi").filter(good)
+        old = _own_year(only(read_archive(spark, path, RAW), named_parts(batch, RAW_PARTS), RAW_PARTS)).filter(good)
         # all of it is computed, and so checked, into a folder of this run; only then are partitions exchanged
         staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
         upsert(old, batch, RAW_KEYS).write.parquet(staged)
@@ -62,8 +63,8 @@ def upsert_raw(rows: DataFrame, path: str) -> int:
         n = ready.select(*RAW_PARTS).distinct().count()
         if n:
             ready.repartition(*RAW_PARTS).sortWithinPartitions(*RAW_PARTS, "datetime").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RAW_PARTS).parquet(path)
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = path_of(spark, staged)
+        fs.delete(where, True)
         return n
 
 

@@ -1,14 +1,15 @@
-"""Bars and their steps: hand-made cases, and random traces against the streaming state machine."""
+"""Bars and their steps: hand-made cases, and random traces against the live path."""
 
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from barflow.operators import bars, charts, dml, series, ticks
 from barflow.plans.calendar import NIGHT_2300, STOCK_INDEX, Sessions, day_map, parse_clock
-from barflow.streaming.bars import Machine
+from barflow.streaming.bars import BAR_FIELDS, Slices
 
 S = Sessions.parse(NIGHT_2300)
 TICK = "symbol string, seq long, time timestamp_ntz, price double, volume double, turnover double, open_interest double"
@@ -68,16 +69,23 @@ def trace(seed, n=300):
     return out
 
 
-def test_batch_equals_the_state_machine(spark):
+def test_batch_equals_slices(spark):
+    """Ticks fed to the live path in slices of any length give the bars of the batch path, given trading days too."""
     rows, want = [], []
+    day0 = dt.datetime(1970, 1, 1)
     for k in range(12):
-        machine = Machine(S, (5, 15, 60, 240))
-        for i, (time, price, volume, turnover, oi) in enumerate(trace(k)):
-            rows.append((f"s{k}", i, time, price, volume, turnover, oi))
-            machine.on_tick((time - dt.datetime(1970, 1, 1)).total_seconds(), price, volume, turnover, oi)
-        machine.flush()
-        want += [(f"s{k}", p, dt.datetime(1970, 1, 1) + dt.timedelta(seconds=b["bar_time"]), *(b[c] for c in ("trading_day", "open", "high", "low", "close", "volume", "turnover", "open_interest", "tick_count", "flags"))) for p, b in machine.out]
-    df = spark.createDataFrame(rows, TICK)
+        r, own, out = random.Random(k), Slices(S, (5, 15, 60, 240)), []
+        made = [(*t, 20260800 + i // 40 if k % 3 == 0 and i % 7 else None) for i, t in enumerate(trace(k))]
+        rows += [(f"s{k}", i, *t) for i, t in enumerate(made)]
+        columns = [np.array([round((t[0] - day0).total_seconds() * 1e6) for t in made], np.int64)] + [np.array([np.nan if t[c] is None else t[c] for t in made], float) for c in range(1, 6)]
+        at = 0
+        while at < len(made):
+            end = at + r.choice([1, 2, 7, 60])
+            out += own.take(*(c[at:end] for c in columns))
+            at = end
+        out += own.flush()
+        want += [(f"s{k}", f"{n}m", day0 + dt.timedelta(minutes=int(b["place"][i])), *(b[c][i].item() for c in list(BAR_FIELDS)[1:])) for n, b in out for i in range(len(b["place"]))]
+    df = spark.createDataFrame(rows, f"{TICK}, trading_day int")
     one = bars.bars_1m(ticks.deltas(ticks.valid_ticks(df, S, block=37), block=37), S)
     out = one.withColumn("period", F.lit("1m"))
     for n in (5, 15, 60, 240):
