@@ -132,19 +132,35 @@ def raw(column: pa.Array) -> list[bytes]:
 
 
 class Memo(dict):
-    """A bounded table of fn's values. When full, what was asked for since the last time stays, older entries go; values do not depend
-    on it."""
+    """A bounded table of fn's values, by entries and by the letters of their keys (LETTERS an entry on average). When full, what was asked for
+    since the last time stays, older entries go; a key that alone would take much of the table is not kept. Values do not depend on it."""
+
+    #: Letters of keys for each entry of the limit: words have fewer, lines of texts without spaces many more.
+    LETTERS = 24
 
     def __init__(self, fn: Callable, limit: int):
         super().__init__()
         self.fn, self.half, self.old = fn, limit // 2, {}
+        self.letters, self.most = 0, limit // 2 * self.LETTERS
 
     def __missing__(self, key):
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.fn(key)
+        size = len(key)
+        if size * 16 > self.most:
+            return value
+        if len(self) >= self.half or self.letters + size > self.most:
+            self.old = dict(self)
+            self.clear()
+            self.letters = 0
+        self.letters += size
         self[key] = value
         return value
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or name with more underscores, as no column of taken is called."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name

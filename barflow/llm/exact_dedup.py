@@ -24,7 +24,7 @@ TASK_BYTES = 256 << 20
 
 def _better(a: tuple, b: tuple) -> tuple:
     """Of two (code points, id, row) the one that stays: most code points, then smallest id (null last), then first row."""
-    return min(a, b, key=lambda x: (-x[0], x[1] is None, x[1] or 0, x[2]))
+    return min(a, b, key=lambda x: (-x[0], x[1] is None, 0 if x[1] is None else x[1], x[2]))
 
 
 def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -34,14 +34,16 @@ def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     stays, then the one with the smallest id. Null text counts as empty, and empty texts equal each other. Null ids come after
     all others. Of rows that repeat id and text just one is kept. An empty table gives no rows; other columns are not read.
 
-    The sort key is the normalised text's first bytes, a hash of all of it, and the id. So the splitters, sampled from all rows,
-    also split a group of any size by id, and what is sampled is short whatever the texts' length. Each task compares neighbours
+    The sort key is the normalised text's first bytes, a hash of all of it, the id, and the row's place in the input (row_col, if it is named; else df
+    must give the same rows in the same order whenever it is read, as tables do). So the splitters, sampled from all rows, also split a group of any
+    size by id, and rows that repeat text and id, or have none, by place; what is sampled is short whatever the texts' length. Each task compares neighbours
     in full and settles the groups that lie within it. Only the first and last key of a task can go on in another; those few
     texts (two a task) are compared in one more, small aggregation.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(row_col).alias("own")] if row_col else []))
     kind = rows.schema[0].dataType.simpleString()
     own, own_kind = (["own"], ", own long") if row_col else ([], "")
+    rows = rows.withColumn("place", F.col("own") if row_col else F.monotonically_increasing_id())
 
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -49,7 +51,7 @@ def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             points = [len(t.decode()) for t in texts]
             norm = [t.translate(None, BLANK) for t in texts]
             hashes = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in norm]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.int64()), pa.array([t[:HEAD] for t in norm], pa.binary()), pa.array(hashes, pa.int64()), pa.array(norm, pa.binary()), *batch.columns[2:]], ["id", "points", "head", "hash", "norm", *own])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.int64()), pa.array([t[:HEAD] for t in norm], pa.binary()), pa.array(hashes, pa.int64()), pa.array(norm, pa.binary()), *batch.columns[2:]], ["id", "points", "head", "hash", "norm", *own, "place"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 40
@@ -91,12 +93,12 @@ def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             yield batch_of(out)
 
     id_type = [to_arrow_type(rows.schema[0].dataType)]
-    normal = rows.mapInArrow(giving_back(normalise), f"id {kind}, points long, head binary, hash long, norm binary{own_kind}")
+    normal = rows.mapInArrow(giving_back(normalise), f"id {kind}, points long, head binary, hash long, norm binary{own_kind}, place long")
     # the session's number of partitions, or more where the plan's size says that a task would get over TASK_BYTES
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     tasks = size // TASK_BYTES if size < 1 << 60 else 0
     wide = [tasks] if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
-    placed = normal.repartitionByRange(*wide, "head", "hash", "id").sortWithinPartitions("head", "hash", "norm", "id")
+    placed = normal.repartitionByRange(*wide, "head", "hash", "id", "place").sortWithinPartitions("head", "hash", "norm", "id").drop("place")
     settled = cut(placed.mapInArrow(giving_back(settle), f"id {kind}, row long, keep {kind}, keep_points long, keep_row long, size long, sha string, run long, norm binary{own_kind}"))
 
     # runs that may go on in another task: at most those of two keys a task

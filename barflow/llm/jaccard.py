@@ -392,7 +392,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Two rows link if the Jaccard similarity of their sets is at least similarity[0] / similarity[1], compared in whole numbers. No
     link between different sets is lost; equal sets are one. Sets are compared by 64-bit hashes of shingles.
 
-    Null text counts as empty; empty texts link with nothing and are their own components. Rows without id take the smallest id
+    Ids are whole numbers (others fail when Spark casts them). Null text counts as empty; empty texts link with nothing and are their own
+    components. Rows without id take the smallest id
     of rows with the same set, null if there is none. Rows that repeat an id are one document, with the links of all its texts. An
     empty table gives no rows; other columns are not read.
 

@@ -20,7 +20,8 @@ from .common import Memo, giving_back, slices, texts
 GROUP_ROWS = 2048
 #: Words, parts of words among them, that each Python worker remembers.
 MEMO = 400_000
-#: Fixed value: the pattern of the tokenizers that are supported.
+#: The patterns of the tokenizers that are supported; their special strings begin with <|.
+REPLACED = r"\s+"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that str.split() takes for white space and the tokenizer does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -118,6 +119,8 @@ def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "t
     steps, norm = model["pre_tokenizer"].get("pretokenizers", []), (model["normalizer"] or {}).get("normalizers", [])
     if [p["type"] for p in steps] != ["Split", "ByteLevel"] or steps[0]["pattern"] != {"Regex": SPLIT} or steps[0]["behavior"] != "Removed" or [n["type"] for n in norm] != ["NFC", "Replace", "Lowercase"]:
         raise ValueError(f"{path} is not a tokenizer that drops white space")
+    if norm[1].get("pattern") != {"Regex": REPLACED} or norm[1].get("content") != " " or not all(t["content"].startswith("<|") for t in model["added_tokens"]):
+        raise ValueError(f"{path} has other replacements or special strings than are known here")
     dtype = "<u2" if max([end_id, *model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"])]) < 1 << 16 else "<u4"
     wide = np.dtype(dtype).itemsize
     shared = spark.sparkContext.broadcast(spec)
@@ -145,7 +148,7 @@ def pack(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "t
         ids = [np.frombuffer(x, dtype) for x in group["ids"].to_pylist()]
         sizes = [len(x) for x in ids]
         total = group["total"].to_pylist()
-        order = sorted(range(len(own)), key=lambda k: (-sizes[k], own[k] is None, own[k] or 0, start[k], zlib.crc32(ids[k].tobytes())))
+        order = sorted(range(len(own)), key=lambda k: (-sizes[k], own[k] is None, 0 if own[k] is None else own[k], start[k], zlib.crc32(ids[k].tobytes())))
         bins = first_fit_decreasing([sizes[k] for k in order], length)
         used: dict[int, int] = {}
         offsets = []

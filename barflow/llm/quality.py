@@ -168,15 +168,19 @@ def held_out(id_col: str):
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """The model from at most `sample` labelled rows that are not held out: those whose ids hash lowest, as far as
-    SAMPLE_BYTES of text go. Of an id's labels the
+    SAMPLE_BYTES of text go; rows that repeat id and text count once. Of an id's labels the
     largest counts; labels other than 0 and 1 and null texts do not. The driver gets the sample's texts."""
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(id_col, F.col(text_col).alias("__t")).join(F.broadcast(chosen), id_col).filter(F.col("__t").isNotNull())
-    chosen = rows.orderBy(F.xxhash64(id_col), id_col, "__t").limit(sample)
-    # of these few rows, those whose texts fit
-    so_far = F.sum(F.octet_length("__t")).over(Window.orderBy(F.xxhash64(id_col), id_col, "__t").rowsBetween(Window.unboundedPreceding, 0))
-    got = chosen.withColumn("__sum", so_far).filter(F.col("__sum") <= SAMPLE_BYTES).select("__t", "__y").toArrow()
+    text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).filter(F.col("__t").isNotNull())
+    own = text.join(F.broadcast(chosen.select(F.col(id_col).alias("__id"), "__y")), "__id").withColumn("__h", F.sha2("__t", 256))
+    # first which rows, by id, length and a hash of the text: no task orders whole texts; rows that are equal in all count once
+    order = [F.xxhash64("__id"), "__id", "__h"]
+    light = own.groupBy("__id", "__h", "__y").agg(F.max(F.octet_length("__t")).alias("__n")).orderBy(*order).limit(sample)
+    line = Window.orderBy(*order)
+    fits = light.withColumns({"__sum": F.sum("__n").over(line.rowsBetween(Window.unboundedPreceding, 0)), "__k": F.row_number().over(line)})
+    fits = fits.filter(F.col("__sum") <= SAMPLE_BYTES).select("__id", "__h", "__k")
+    got = own.join(F.broadcast(fits), ["__id", "__h"]).groupBy("__k").agg(F.first("__t").alias("__t"), F.first("__y").alias("__y")).toArrow().sort_by("__k")
     return Model(list(zip(got["__t"].to_pylist(), got["__y"].to_pylist(), strict=True)))
 
 

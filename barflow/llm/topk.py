@@ -148,7 +148,7 @@ def top_k(df: DataFrame, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "
 
     Components become floor(scale * x); the score is the whole-number inner product. Queries are the rows whose id is divisible
     by `every`; candidates are all rows but those with the query's own id. Vectors that are null, empty or hold null or
-    non-finite components take no part, nor do rows without id; of query rows that
+    non-finite components take no part, nor do rows without id; ids are whole numbers (others fail when Spark casts them); of query rows that
     repeat an id the smallest vector asks; vectors of other length than the query's are no candidates. A
     query with fewer than k candidates gets all. Rows that repeat an id are candidates each. Scores beyond 64 bits are held at
     the limits. An empty table gives no rows; other columns of df are not read.

@@ -165,3 +165,72 @@ def test_copies_with_other_ids(spark, kind):
 def test_copies_of_very_long_texts(spark):
     df = spark.range(6).selectExpr("id AS doc_id", "concat(repeat('long text ', 300000), IF(id < 4, 'a', 'b')) AS text")
     assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.find_copies(df).collect()} == {i: (0, 4) if i < 4 else (4, 2) for i in range(6)}
+
+
+def test_ids_that_are_empty_strings(spark):
+    df = spark.createDataFrame([("", "a b"), ("x", "ab"), (None, "a b"), ("y", "c d"), ("", "d c"), ("z", "")], "doc_id string, text string")
+    got = {(r.doc_id, r.group_size): r.keep_id for r in exact_dedup.find_copies(df).collect()}
+    assert got[("", 3)] == got[("x", 3)] == got[(None, 3)] == ""
+    pieces = packing.pack(df, WORDS).collect()
+    assert len(pieces) == 6 and {r.doc_id for r in pieces} == {"", "x", None, "y", "z"}
+
+
+def test_rows_without_id_are_split_over_tasks(spark):
+    rows = spark.range(4000, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 8 > 0, "").otherwise("other").alias("text"), F.col("id").alias("own"))
+    seen = []
+    before = exact_dedup.cut
+
+    def looked(df):
+        out = before(df)
+        seen.append([r["count"] for r in out.filter("size > 0").groupBy(F.spark_partition_id()).count().collect()])
+        return out
+
+    exact_dedup.cut = looked
+    whole = "spark.sql.adaptive.coalescePartitions.enabled"  # few rows as these would be put into one task again
+    spark.conf.set(whole, "false")
+    try:
+        for more in ({}, {"row_col": "own"}):
+            out = exact_dedup.find_copies(rows, **more)
+            assert out.filter("kept").count() == 2 and {r.group_size for r in out.select("group_size").distinct().collect()} == {3500, 500}
+    finally:
+        exact_dedup.cut = before
+        spark.conf.unset(whole)
+    assert all(len(parts) > 2 and max(parts) < 2500 for parts in seen)
+
+
+def test_shards_with_more_columns(spark):
+    rows = [(k % 5, "t", k, None if k % 3 else "x", k // 2, "c", 1.5) for k in range(300)] * 8
+    df = spark.createDataFrame(rows, "doc_id long, text string, `count` long, `__key` string, `__first` long, `__bucket` string, n double")
+    got = [sorted(map(repr, sharding.shard(df.repartition(p), 4, bucket_bytes=4000).collect())) for p in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == 2400
+    many = spark.createDataFrame([(1, "t", 5)] * 3000 + [(2, "u", 6)], "doc_id long, text string, `count` long")
+    places = sharding.shard(many, 4, bucket_bytes=4000).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m")).collect()
+    assert sorted(r.n for r in places) == [750, 750, 750, 751] and all(r.m == r.n - 1 for r in places)
+
+
+def test_memo_is_bounded_by_letters():
+    from barflow.llm.common import Memo
+
+    memo = Memo(len, 1000)
+    for k in range(3000):
+        assert memo[f"{k:04d}" * 100] == 400
+        assert sum(map(len, memo)) + sum(map(len, memo.old)) <= 1000 * Memo.LETTERS
+    assert memo["x" * 10_000] == 10_000 and "x" * 10_000 not in memo
+    short = Memo(len, 1000)
+    for k in range(400):
+        short[str(k)]
+    assert len(short) == 400
+
+
+def test_packing_refuses_other_special_strings(tmp_path):
+    import json
+
+    spec = json.load(open(WORDS, encoding="utf-8"))
+    spec["added_tokens"].append(dict(spec["added_tokens"][0], id=49408, content="[sep]"))
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+
+    class NoData:
+        sparkSession = None
+
+    with pytest.raises(ValueError, match="special strings"):
+        packing.pack(NoData(), str(tmp_path / "t.json"))

@@ -53,3 +53,16 @@ def test_near_stage_decides_about_rows(spark):
     # of rows with one id either stays
     assert [x for x in got if x[0] == 5] in ([(5, LONG)], [(5, NEAR)])
     assert [x for x in got if x[0] != 5] == sorted([(7, other), (4, third), (None, "alone here")], key=str)
+
+
+def test_stages_keep_columns_of_any_name(spark, monkeypatch):
+    monkeypatch.setattr(quality, "fit", lambda docs, labels: Short())
+    docs = table(spark, [(1, "good"), (1, "rejected text"), (2, "good")])
+    for name in ("score", "held_out", "predicted", "__row", "column_1", "place", "hash"):
+        docs = docs.withColumn(name, docs["source"])
+    docs = docs.cache()
+    one = corpus_pipeline.quality_stage(spark, docs, "/root/testdata/sf0.001").cache()
+    assert one.columns == docs.columns and left(one) == [(1, "good"), (2, "good")]
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        after = stage(spark, one, "")
+        assert after.columns == docs.columns and left(after)[0] == (1, "good") and all(r["__row"] == r["source"] == r["hash"] for r in after.collect())
