@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import exact_dedup, jaccard, packing, pii, quality
-from barflow.llm.common import cut, short_batches
+from barflow.llm.common import cut, fresh, short_batches
 
 #: Where the packing stage's tokenizer file is.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,26 +26,28 @@ ROW = "__row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with ROW. docs must give the same rows in the same order each time it is read, as the Parquet files of a stage do."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """doc_id, text and ROW of each row. docs must give the same rows in the same order each time it is read, as the Parquet files of a stage do."""
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias(ROW))
 
 
-def _kept(numbered: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of numbered that are in rows (a column ROW), without ROW."""
-    return numbered.join(rows.select(ROW), ROW, "left_semi").drop(ROW)
+def _kept(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs whose number is in rows (a column ROW)."""
+    name = fresh(ROW, docs.columns)
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(rows.select(F.col(ROW).alias(name)), name, "left_semi").drop(name)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score under 0.5) go. It is fitted on labelled documents that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs, quality.fit(docs, labels), keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.filter("predicted = 1").select(docs.columns)
+    # columns of any name travel through the scores under names of their own
+    place = {c: f"column_{k}" for k, c in enumerate(docs.columns)}
+    scored = quality.score(docs.toDF(*place.values()), quality.fit(docs, labels), id_col=place["doc_id"], text_col=place["text"], keep=tuple(p for c, p in place.items() if c != "doc_id"))
+    return scored.filter("predicted = 1").select(*(F.col(p).alias(c) for c, p in place.items()))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for blanks one row stays, with null and repeated ids as well."""
-    numbered = _numbered(docs)
-    return _kept(numbered, exact_dedup.find_copies(numbered, row_col=ROW).filter("kept"))
+    return _kept(docs, exact_dedup.find_copies(_numbered(docs), row_col=ROW).filter("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = _numbered(docs)
     groups = jaccard.near_duplicates(numbered, id_col=ROW, words=5, similarity=(8, 10)).join(numbered.select(ROW, "doc_id"), ROW)
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("best"))
-    return _kept(numbered, best.select(F.col(f"best.{ROW}").alias(ROW)))
+    return _kept(docs, best.select(F.col(f"best.{ROW}").alias(ROW)))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,9 +92,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     cut(spark.range(0))  # makes sure that there is a folder
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            here = f"{folder}/{k}-{name}"
+            docs.write.parquet(here)
+            docs = spark.read.parquet(here)
+            if before is not None:  # nothing reads it any more; the last one is what the result is read from
+                path(before).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(before), True)
+            before = here
     return docs
