@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch_minute, floor_minute, minute_of_day, trading_day
-from ..plans.calendar import EVENING, Sessions
+from ..plans.calendar import EVENING, AnySessions
 from ..schema import CLOSED, NIGHT
 from .ticks import deltas, valid_ticks
 
 
-def bars_1m(rows: DataFrame, sessions: Sessions, *, keys: list[str] = ["symbol"], night_rule: str = "session") -> DataFrame:  # noqa: B006
+def bars_1m(rows: DataFrame, sessions: AnySessions, *, keys: list[str] = ["symbol"], night_rule: str = "session") -> DataFrame:  # noqa: B006
     """One-minute bars of accepted ticks with deltas. Open and close are first and last by arrival, open interest is the last one
     given (else 0). The trading day is the first tick's. night_rule: "session" flags bars from the night's start on, "clock" those
-    from 18:00 or before 03:00. Minutes without ticks give no bar."""
+    from 18:00 or before 03:00. Minutes without ticks give no bar. Columns that the sessions ask for stay."""
     first_time = F.min_by("time", "seq")
     minute = minute_of_day(first_time)
     night = minute >= sessions.night_start if night_rule == "session" else (minute >= EVENING) | (minute < 180)
     given = F.min_by("trading_day", "seq") if "trading_day" in rows.columns else None
-    out = rows.withColumn("__m", epoch_minute(F.col("time"))).groupBy(*keys, "__m").agg(
+    out = rows.withColumn("__m", epoch_minute(F.col("time"))).groupBy(*keys, *(c for c in sessions.columns if c not in keys), "__m").agg(
         floor_minute(first_time).alias("bar_time"),
         trading_day(first_time, sessions.night_start, given).alias("trading_day"),
         F.min_by("price", "seq").alias("open"),
@@ -36,7 +36,7 @@ def bars_1m(rows: DataFrame, sessions: Sessions, *, keys: list[str] = ["symbol"]
     return out.drop("__m")
 
 
-def roll_up(bars: DataFrame, minutes: int | Column, sessions: Sessions, *, keys: list[str] = ["symbol"], by_day: bool = False) -> DataFrame:  # noqa: B006
+def roll_up(bars: DataFrame, minutes: int | Column, sessions: AnySessions, *, keys: list[str] = ["symbol"], by_day: bool = False) -> DataFrame:  # noqa: B006
     """Bars of `minutes` from one-minute bars: a bar ends where the slot of the day changes, and after a segment's last minute.
 
     Slots have no date, so two days whose bars meet in one slot join, unless by_day. Bars are few (at most 1,440 a symbol and
@@ -50,7 +50,7 @@ def roll_up(bars: DataFrame, minutes: int | Column, sessions: Sessions, *, keys:
         new = new | (F.lag("trading_day").over(w) != F.col("trading_day"))
     rows = rows.withColumn("__new", new.cast("int")).withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     flags = F.when(n == 1, F.col("flags")).otherwise(CLOSED) if isinstance(minutes, Column) else F.lit(CLOSED)
-    return rows.withColumn("__flags", flags).groupBy(*keys, "__g").agg(
+    return rows.withColumn("__flags", flags).groupBy(*keys, *(c for c in sessions.columns if c not in keys), "__g").agg(
         F.min("bar_time").alias("bar_time"),
         F.min_by("trading_day", "bar_time").alias("trading_day"),
         F.min_by("open", "bar_time").alias("open"),
@@ -66,7 +66,7 @@ def roll_up(bars: DataFrame, minutes: int | Column, sessions: Sessions, *, keys:
     ).drop("__g")
 
 
-def all_periods(ticks: DataFrame, sessions: Sessions, periods: tuple[int, ...] = (5, 15), **options) -> DataFrame:
+def all_periods(ticks: DataFrame, sessions: AnySessions, periods: tuple[int, ...] = (5, 15), **options) -> DataFrame:
     """One-minute bars and each longer period's, told apart by period ("60m", not "1h"). One-minute bars are made once, and a row of each
     goes to every period."""
     one = bars_1m(deltas(valid_ticks(ticks, sessions), **options), sessions)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clamped_delta
 from ..functions.times import minute_of_day
-from ..plans.calendar import Sessions
+from ..plans.calendar import AnySessions
 
 #: Seq numbers of a block.
 BLOCK = 1 << 20
@@ -29,7 +29,7 @@ def _carried(df: DataFrame, keys: list[str], state: Column, combine) -> DataFram
     return per.select(*keys, "__blk", combine(F.col("__state"), before).alias("__carry"))
 
 
-def with_verdict(ticks: DataFrame, sessions: Sessions, *, order: tuple[str, ...] = ("price", "time", "session"), keys: list[str] = ["symbol"], block: int = BLOCK) -> DataFrame:  # noqa: B006
+def with_verdict(ticks: DataFrame, sessions: AnySessions, *, order: tuple[str, ...] = ("price", "time", "session"), keys: list[str] = ["symbol"], block: int = BLOCK) -> DataFrame:  # noqa: B006
     """ticks with verdict: valid, or the first check in `order` that fails: price (null or not positive), time (before the last
     accepted tick's), session. Equal times are fine; rejected ticks do not move the baseline."""
     good = F.coalesce(F.col("price") > 0, F.lit(False)) & sessions.contains(minute_of_day(F.col("time")))
@@ -49,7 +49,7 @@ def with_verdict(ticks: DataFrame, sessions: Sessions, *, order: tuple[str, ...]
     return rows.withColumn("verdict", verdict).drop("__blk", "__inner", "__carry")
 
 
-def valid_ticks(ticks: DataFrame, sessions: Sessions, **options) -> DataFrame:
+def valid_ticks(ticks: DataFrame, sessions: AnySessions, **options) -> DataFrame:
     """Ticks with positive price, in session, and not before the last accepted one."""
     return with_verdict(ticks, sessions, **options).filter("verdict = 'valid'").drop("verdict")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +31,8 @@ class Sessions:
     """Segments [start, end) in minutes of the day; one whose start is after its end goes past midnight."""
 
     segments: tuple[tuple[int, int], ...]
+    #: Columns that rows must have for these sessions: none, they are the same for all rows.
+    columns = ()
 
     @staticmethod
     def parse(text: str) -> Sessions:
@@ -60,6 +63,10 @@ class Sessions:
     def minutes(self) -> int:
         return sum((e - s) % DAY_MINUTES for s, e in self.segments)
 
+    @property
+    def morning_minutes(self) -> int:
+        return Sessions(tuple(s for s in self.segments if s[0] < 12 * 60)).minutes
+
     def contains(self, minute: Column) -> Column:
         """Comparisons with literals: no join, and part of generated code."""
         out = F.lit(False)
@@ -79,6 +86,78 @@ class Sessions:
         return F.when(self.contains(minute) & (minute < EVENING), F.when(minute < 12 * 60, "morning").otherwise("afternoon"))
 
 
+@dataclass(frozen=True)
+class RowSessions:
+    """Sessions that a column of each row names: what takes Sessions takes these too, so contracts of all kinds go through one plan.
+
+    Each question is a choice among the kinds' comparisons, in generated code; nothing is joined. A name that is in no table has the default's
+    sessions; without a default it raises. any_case: a name that is not there as written is looked up in capitals first. zones: a kind's time zone (see
+    `local`).
+    """
+
+    column: str
+    tables: tuple[tuple[str, Sessions], ...]
+    default: Sessions | None = None
+    any_case: bool = False
+    zones: tuple[tuple[str, str], ...] = ()
+
+    @staticmethod
+    def by(column: str, tables: dict[str, Sessions], default: Sessions | None = None, *, any_case: bool = False, zones: dict[str, str] | None = None) -> RowSessions:
+        return RowSessions(column, tuple(sorted(tables.items())), default, any_case, tuple(sorted((zones or {}).items())))
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return (self.column,)
+
+    def _choose(self, answer: Callable[[Sessions], Column], kind: str) -> Column:
+        name = F.col(self.column)
+        # names with the same sessions are asked about together
+        same: dict[Sessions, list[str]] = {}
+        for k, s in self.tables:
+            same.setdefault(s, []).append(k)
+        out = None
+        for form in (name, F.upper(name)) if self.any_case else (name,):
+            for s, names in same.items():
+                out = (F if out is None else out).when(form.isin(names), answer(s))
+        unknown = F.raise_error(F.concat(F.lit("no sessions known for "), F.coalesce(name.cast("string"), F.lit("null")))).cast(kind) if self.default is None else answer(self.default)
+        return unknown if out is None else out.otherwise(unknown)
+
+    def contains(self, minute: Column) -> Column:
+        return self._choose(lambda s: s.contains(minute), "boolean")
+
+    def is_last_minute(self, minute: Column) -> Column:
+        return self._choose(lambda s: s.is_last_minute(minute), "boolean")
+
+    def is_day_close(self, minute: Column) -> Column:
+        return self._choose(lambda s: s.is_day_close(minute), "boolean")
+
+    def label(self, minute: Column) -> Column:
+        return self._choose(lambda s: s.label(minute), "string")
+
+    @property
+    def night_start(self) -> Column:
+        return self._choose(lambda s: F.lit(s.night_start), "int")
+
+    @property
+    def minutes(self) -> Column:
+        return self._choose(lambda s: F.lit(s.minutes), "int")
+
+    @property
+    def morning_minutes(self) -> Column:
+        return self._choose(lambda s: F.lit(s.morning_minutes), "int")
+
+    def local(self, instant: Column, zone: str = "Asia/Shanghai") -> Column:
+        """The exchange's clock at a time given in UTC (TIMESTAMP_NTZ): in the zone of the row's kind, else in `zone`."""
+        own = F.lit(zone)
+        for k, z in self.zones:
+            own = F.when(F.col(self.column) == k, z).otherwise(own)
+        return F.convert_timezone(F.lit("UTC"), own, instant)
+
+
+#: What functions over rows take: sessions for all, or by row.
+AnySessions = Sessions | RowSessions
+
+
 def minute_dimension(spark: SparkSession, tables: dict[str, Sessions]) -> DataFrame:
     """(root, minute, in_session, is_last) with 1,440 rows a root: turns the range join with sessions into an equi-join."""
     parts = [spark.range(DAY_MINUTES).select(F.lit(root).alias("root"), F.col("id").cast("int").alias("minute"), s.contains(F.col("id")).alias("in_session"), s.is_last_minute(F.col("id")).alias("is_last")) for root, s in tables.items()]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import interval_vwap, price_bin_up, symbol_root, vwap_fell_back
 from ..functions.times import minute_of_day
 from ..operators import bars, events, levels, profile, selection, ticks
-from .calendar import Sessions
+from . import roots
+from .calendar import AnySessions
 from .config import ProfileConfig
 
 KEYS = ["trading_day", "root", "instrument"]
@@ -31,15 +32,25 @@ class Run:
     summary: DataFrame
 
 
-def judged_ticks(rows: DataFrame, sessions: Sessions) -> DataFrame:
+def judged_ticks(rows: DataFrame, sessions: AnySessions) -> DataFrame:
     """All ticks with instrument, root, day_key and the verdict on each, by contract and day."""
     rows = rows.withColumn("instrument", F.col("symbol")).withColumn("root", F.upper(symbol_root(F.col("symbol")))).withColumn("day_key", F.coalesce("source_day", F.lit("")))
     return ticks.with_verdict(rows, sessions, order=("session", "price", "time"), keys=["instrument", "day_key"])
 
 
-def normalized(rows: DataFrame, contracts: DataFrame, sessions: Sessions, cfg: ProfileConfig) -> DataFrame:
+def _known(rows: DataFrame, contracts: DataFrame, sessions: AnySessions) -> DataFrame:
+    """rows with the columns that the sessions ask for, which contracts have by root (as session_group), unless rows have them."""
+    lacking = [c for c in sessions.columns if c not in rows.columns]
+    if not lacking:
+        return rows
+    by_root = contracts.select(F.upper("root").alias("__root"), *lacking)
+    return rows.withColumn("__root", F.upper(symbol_root(F.col("symbol")))).join(by_root, "__root").drop("__root")
+
+
+def normalized(rows: DataFrame, contracts: DataFrame, sessions: AnySessions, cfg: ProfileConfig) -> DataFrame:
     """Accepted ticks with deltas, session, interval VWAP and quality flags. rows: symbol, seq, time, price, cumulative volume and
     turnover, source_day; contracts (root, tick_size, turnover_divisor) is a dimension of a few dozen rows."""
+    rows = _known(rows, contracts, sessions)
     minute = minute_of_day(F.col("time"))
     good = ticks.deltas(judged_ticks(rows, sessions).filter("verdict = 'valid'").drop("verdict"), keys=["instrument", "day_key"], max_gap_ms=cfg.max_gap_ms)
     good = good.join(F.broadcast(contracts.select("root", "tick_size", "turnover_divisor")), "root")
@@ -54,7 +65,7 @@ def normalization_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.count("*").alias("rows"), F.count_if(F.col("delta_volume") > 0).alias("positive_rows"), F.sum("delta_volume").alias("assigned_volume"), has("VOLUME_RESET").alias("volume_resets"), has("TURNOVER_RESET").alias("turnover_resets"), has("LONG_GAP").alias("long_gaps"), has("VWAP_FALLBACK_LTP").alias("vwap_fallbacks"))
 
 
-def quality_stats(rows: DataFrame, sessions: Sessions, keys: list[str], instrument: Column | str | None = None) -> DataFrame:
+def quality_stats(rows: DataFrame, sessions: AnySessions, keys: list[str], instrument: Column | str | None = None) -> DataFrame:
     """Counters of a simple tick file: rows by verdict (order session, then time, after invalid ones), resets, ticks without volume, and
     ticks of morning and afternoon. Invalid (bad_price_rows) are rows without a positive price, with a negative volume, or, with an
     instrument given, of another symbol."""
@@ -79,12 +90,15 @@ def simple_profile(rows: DataFrame, tick: Column | float, keys: list[str]) -> Da
     return bins.withColumns({"price": F.col("bin") * tick, "share": F.col("volume") / F.sum("volume").over(Window.partitionBy(*keys))})
 
 
-def convert(rows: DataFrame, sessions: Sessions) -> tuple[DataFrame, DataFrame]:
-    """(bars, report): one-minute bars of source files, night by the clock, and a report row a file; both resets count together."""
+def convert(rows: DataFrame, sessions: AnySessions | None = None) -> tuple[DataFrame, DataFrame]:
+    """(bars, report): one-minute bars of source files, night by the clock, and a report row a file; both resets count together. Without sessions given,
+    each contract has those of its kind, and a root of no known kind raises; so files of all kinds are one conversion."""
     keys = ["symbol", "source_file", "source_day"]
+    if sessions is None:
+        rows, sessions = roots.with_kind(rows), roots.by_kind()
     judged = ticks.with_verdict(rows, sessions, keys=keys)
     good = ticks.deltas(judged.filter("verdict = 'valid'").drop("verdict"), keys=keys)
-    one = bars.bars_1m(good, sessions, keys=keys, night_rule="clock")
+    one = bars.bars_1m(good, sessions, keys=keys, night_rule="clock").drop(*sessions.columns)
     resets = good.groupBy(*keys).agg((F.count_if(F.array_contains("quality_flags", "VOLUME_RESET")) + F.count_if(F.array_contains("quality_flags", "TURNOVER_RESET"))).alias("resets"))
     made = one.groupBy(*keys).agg(F.count("*").alias("bars"))
     report = ticks.verdict_counts(judged, keys).join(made, keys, "left").join(resets, keys, "left").fillna(0).orderBy("source_file", "source_day")
@@ -96,16 +110,17 @@ def totals(report: DataFrame) -> DataFrame:
     return report.agg(F.count("*").alias("files"), *(F.sum(n).alias(n) for n in names))
 
 
-def run(rows: DataFrame, contracts: DataFrame, sessions: Sessions, cfg: ProfileConfig) -> Run:
-    """The whole pipeline for contracts of one kind of session. The morning is profiled, the afternoon evaluated."""
+def run(rows: DataFrame, contracts: DataFrame, sessions: AnySessions, cfg: ProfileConfig) -> Run:
+    """The whole pipeline. The morning is profiled, the afternoon evaluated. Sessions are the same for all contracts, or by row: RowSessions over a
+    column that rows have, or that contracts have by root."""
+    rows = _known(rows, contracts, sessions)
     norm = normalized(rows, contracts, sessions, cfg)
     morning = F.coalesce(F.col("session") == "morning", F.lit(False))
-    minutes = Sessions(tuple(s for s in sessions.segments if s[0] < 12 * 60)).minutes
-    files = ["trading_day", "root", "source_file"]
-    stats = selection.contract_stats(norm.withColumn("source_file", F.col("instrument")), F.col("tick_size"), minutes, files, morning=morning)
+    files = ["trading_day", "root", "source_file", *sessions.columns]
+    stats = selection.contract_stats(norm.withColumn("source_file", F.col("instrument")), F.col("tick_size"), sessions.morning_minutes, files, morning=morning)
     judged = judged_ticks(rows, sessions).join(F.broadcast(contracts.select("root")), "root", "left_semi")
     stats = selection.with_counters(stats, judged.withColumns({"source_file": F.col("instrument"), "trading_day": F.col("day_key")}), files)
-    picked = selection.representative(stats, contracts.select("root"), cfg.limits, day="trading_day")
+    picked = selection.representative(stats.drop(*sessions.columns), contracts.select("root"), cfg.limits, day="trading_day")
     chosen = picked.filter("selected").select("trading_day", "root", F.col("source_file").alias("instrument"))
     # at most one contract a root and day
     norm = norm.join(chosen, KEYS, "left_semi")

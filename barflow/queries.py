@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as M
 from .functions import times as T
 from .operators import bars, charts, dml, events, levels, profile, selection, series, ticks
-from .plans.calendar import NIGHT_2300, Sessions, day_map, minute_dimension
+from .plans.calendar import NIGHT_0230, NIGHT_2300, STOCK_INDEX, RowSessions, Sessions, day_map, minute_dimension
 from .plans.config import Limits, ProfileConfig
 from .sources.events import event_ticks, line_tape
 
@@ -41,7 +41,7 @@ MORNING = "(m >= 540 AND m < 615 OR m >= 630 AND m < 690)"
 TRADING = "strftime(CASE WHEN m >= 1260 THEN time::DATE + (CASE isodow(time) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END)::INT ELSE time::DATE END, '%Y%m%d')::INT"
 
 
-def _raw(dirty: bool = True) -> str:
+def _ticks(dirty: bool = True) -> str:
     price = "CASE WHEN seq % 97 = 0 THEN 0.0 ELSE price END" if dirty else "price"
     time = "CASE WHEN seq % 41 = 0 THEN time - INTERVAL 10 MINUTE ELSE time END" if dirty else "time"
     return f"""t0 AS (
@@ -51,8 +51,11 @@ def _raw(dirty: bool = True) -> str:
         SELECT *, (sum(qty) OVER w)::BIGINT AS volume, (sum(qty * round(price * 100)::BIGINT) OVER w)::BIGINT AS turnover
         FROM t0 WINDOW w AS (PARTITION BY symbol, time::DATE ORDER BY seq)
     ), t2 AS (SELECT * REPLACE ({price} AS price, {time} AS time) FROM t1),
-    ticks AS (SELECT *, {MIN} AS m FROM t2),
-    judged AS (
+    ticks AS (SELECT *, {MIN} AS m FROM t2)"""
+
+
+def _raw() -> str:
+    return f"""{_ticks()}, judged AS (
         SELECT *, max(CASE WHEN price > 0 AND {INS} THEN time END) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM ticks
     ), valid AS (SELECT * FROM judged WHERE price > 0 AND {INS} AND (base IS NULL OR time >= base))"""
 
@@ -159,11 +162,45 @@ def calendar_day(spark, sf):
 
 @query(
     "t12_last_minute",
-    f"""WITH g AS (SELECT unnest(range(1440))::INT AS m) SELECT 'night' AS root, m AS minute, {INS} AS in_session, {LAST} AS is_last FROM g
-    UNION ALL SELECT 'late', m, m >= 1260 OR m < 150 OR m >= 540 AND m < 615, m IN (149, 614) FROM g""",
+    f"""{BASE}, x AS (SELECT *, seq % 2 = 0 AS even FROM ticks)
+    SELECT seq, m AS minute, CASE WHEN even THEN 'night' ELSE 'late' END AS root, CASE WHEN even THEN {INS} ELSE m >= 1260 OR m < 150 OR m >= 540 AND m < 615 END AS in_session,
+           CASE WHEN even THEN {LAST} ELSE m IN (149, 614) END AS is_last FROM x""",
 )
 def last_minute(spark, sf):
-    return minute_dimension(spark, {"night": SESSIONS, "late": Sessions.parse("21:00-02:30,09:00-10:15")})
+    t = event_ticks(spark, sf).select("seq", T.minute_of_day(F.col("time")).alias("minute"), F.when(F.col("seq") % 2 == 0, "night").otherwise("late").alias("root"))
+    return t.join(minute_dimension(spark, {"night": SESSIONS, "late": Sessions.parse("21:00-02:30,09:00-10:15")}), ["root", "minute"])
+
+
+# contracts of three kinds: one with a night session, one without, one whose night goes past midnight
+KINDS = RowSessions.by("kind", {"night": SESSIONS, "index": Sessions.parse(STOCK_INDEX), "late": Sessions.parse(NIGHT_0230)})
+_BY_KIND = "CASE kind WHEN 'night' THEN {0} WHEN 'index' THEN {1} ELSE {2} END"
+_DAY_INS = "m >= 540 AND m < 615 OR m >= 630 AND m < 690 OR m >= 810 AND m < 900"
+KIND_INS = _BY_KIND.format(INS, "(m >= 570 AND m < 690 OR m >= 780 AND m < 900)", f"(m >= 1260 OR m < 150 OR {_DAY_INS})")
+KIND_LAST = _BY_KIND.format(LAST, "m IN (689, 899)", "m IN (149, 614, 689, 899)")
+_KIND_OF = "CASE user_id % 3 WHEN 0 THEN 'night' WHEN 1 THEN 'index' ELSE 'late' END"
+MIXED = f"""WITH {_ticks()},
+    ct AS (SELECT * REPLACE (symbol || '_' || (user_id % 3) AS symbol), {_KIND_OF} AS kind FROM ticks),
+    judged AS (SELECT *, max(CASE WHEN price > 0 AND {KIND_INS} THEN time END) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM ct),
+    valid AS (SELECT * FROM judged WHERE price > 0 AND {KIND_INS} AND (base IS NULL OR time >= base)), {_deltas()},
+    b AS (SELECT symbol, any_value(kind) AS kind, date_trunc('minute', arg_min(time, seq)) AS bar_time, arg_min(CASE WHEN kind = 'index' THEN strftime(time::DATE, '%Y%m%d')::INT ELSE {TRADING} END, seq) AS trading_day,
+        arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(delta_volume)::BIGINT AS volume, sum(delta_turnover)::BIGINT AS turnover,
+        coalesce(arg_max(open_interest, seq) FILTER (open_interest IS NOT NULL), 0.0) AS open_interest, 0.0::DOUBLE AS settlement, count(*)::INT AS tick_count,
+        (1 + CASE WHEN arg_min(m >= 1260 AND kind <> 'index', seq) THEN 4 ELSE 0 END)::INT AS flags FROM d GROUP BY symbol, date_trunc('minute', time)),
+    {_rolled(15).replace(LAST, KIND_LAST).replace("SELECT symbol, min(bar_time)", "SELECT symbol, any_value(kind) AS kind, min(bar_time)")}"""
+
+
+@query("j8_mixed_sessions", f"{MIXED} SELECT *, '1m' AS period FROM b UNION ALL SELECT *, '15m' FROM r")
+def mixed_sessions(spark, sf):
+    t = event_ticks(spark, sf).withColumn("symbol", F.concat_ws("_", "symbol", (F.col("user_id") % 3).cast("string")))
+    t = t.withColumn("kind", F.element_at(F.array(*map(F.lit, ("night", "index", "late"))), (F.col("user_id") % 3 + 1).cast("int")))
+    return bars.all_periods(t, KINDS, (15,))
+
+
+@query("x2_zone", f"{BASE} SELECT seq, CASE user_id % 2 WHEN 0 THEN time + INTERVAL 8 HOUR ELSE time END AS local_time FROM ticks")
+def zone(spark, sf):
+    own = RowSessions.by("kind", {"a": SESSIONS}, zones={"utc": "UTC"})
+    t = event_ticks(spark, sf).withColumn("kind", F.when(F.col("user_id") % 2 == 0, "a").otherwise("utc"))
+    return t.select("seq", own.local(F.col("time")).alias("local_time"))
 
 
 @query("w1_delta_volume", f"{BASE}, {_deltas()} SELECT symbol, seq, delta_volume::BIGINT AS delta_volume, delta_turnover::BIGINT AS delta_turnover FROM d")
