@@ -24,7 +24,8 @@ from .components import components
 COUNTERS = 1 << 22
 #: Parts in which the table is summed.
 PARTS = 64
-#: A shingle is frequent if its counter is over this, and over four times the mean of all.
+#: A shingle is frequent if its counter is over this. The limit is that of a list's length, so it does not grow with the table; where counters are
+#: so full that most are over it, most shingles are indexed in pairs.
 FREQUENT = 64
 #: Words that each Python worker remembers.
 MEMO = 300_000
@@ -111,7 +112,6 @@ class Index:
 
     def __init__(self, counters: np.ndarray, num: int, den: int):
         self.counters, self.num, self.den = counters, num, den
-        self.frequent = max(FREQUENT, 4 * int(counters.sum() / COUNTERS))
 
     def missing(self, n: int) -> int:
         """How many tokens of a set of n can lack in a similar set."""
@@ -130,14 +130,14 @@ class Index:
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
         """The set's index keys as signed 64-bit numbers. Tokens that no other row has need none."""
-        counts = self.counters[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        counts = self.counters[(tokens & np.uint64(len(self.counters) - 1)).astype(np.int64)]
         order = np.lexsort((tokens, counts))
         t, c = tokens[order], counts[order]
         need = self.missing(len(t)) + 1
         out = []
         for b in self.bands(len(t)):
             salt = mix(np.array([b + 1], np.uint64))
-            rare = int(np.searchsorted(c, self.frequent, "right")) if (classes := self.classes(b)) else len(t)
+            rare = int(np.searchsorted(c, FREQUENT, "right")) if (classes := self.classes(b)) else len(t)
             alone, shared = t[: min(rare, need)], c[: min(rare, need)] > 1
             out.append(mix(alone[shared] ^ salt))
             if rare < need:

@@ -122,3 +122,25 @@ def test_long_lists(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "FEW", few)
         got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(df, words=3, similarity=(70, 100)).collect()}
         assert got == dict(enumerate(want)), (block, few)
+
+
+def test_full_counters_make_no_long_lists():
+    """With far fewer counters than shingles no list of different sets is long, and similar sets still share a key."""
+    from collections import Counter
+
+    from barflow.llm.jaccard import FREQUENT, Index
+
+    r = np.random.default_rng(7)
+    common = r.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([r.choice(common, 25, replace=False), r.integers(0, 2**63, 25, dtype=np.uint64)])) for _ in range(3000)]
+    near = [np.unique(np.concatenate([s[: len(s) - 4], r.integers(0, 2**63, 4, dtype=np.uint64)])) for s in sets[:200]]
+    table = np.bincount((np.concatenate(sets) & np.uint64(1023)).astype(np.int64), minlength=1024).astype(np.uint32)
+    assert table.mean() > FREQUENT
+    index = Index(table, 8, 10)
+    keys = [set(index.keys(s).tolist()) for s in sets]
+    lists = Counter(k for own in keys for k in own)
+    assert max(lists.values()) <= FREQUENT < Counter(np.concatenate(sets).tolist()).most_common(1)[0][1]
+    for s, t, own in zip(sets, near, keys):
+        both = len(np.intersect1d(s, t))
+        if 10 * both >= 8 * (len(s) + len(t) - both):
+            assert own & set(index.keys(t).tolist())
