@@ -9,11 +9,14 @@ from ..functions.times import epoch_minute
 
 
 def thinned(ticks: DataFrame, keys: list[str], bucket_ms: int = 1000) -> DataFrame:
-    """Of each bucket of time the first, the last, the lowest and the highest tick (the first of equals), each once, in order of seq."""
+    """Of each bucket of time the first, the last, the lowest and the highest tick (the first of equals), each once. One aggregation that holds four rows a
+    bucket; seq tells a key's ticks apart."""
     t = F.floor(F.unix_millis(F.col("time").cast("timestamp")) / bucket_ms)
-    per = ticks.groupBy(*keys, t.alias("__t")).agg(F.array(F.min("seq"), F.max("seq"), F.min_by("seq", F.struct("price", "seq")), F.max_by("seq", F.struct(F.col("price"), -F.col("seq")))).alias("__s"))
-    chosen = per.select(*keys, F.explode(F.array_distinct("__s")).alias("seq"))
-    return ticks.join(chosen, [*keys, "seq"], "left_semi")
+    row, rank = F.struct(*ticks.columns), (F.col("seq"), F.struct("price", "seq"), F.struct("price", -F.col("seq")))
+    four = F.array(F.min_by(row, rank[0]), F.max_by(row, rank[0]), F.min_by(row, rank[1]), F.max_by(row, rank[2]))
+    per = ticks.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), t.alias("__t")).agg(four.alias("__r"))
+    once = F.filter("__r", lambda r, i: F.array_position(F.transform("__r", lambda o: o["seq"]), r["seq"]) == i + 1)
+    return per.select(F.explode(once).alias("r")).select("r.*")
 
 
 def positions(bars: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,3 +72,28 @@ def payload(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
         one = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", *(c for c in cols if c != "ord")))).alias(name))
         out = one if out is None else out.join(one, keys, "full")
     return out.select(*keys, F.to_json(F.struct(*parts)).alias("payload"))
+
+
+def gathered(df: DataFrame, keys: list[str], order: list[str], item: Column, name: str) -> DataFrame:
+    """(keys, name): an array a key of the items, in order."""
+    cells = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), item.alias("item"))))
+    return df.groupBy(*keys).agg(F.transform(cells, lambda c: c["item"]).alias(name))
+
+
+def nested(df: DataFrame, keys: list[str], levels: list[str], order: list[str], item: Column, name: str) -> DataFrame:
+    """(keys, name): maps within maps, a level each, with arrays of items in order at the end. Names of a level come sorted."""
+    out = gathered(df, [*keys, *levels], order, item, name)
+    for k in range(len(levels) - 1, -1, -1):
+        entries = F.map_from_entries(F.collect_list(F.struct(F.col(levels[k]).cast("string"), F.col(name))))
+        out = out.groupBy(*keys, *levels[:k]).agg(entries.alias(name))
+        names = F.array_sort(F.map_keys(name))
+        out = out.withColumn(name, F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.col(name), n))))
+    return out
+
+
+def together(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Frames of a row a key as one frame; a key that a frame lacks has null there. Each frame comes dealt by its keys, so that the joins move nothing."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, keys, "full")
+    return out

@@ -627,12 +627,3 @@ def levels_events(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").withColumn("day", F.col("o_orderdate").cast("date")).withColumn("lower", (F.col("o_custkey") % 20).cast("string"))
     ev = o.filter("o_custkey % 3 = 0").select("day", "lower", F.col("o_orderpriority").alias("role"), F.col("o_orderstatus").alias("outcome"), F.col("o_orderkey").alias("event_no"))
     return charts.levels_with_events(o.select("day", "lower").distinct(), ev, ["day", "lower"]).withColumn("day", F.col("day").cast("string"))
-
-
-@query("v3_payload")
-def payload(spark, sf):
-    placed = charts.positions(_one(spark, sf), KEY).withColumn("day", F.col("trading_day"))
-    keys = ["symbol", "day"]
-    bar_part = placed.select(*keys, F.col("idx").alias("ord"), "bar_time", "open", "high", "low", "close", "volume")
-    break_part = charts.breaks(charts.positions(placed.drop("idx"), keys), keys).withColumn("ord", F.col("x"))
-    return charts.payload({"bars": bar_part, "breaks": break_part}, keys)
