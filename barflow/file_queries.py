@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from .functions import names
 from .operators import bars, events, profile
 from .plans import charts
-from .plans.pipeline import quality_stats, simple_profile
+from .plans.pipeline import convert, quality_stats, simple_profile
 from .queries import ARCHIVE, BARS, BASE, CONFIG, DELTAS, EVENTS, INS, KEY, MORNING, SESSIONS, _archive, _deltas, _one, _rolled, _with_deltas, _zones, query
 from .schema import BAR, EXTERNAL_BAR, TICK
-from .sources import raw, records, store
+from .sources import files, raw, records, runs, store
 from .sources.events import event_ticks
 from .streaming import sinks
 from .streaming.bars import COLUMNS
@@ -256,3 +256,26 @@ def simple_payload(spark, sf):
             "quality": ("array(doc.quality)", ["x['ticks']", "x['with_volume']"], []),
         },
     )
+
+
+@query(
+    "a10_run_counters",
+    f"""{BARS}, v AS (SELECT CASE WHEN NOT coalesce(price > 0, false) THEN 'price' WHEN time < base THEN 'time' WHEN NOT {INS} THEN 'session' ELSE 'valid' END AS verdict FROM judged)
+    SELECT (SELECT count(DISTINCT symbol) FROM judged) AS files, count(*) AS rows, count_if(verdict = 'valid')::BIGINT AS valid_rows, count_if(verdict = 'session')::BIGINT AS filtered_rows, count_if(verdict = 'price')::BIGINT AS bad_price_rows,
+           count_if(verdict = 'time')::BIGINT AS backwards_rows, (SELECT count(*) FROM b) AS bars, (SELECT (count_if(coalesce(volume < pv, false)) + count_if(coalesce(turnover < pt, false)))::BIGINT FROM d) AS resets FROM v""",
+)
+def run_counters(spark, sf):
+    """A conversion's report is written, and its totals are counted by that job."""
+    place = _place(spark)
+    rows = event_ticks(spark, sf).withColumns({"source_file": F.col("symbol"), "source_day": F.lit("")})
+    names_ = ("rows", "valid_rows", "filtered_rows", "bad_price_rows", "backwards_rows", "bars", "resets")
+    got = runs.observed(convert(rows, SESSIONS)[1], {"files": F.count("*"), **{n: F.sum(n) for n in names_}}, lambda df: store.write_report(df, place))
+    return spark.createDataFrame([got], ", ".join(f"{n} bigint" for n in ("files", *names_))).select("files", *names_)
+
+
+@query("k14_source_files", f"{BARS} SELECT symbol, bar_time, trading_day, round(open, 2) AS open, round(high, 2) AS high, round(low, 2) AS low, round(close, 2) AS close, volume::DOUBLE AS volume, open_interest, tick_count, flags FROM b")
+def source_files(spark, sf):
+    place = _place(spark)
+    runs.write_source_files(_one(spark, sf), place, day="trading_day")
+    named = files.metadata(spark, place).select("path", F.col("meta")["symbol"].alias("symbol"))
+    return files.read_bars(spark, place).join(named, "path").select("symbol", "bar_time", "trading_day", "open", "high", "low", "close", "volume", "open_interest", "tick_count", "flags")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import interval_vwap, price_bin_up, symbol_root, vwap_fell_back
 from ..functions.times import minute_of_day
 from ..operators import bars, events, levels, profile, selection, ticks
+from ..sources.runs import Stage, as_they_are
 from . import roots
 from .calendar import AnySessions
 from .config import ProfileConfig
@@ -110,32 +111,34 @@ def totals(report: DataFrame) -> DataFrame:
     return report.agg(F.count("*").alias("files"), *(F.sum(n).alias(n) for n in names))
 
 
-def run(rows: DataFrame, contracts: DataFrame, sessions: AnySessions, cfg: ProfileConfig) -> Run:
+def run(rows: DataFrame, contracts: DataFrame, sessions: AnySessions, cfg: ProfileConfig, stage: Stage = as_they_are) -> Run:
     """The whole pipeline. The morning is profiled, the afternoon evaluated. Sessions are the same for all contracts, or by row: RowSessions over a
-    column that rows have, or that contracts have by root."""
+    column that rows have, or that contracts have by root. stage keeps the frames that several results read (normalised ticks, selection, those of
+    the selected contracts, scales, levels, events): by default each result computes them anew."""
     rows = _known(rows, contracts, sessions)
-    norm = normalized(rows, contracts, sessions, cfg)
+    norm = stage(normalized(rows, contracts, sessions, cfg), "normalized")
     morning = F.coalesce(F.col("session") == "morning", F.lit(False))
     files = ["trading_day", "root", "source_file", *sessions.columns]
     stats = selection.contract_stats(norm.withColumn("source_file", F.col("instrument")), F.col("tick_size"), sessions.morning_minutes, files, morning=morning)
     judged = judged_ticks(rows, sessions).join(F.broadcast(contracts.select("root")), "root", "left_semi")
     stats = selection.with_counters(stats, judged.withColumns({"source_file": F.col("instrument"), "trading_day": F.col("day_key")}), files)
-    picked = selection.representative(stats.drop(*sessions.columns), contracts.select("root"), cfg.limits, day="trading_day")
+    picked = stage(selection.representative(stats.drop(*sessions.columns), contracts.select("root"), cfg.limits, day="trading_day"), "selected")
     chosen = picked.filter("selected").select("trading_day", "root", F.col("source_file").alias("instrument"))
     # at most one contract a root and day
-    norm = norm.join(chosen, KEYS, "left_semi")
+    norm = stage(norm.join(chosen, KEYS, "left_semi"), "chosen")
     early = norm.filter("session = 'morning'")
     full = profile.dense(profile.histograms(early, F.col("tick_size"), [*KEYS, "tick_size"]), [*KEYS, "tick_size"])
-    scales = profile.all_scales(full, cfg.sigmas, [*KEYS, "tick_size"])
+    scales = stage(profile.all_scales(full, cfg.sigmas, [*KEYS, "tick_size"]), "scales")
     # zones are found in bins and then priced, so that one function serves every tick size
     found = levels.find_levels(scales, 1.0, cfg, [*KEYS, "tick_size"])
     priced = found.withColumns({c: F.round(F.col(c) * F.col("tick_size"), 10) for c in ("center", "lower", "upper")})
     priced = priced.withColumn("zone_no", F.xxhash64("node_types", "center")).withColumn("available_time", F.concat_ws(" ", F.date_format(F.to_date("trading_day", "yyyyMMdd"), "yyyy-MM-dd"), F.lit(AVAILABLE)).cast("timestamp_ntz"))
+    priced = stage(priced, "levels")
     late = norm.filter("session = 'afternoon'")
     known = F.concat_ws(" ", F.date_format(F.to_date("trading_day", "yyyyMMdd"), "yyyy-MM-dd"), F.lit(AVAILABLE)).cast("timestamp_ntz")
     late = events.guarded(late, known).select(*KEYS, "seq", "time", "price")
     limits = events.thresholds(profile.minute_ranges(early, F.col("tick_size"), [*KEYS, "tick_size"]), cfg, KEYS)
-    came = events.outcomes(events.first_touch(priced, late, KEYS), late, limits, F.col("tick_size"), KEYS)
+    came = stage(events.outcomes(stage(events.first_touch(priced, late, KEYS), "touched"), late, limits, F.col("tick_size"), KEYS), "events")
     kinds = lambda df: df.withColumn("node_types", F.array_join("node_types", "+"))
     return Run(picked, norm, profile.profile_rows(scales, F.col("tick_size"), [*KEYS, "tick_size"]), priced, came, events.summary(kinds(priced), kinds(came)))
 
