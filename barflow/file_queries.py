@@ -14,7 +14,7 @@ from .plans import charts
 from .plans.pipeline import convert, quality_stats, simple_profile
 from .queries import ARCHIVE, BARS, BASE, CONFIG, DELTAS, EVENTS, INS, KEY, MORNING, SESSIONS, _archive, _deltas, _one, _rolled, _with_deltas, _zones, query
 from .schema import BAR, EXTERNAL_BAR, TICK
-from .sources import files, raw, records, runs, store
+from .sources import files, raw, records, runs, store, tables
 from .sources.events import event_ticks
 from .streaming import sinks
 from .streaming.bars import COLUMNS
@@ -279,3 +279,35 @@ def source_files(spark, sf):
     runs.write_source_files(_one(spark, sf), place, day="trading_day")
     named = files.metadata(spark, place).select("path", F.col("meta")["symbol"].alias("symbol"))
     return files.read_bars(spark, place).join(named, "path").select("symbol", "bar_time", "trading_day", "open", "high", "low", "close", "volume", "open_interest", "tick_count", "flags")
+
+
+@query(
+    "d4_review_table",
+    """WITH o AS (SELECT year(o_orderdate)::VARCHAR AS trading_day, 'I' || (o_custkey % 7) AS instrument, (o_custkey % 50)::VARCHAR AS zone_id, o_orderkey AS k, CASE o_orderpriority[1] WHEN '1' THEN 'A' WHEN '2' THEN 'B' ELSE 'C' END AS grade FROM orders),
+    a AS (SELECT trading_day, instrument, zone_id, k AS created, grade FROM o WHERE k % 2 = 0 QUALIFY row_number() OVER (PARTITION BY trading_day, instrument, zone_id ORDER BY k DESC) = 1),
+    b AS (SELECT trading_day, instrument, zone_id, k AS created, grade FROM o WHERE k % 2 = 1 QUALIFY row_number() OVER (PARTITION BY trading_day, instrument, zone_id ORDER BY k DESC) = 1)
+    SELECT trading_day, instrument, zone_id, coalesce(b.grade, a.grade) AS grade, coalesce(a.created, b.created)::BIGINT AS created FROM a FULL JOIN b USING (trading_day, instrument, zone_id) WHERE trading_day <> '1995' AND instrument <> 'I3'""",
+)
+def review_table(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    at = F.timestamp_seconds(F.col("o_orderkey")).cast("timestamp_ntz")
+    own = {"trading_day": F.year("o_orderdate").cast("string"), "instrument": F.concat(F.lit("I"), F.col("o_custkey") % 7), "zone_id": (F.col("o_custkey") % 50).cast("string"), "grade": F.when(F.col("o_orderpriority").startswith("1"), "A").when(F.col("o_orderpriority").startswith("2"), "B").otherwise("C"), "created_at": at, "updated_at": at}
+    rows = o.select("o_orderkey", *((own[c] if c in own else F.lit("" if k == "STRING" else 0).cast(k)).alias(c) for c, k in (p.split() for p in tables.REVIEW.split(", "))))
+    table = tables.Reviews(spark, _place(spark))
+    table.put(rows.filter("o_orderkey % 2 = 0"))
+    table.put(rows.filter("o_orderkey % 2 = 1"))
+    table.drop(table.all().filter("trading_day = '1995' OR instrument = 'I3'"))
+    return table.all().select("trading_day", "instrument", "zone_id", "grade", F.unix_seconds(F.col("created_at").cast("timestamp")).alias("created"))
+
+
+@query("k8_canonical_archive", f"{ARCHIVE} SELECT symbol, bar_time, coalesce(lw.close, ex.close) AS close, 'end' AS source_time FROM ex FULL JOIN lw USING (symbol, bar_time)")
+def canonical_archive(spark, sf):
+    place = _place(spark)
+    old, batch = _archive(spark, sf)
+    about = {"zone": "Asia/Shanghai", "schema": "v1", "source": "made", "source_time": "end", "calendar": "weekdays"}
+    day = F.date_format("bar_time", "yyyyMMdd").cast("int").alias("trading_day")
+    for part in (old.withColumn("seq", F.lit(0)), batch, batch):
+        rows = part.select("symbol", F.lit("1m").alias("period"), "bar_time", day, "close", "volume", F.lit(1).alias("flags"), "seq")
+        tables.write_canonical(raw.bar_of(rows, keep=["seq"]), place, **about)
+    back = tables.read_canonical(spark, place)
+    return back.select("symbol", "bar_time", "close", F.regexp_extract("metadata", "source_time=([^ ]+)", 1).alias("source_time"))

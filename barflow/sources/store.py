@@ -76,6 +76,20 @@ def named_parts(df: DataFrame, names: list[str]) -> list[tuple]:
     return found
 
 
+def replace_partitions(new: DataFrame, path: str, schema: str, parts: list[str], order: list[str]) -> DataFrame:
+    """Writes new in place of the partitions that its rows belong to, a file each, in order; what new is made from may be what is replaced. Returns those rows as
+    they lie in the table now."""
+    spark = new.sparkSession
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    new.write.mode("overwrite").parquet(staged)  # what is read must not be what is overwritten
+    ready = spark.read.schema(schema).parquet(staged)
+    named = named_parts(ready, parts)
+    ready.repartition(*(F.col(c) for c in parts)).sortWithinPartitions(*parts, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    fs, where = path_of(spark, staged)
+    fs.delete(where, True)
+    return only(spark.read.schema(schema).parquet(path), named, parts)
+
+
 def _persist(bars: DataFrame, path: str, schema: str) -> int:
     spark = bars.sparkSession
     cols = [f.name for f in spark.createDataFrame([], schema).schema]
@@ -89,12 +103,7 @@ def _persist(bars: DataFrame, path: str, schema: str) -> int:
             return 0
         days = [tuple(r)[:3] for r in moved]
         new = upsert(only(read_archive(spark, path, schema), days, PARTS), only(batch, days, PARTS), KEYS)
-        staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-        new.write.mode("overwrite").parquet(staged)  # what is read must not be what is overwritten
-        ready = spark.read.schema(schema).parquet(staged)
-        ready.repartition(*(F.col(c) for c in PARTS)).sortWithinPartitions(*PARTS, "bar_time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
-        fs, where = path_of(spark, staged)
-        fs.delete(where, True)
+        replace_partitions(new, path, schema, PARTS, ["bar_time"])
         return sum(r["count"] for r in moved)
     finally:
         batch.unpersist()
