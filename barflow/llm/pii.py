@@ -349,7 +349,8 @@ def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
     Spans are (start, end) in code points, end exclusive; spans of one kind do not overlap, those of two kinds may. Added spans overlap no
     base span. Kinds of added spans are those of base spans and "secret" (keys and tokens). Null text counts as empty and has none. Null and
     repeated ids are rows as any; an empty table gives no rows; columns of df that are not named are not read. No shuffle, no Python on the
-    executors.
+    executors. Generators have lengths (PROPOSE): an obfuscated address has at most 64 characters before its sign, labels of at most 63 and three endings of two to
+    24 letters; longer ones are no candidates, and only base patterns, which have no such lengths, find them.
     """
     rows, name = _found(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), text_col)
     return rows.select(id_col, *(F.col(name)[c].alias(c) for c in ("text", "base", "added")))

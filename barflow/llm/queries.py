@@ -232,4 +232,39 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word, array_to_string(base, ',') AS base_labels,
                array_to_string(list_sort(list_distinct(base || coalesce(y.labels, []::VARCHAR[]))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(y.best, 0.0)::DOUBLE END AS score
         FROM q LEFT JOIN y USING (r)""".replace("@templates@", ", ".join(f"({k}, '{label}', {sorted(set(text.lower().split()))})" for k, (label, text) in enumerate(licenses.TEMPLATES))),
+    "op13_conversations": r"""
+        WITH RECURSIVE k AS (
+            SELECT coalesce(conv_id::VARCHAR, ' ') AS cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS name FROM conversations
+        ), h AS (
+            SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, octet_length(name) + 1), lambda j: ord(substr(decode(name), j, 1))::BIGINT),
+                lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, n: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS f FROM k
+        ), d AS (
+            SELECT cid, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE f <> 0
+        ), o AS (
+            SELECT cid, turn, role, text, substr(role, 1, 1) AS ini, regexp_replace(text, '[\x20\x09-\x0D]+\z', '') AS bare, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d
+        ), q AS (
+            SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(ini) OVER (PARTITION BY cid ORDER BY i) || ini AS pair FROM o
+        ), chain(p, q, ins) AS (
+            VALUES (0, 0, []::VARCHAR[]), (1, 1, []), (2, 2, []), (3, 3, []), (0, 2, ['user:']), (1, 2, ['user:']), (3, 2, ['user:']), (2, 3, ['assistant:']),
+                   (0, 3, ['user:', 'assistant:']), (1, 3, ['user:', 'assistant:']), (3, 3, ['user:', 'assistant:']), (2, 2, ['assistant:', 'user:'])
+        ), step(q, ini, st, letter, said) AS (
+            VALUES (0, '', 0, 'D', ''), (1, '', 1, 'D', ''), (2, '', 2, 'D', ''), (3, '', 3, 'D', ''), (0, 's', 1, 'K', ''), (0, 'u', 2, 'K', ''), (1, 'u', 2, 'K', ''), (3, 'u', 2, 'K', ''), (2, 'a', 3, 'K', ''),
+                   (0, '', 2, 'R', 'user'), (1, '', 2, 'R', 'user'), (3, '', 2, 'R', 'user'), (2, '', 3, 'R', 'assistant')
+        ), dp(cid, i, st, best) AS (
+            SELECT DISTINCT cid, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} FROM d
+            UNION ALL
+            SELECT dp.cid, q.i, step.st, min({'cost': best.cost + 3 * len(ins) + CASE letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END,
+                'audit': best.audit || repeat('I', len(ins)) || letter, 'lines': best.lines || ins || CASE letter WHEN 'K' THEN [role || ':' || text] WHEN 'R' THEN [said || ':' || text] ELSE []::VARCHAR[] END})
+            FROM dp JOIN q ON q.cid = dp.cid AND q.i = dp.i + 1 JOIN chain ON chain.p = dp.st JOIN step ON step.q = chain.q AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate') AND (letter = 'R' OR step.ini = q.ini))
+            GROUP BY dp.cid, q.i, step.st
+        ), fig AS (
+            SELECT cid, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+                   count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM q GROUP BY cid
+        ), done AS (
+            SELECT dp.cid, min({'cost': best.cost + 3 * len(ins), 'audit': best.audit || repeat('I', len(ins)), 'lines': best.lines || ins}) AS best
+            FROM dp JOIN fig ON fig.cid = dp.cid AND fig.n = dp.i JOIN chain ON chain.p = dp.st AND chain.q IN (0, 3) GROUP BY dp.cid
+        )
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+               coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN fig ON fig.cid = coalesce(c.conv_id::VARCHAR, ' ') LEFT JOIN done ON done.cid = fig.cid""",
 }

@@ -113,7 +113,7 @@ def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray,
     # single precision where it is near enough; bounds are widened by more than rounding can move them
     reach = np.abs(queries).sum(1) * np.abs(x).max(initial=0)
     kind = np.float32 if reach.max(initial=0) < 2**40 else np.float64
-    slack = (1 + reach) * (1e-6 if kind is np.float32 else 1e-9) * 4
+    slack = (1 + reach) * (1e-6 if kind is np.float32 else 1e-9) * 4 * max(1.0, x.shape[1] / 64)
     lists = Lists(x, queries, kind)
     alive = own[:, None] != ids[None, :]
     going = np.arange(len(queries))
