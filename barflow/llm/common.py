@@ -94,16 +94,20 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Gives the memory that the process holds but no longer uses back to the system: Arrow's pool and the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, for mapInArrow; at its end the worker gives the memory that it holds but no longer uses back to the system. Workers live on after
-    their tasks, and Arrow's pool and the C library would keep it beside the next ones."""
+    """run, for mapInArrow; at its end the worker gives memory back, since workers live on after their tasks, beside the next ones."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return tidied
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Tables, cut, giving_back, raw, slices, tables
+from .common import Memo, Tables, cut, give_back, giving_back, raw, slices, tables
 from .components import components
 
 #: Counters of the frequency table: a shingle's frequency is at most its counter. 16 MB whatever the input.
@@ -104,6 +104,7 @@ def count_table(df: DataFrame, hashes) -> np.ndarray:
     out = np.zeros(COUNTERS, np.uint32)
     for r in df.mapInArrow(giving_back(count), "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
         out[r.part * (COUNTERS // PARTS) : (r.part + 1) * (COUNTERS // PARTS)] = np.frombuffer(r.counts, "<u4")
+    give_back()
     return out
 
 

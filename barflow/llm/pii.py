@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Kinds with base patterns, and all kinds.
 KINDS = ("email", "ip", "card", "phone")
 ALL = (*KINDS, "secret")
@@ -324,6 +326,7 @@ def fitted(spark: SparkSession) -> Finder:
     """The trees, fitted once a process: sentences and seeds are fixed, so they are always the same."""
     if not _FITTED:
         _FITTED.append(Finder(spark))
+        give_back()
     return _FITTED[0]
 
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, giving_back, slices, texts
+from .common import Memo, give_back, giving_back, slices, texts
 
 #: Labelled rows that the fit may use (the first by a hash of their ids).
 SAMPLE = 5000
@@ -181,7 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     fits = light.withColumns({"__sum": F.sum("__n").over(line.rowsBetween(Window.unboundedPreceding, 0)), "__k": F.row_number().over(line)})
     fits = fits.filter(F.col("__sum") <= SAMPLE_BYTES).select("__id", "__h", "__k")
     got = own.join(F.broadcast(fits), ["__id", "__h"]).groupBy("__k").agg(F.first("__t").alias("__t"), F.first("__y").alias("__y")).toArrow().sort_by("__k")
-    return Model(list(zip(got["__t"].to_pylist(), got["__y"].to_pylist(), strict=True)))
+    model = Model(list(zip(got["__t"].to_pylist(), got["__y"].to_pylist(), strict=True)))
+    del got
+    give_back()  # the driver goes on, without the texts
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
