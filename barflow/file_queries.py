@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +19,7 @@ from .streaming.bars import COLUMNS
 EXTERNAL = "bar_time AS datetime, open, high, low, close, volume::DOUBLE AS volume, open_interest AS hold"
 
 
-def _place(spark: SparkSession) -> str:
-    """A new folder's name in what spark.checkpoint.dir names; a session of one process may do without and gets a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{named or tempfile.gettempdir()}/files-{uuid.uuid4().hex}"
+_place = runs.scratch
 
 
 def _external(spark: SparkSession, sf: str) -> DataFrame:

@@ -94,5 +94,10 @@ def simple_time(text: Column) -> Column:
     return F.when(good, text.try_cast("timestamp_ntz"))
 
 
+def event_time(text: Column) -> Column:
+    """`YYYY-MM-DD HH:MM:SS` with up to six decimals or none, as a review or chart row has it; null for anything else."""
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(\.\d{1,6})?$"), text.try_cast("timestamp_ntz"))
+
+
 def start_label(end: Column, minutes: int) -> Column:
     return end - F.make_dt_interval(mins=F.lit(minutes))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.times import epoch_minute, floor_minute, minute_of_day, trading_day
 from ..plans.calendar import EVENING, AnySessions
 from ..schema import CLOSED, NIGHT
-from .ticks import deltas, valid_ticks
+from .ticks import BLOCK, deltas, row_before, running_sums, valid_ticks
 
 
 def bars_1m(rows: DataFrame, sessions: AnySessions, *, keys: list[str] = ["symbol"], night_rule: str = "session") -> DataFrame:  # noqa: B006
@@ -75,12 +75,12 @@ def all_periods(ticks: DataFrame, sessions: AnySessions, periods: tuple[int, ...
     return rolled.withColumn("period", F.concat(F.col("__n").cast("string"), F.lit("m"))).drop("__n")
 
 
-def consecutive_bars(rows: DataFrame, keys: list[str]) -> DataFrame:
+def consecutive_bars(rows: DataFrame, keys: list[str], *, block: int = BLOCK) -> DataFrame:
     """One-minute bars of runs of ticks in the same minute: a minute that comes again later is another bar."""
-    w = Window.partitionBy(*keys).orderBy("seq")
     m = epoch_minute(F.col("time"))
-    rows = rows.withColumn("__m", m).withColumn("__n", (F.lag("__m").over(w).isNull() | (F.lag("__m").over(w) != F.col("__m"))).cast("int"))
-    rows = rows.withColumn("__g", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = row_before(rows.withColumn("__m", m), keys, {"m": F.col("__m")}, "__b", block=block)
+    new = (F.col("__b").isNull() | (F.col("__b.m") != F.col("__m"))).cast("int")
+    rows = running_sums(rows.withColumn("__n", new).drop("__b"), keys, {"__g": F.col("__n")}, block=block)
     return rows.groupBy(*keys, "__g").agg(floor_minute(F.min_by("time", "seq")).alias("bar_time"), F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("delta_volume").alias("volume"), F.count("*").alias("tick_count")).withColumnRenamed("__g", "bar_no")
 
 

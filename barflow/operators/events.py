@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.config import ProfileConfig
+from .ticks import BLOCK, row_before
 
 
 def thresholds(ranges: DataFrame, cfg: ProfileConfig, keys: list[str]) -> DataFrame:
@@ -21,14 +22,14 @@ def guarded(ticks: DataFrame, available: Column) -> DataFrame:
     return ticks.filter(ok)
 
 
-def first_touch(zones: DataFrame, ticks: DataFrame, keys: list[str]) -> DataFrame:
+def first_touch(zones: DataFrame, ticks: DataFrame, keys: list[str], *, block: int = BLOCK) -> DataFrame:
     """zones that a price enters, with role, touch_seq, touch_time and touch_price. Coming from above is support, from below resistance.
 
     zones: keys, zone_no, lower, upper, a few dozen a key; joined by key to ticks, with one aggregation of which only the first
-    touch is kept, so nothing is sorted by zone.
+    touch is kept, so nothing is sorted by zone. The price before a tick is taken in blocks of seq, so nothing is sorted by key either.
     """
-    before = F.lag("price").over(Window.partitionBy(*keys).orderBy("seq"))
-    moves = ticks.select(*keys, "seq", "time", "price", before.alias("__b")).filter("__b IS NOT NULL AND __b <> price")
+    moves = row_before(ticks.select(*keys, "seq", "time", "price"), keys, {"price": F.col("price")}, "__p", block=block)
+    moves = moves.select(*keys, "seq", "time", "price", F.col("__p.price").alias("__b")).filter("__b IS NOT NULL AND __b <> price")
     role = F.when((F.col("__b") > F.col("upper")) & (F.col("price") <= F.col("upper")), "support").when((F.col("__b") < F.col("lower")) & (F.col("price") >= F.col("lower")), "resistance")
     hits = moves.join(zones, keys).withColumn("role", role).filter("role IS NOT NULL")
     first = hits.groupBy(*keys, "zone_no").agg(F.min(F.struct(F.col("seq").alias("touch_seq"), "role", F.col("time").alias("touch_time"), F.col("price").alias("touch_price"))).alias("t"))

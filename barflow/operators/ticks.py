@@ -29,6 +29,24 @@ def _carried(df: DataFrame, keys: list[str], state: Column, combine) -> DataFram
     return per.select(*keys, "__blk", combine(F.col("__state"), before).alias("__carry"))
 
 
+def running_sums(rows: DataFrame, keys: list[str], values: dict[str, Column], *, block: int = BLOCK) -> DataFrame:
+    """rows with the sums of values over a key's rows up to and with each, in order of seq."""
+    rows = _blocked(rows, block)
+    carry = _carried(rows, keys, F.struct(*(F.sum(v).alias(n) for n, v in values.items())), lambda s, w: F.struct(*(F.sum(s[n]).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(n) for n in values)))
+    inner = Window.partitionBy(*keys, "__blk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({n: F.sum(v).over(inner) for n, v in values.items()}).join(carry, [*keys, "__blk"], "left")
+    return rows.withColumns({n: F.col(n) + F.coalesce(F.col("__carry")[n], F.lit(0)) for n in values}).drop("__blk", "__carry")
+
+
+def row_before(rows: DataFrame, keys: list[str], fields: dict[str, Column], name: str, *, block: int = BLOCK) -> DataFrame:
+    """rows with a struct of the fields of the key's row before, in order of seq; null for the first."""
+    rows = _blocked(rows, block)
+    own = F.struct("seq", *(v.alias(n) for n, v in fields.items()))
+    carry = _carried(rows, keys, F.max(own), lambda s, w: F.lag(s).over(w))
+    inner = Window.partitionBy(*keys, "__blk").orderBy("seq")
+    return rows.withColumn(name, F.lag(own).over(inner)).join(carry, [*keys, "__blk"], "left").withColumn(name, F.coalesce(name, "__carry")).drop("__blk", "__carry")
+
+
 def with_verdict(ticks: DataFrame, sessions: AnySessions, *, order: tuple[str, ...] = ("price", "time", "session"), keys: list[str] = ["symbol"], block: int = BLOCK) -> DataFrame:  # noqa: B006
     """ticks with verdict: valid, or the first check in `order` that fails: price (null or not positive), time (before the last
     accepted tick's), session. Equal times are fine; rejected ticks do not move the baseline."""
@@ -76,16 +94,16 @@ def deltas(ticks: DataFrame, *, keys: list[str] = ["symbol"], max_gap_ms: int =
     return rows.withColumn("quality_flags", flags).drop("__blk", "__inner", "__carry", "__p")
 
 
-def session_vwap(rows: DataFrame, keys: list[str]) -> DataFrame:
+def session_vwap(rows: DataFrame, keys: list[str], *, block: int = BLOCK) -> DataFrame:
     """Running sum of price times delta over the running sum of deltas, on rows that have volume. keys: those of one session."""
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.filter("delta_volume > 0").withColumn("vwap", F.sum(F.col("price") * F.col("delta_volume")).over(w) / F.sum("delta_volume").over(w))
+    sums = {"__pv": F.col("price") * F.col("delta_volume"), "__v": F.col("delta_volume")}
+    return running_sums(rows.filter("delta_volume > 0"), keys, sums, block=block).withColumn("vwap", F.col("__pv") / F.col("__v")).drop(*sums)
 
 
-def relevant_ticks(rows: DataFrame, keys: list[str]) -> DataFrame:
+def relevant_ticks(rows: DataFrame, keys: list[str], *, block: int = BLOCK) -> DataFrame:
     """The first tick, and those with another price than the tick before or with volume."""
-    before = F.lag("price").over(Window.partitionBy(*keys).orderBy("seq"))
-    return rows.withColumn("__b", before).filter(F.col("__b").isNull() | (F.col("price") != F.col("__b")) | (F.col("delta_volume") > 0)).drop("__b")
+    rows = row_before(rows, keys, {"price": F.col("price")}, "__b", block=block)
+    return rows.filter(F.col("__b").isNull() | (F.col("price") != F.col("__b.price")) | (F.col("delta_volume") > 0)).drop("__b")
 
 
 def checked(rows: DataFrame, numeric: list[str], where: str = "row") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import zone_id
 from ..operators.charts import levels_with_events
-from ..operators.dml import delete, upsert, valid_review
+from ..operators.dml import BEHAVIORS, GRADES, MAX_COMMENT, QUALITIES, delete, upsert, valid_review
 from .pipeline import parse_day
 
 REVIEW_KEYS = ["trading_day", "instrument", "zone_id"]
@@ -23,6 +23,16 @@ ZONE_TEXT = ["node_types", "center", "lower", "upper"]
 LOG_LINES, CHARTS, STEPS = 5000, 16, ("1min", "profile", "visual")
 
 
+def health() -> dict:
+    """That the process answers, and what it is."""
+    return {"ok": True, "service": "barflow"}
+
+
+def config() -> dict:
+    """What a page needs to know before it asks: the steps of a run, and what a review may say."""
+    return {"steps": [*STEPS, "all"], "grades": list(GRADES), "behaviors": list(BEHAVIORS), "qualities": list(QUALITIES), "maxComment": MAX_COMMENT}
+
+
 def days(catalog: DataFrame) -> DataFrame:
     return catalog.select("day").distinct().orderBy(F.desc("day"))
 
@@ -38,7 +48,7 @@ def levels(level_rows: DataFrame, event_rows: DataFrame, reviews: DataFrame, day
     own = lambda df: df.filter((F.col("trading_day") == day) & (F.col("instrument") == instrument))
     joined = levels_with_events(own(level_rows), own(event_rows), ZONE_TEXT)
     named = joined.withColumn("zone_id", zone_id(F.col("trading_day"), F.col("instrument"), F.col("node_types"), F.col("lower"), F.col("upper"), F.col("available_time")))
-    return named.join(F.broadcast(own(reviews)), REVIEW_KEYS, "left")
+    return named.join(own(reviews), REVIEW_KEYS, "left")
 
 
 def put_review(reviews: DataFrame, change: DataFrame) -> DataFrame:

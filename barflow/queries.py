@@ -12,6 +12,7 @@ from .functions import times as T
 from .operators import bars, charts, dml, events, levels, profile, selection, series, ticks
 from .plans.calendar import NIGHT_0230, NIGHT_2300, STOCK_INDEX, RowSessions, Sessions, day_map, minute_dimension
 from .plans.config import Limits, ProfileConfig
+from .sources import runs
 from .sources.events import event_ticks, line_tape
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,7 +534,8 @@ def _zones(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    t, z = _valid(spark, sf), _zones(spark, sf)
+    # touches, limits, ends and reaches all read the accepted ticks, which are written once
+    t, z = runs.Stages(runs.scratch(spark))(_valid(spark, sf).select("symbol", "seq", "time", "price"), "ticks"), _zones(spark, sf)
     limits = events.thresholds(profile.minute_ranges(t, 1.0, KEY).withColumn("range_ticks", F.col("range_ticks") + 40), CONFIG, KEY)
     return events.outcomes(events.first_touch(z, t, KEY), t, limits, 1.0, KEY)
 

@@ -64,17 +64,32 @@ def finite(c: str) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.raise_error(F.concat(F.lit(f"{c} is no finite number in "), F.col("path"), F.lit(" row "), F.col("seq").cast("string")))).otherwise(x)
 
 
-def source_ticks(spark: SparkSession, paths: str | list[str], *, roots: list[str] | None = None) -> DataFrame:
+def chosen(spark: SparkSession, paths: str | list[str], *, skip: str | None = None, roots: list[str] | None = None, days: list[str] | None = None, max_bytes: int | None = None) -> list[str]:
+    """The files that a scan should read, decided from their listing alone: without those whose name holds `skip`, of these roots (leading letters, in any case) and
+    days (of names that end in _YYYYMMDD). A chosen file over max_bytes raises. The list is at the driver, as Spark's own list of a scan's files is."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    rows = spark.read.format("binaryFile").load(paths).select("path", "length", name.alias("name"))
+    if skip is not None:
+        rows = rows.filter(~F.col("name").contains(skip))
+    if roots is not None:
+        rows = rows.filter(F.upper(F.regexp_extract("name", "^([A-Za-z]+)", 1)).isin([r.upper() for r in roots]))
+    if days is not None:
+        rows = rows.filter(F.regexp_extract("name", r"_([0-9]{8})(\.csv)?(\.gz)?$", 1).isin(days))
+    found = sorted((r.path, r.length) for r in rows.collect())
+    if large := [p for p, n in found if max_bytes is not None and n > max_bytes]:
+        raise ValueError(f"too large: {large[0]}")
+    return [p for p, _ in found]
+
+
+def source_ticks(spark: SparkSession, paths: str | list[str], *, roots: list[str] | None = None, days: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
     """Source tick files as ticks: symbol, source_file, source_day, trading_day, seq, time, millis_of_day, price, cumulative volume and
-    turnover, open_interest. Continuous contracts are left out, and roots not asked for. A file with several instruments, or with a
-    trading day other than its own or the day before, raises."""
-    lines = _lines(spark, paths)
-    lines = lines.filter(~F.url_decode("path").contains(CONTINUOUS))
+    turnover, open_interest. Continuous contracts are left out, and roots and days not asked for: such files are not scanned. A file with several
+    instruments, or with a trading day other than its own or the day before, raises."""
+    own = chosen(spark, paths, skip=CONTINUOUS, roots=roots, days=days, max_bytes=max_bytes)
+    lines = _lines(spark, own) if own else spark.createDataFrame([], "path string, seq bigint, value string")
     raw = _csv(lines, SOURCE_TICK)
     name, day = identity(F.col("path"))
     raw = raw.withColumns({"source_file": name, "source_day": day})
-    if roots is not None:
-        raw = raw.filter(F.upper(F.regexp_extract("source_file", "^([A-Za-z]+)", 1)).isin([r.upper() for r in roots]))
     same = raw.groupBy("path").agg(F.min("InstrumentID").alias("__lo"), F.max("InstrumentID").alias("__hi"), F.collect_set("TradingDay").alias("__days"), F.max("source_day").alias("__d"))
     own = F.to_date("__d", "yyyyMMdd")
     allowed = F.array("__d", F.date_format(F.date_sub(own, 1), "yyyyMMdd"))
@@ -138,6 +153,29 @@ def jsonp_bars(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("seq", *(pick(i, c).alias(c) for i, c in enumerate(EXTERNAL_BAR)))
 
 
+#: Bytes of one response at most. A fixed value.
+RESPONSE_BYTES = 4 << 20
+
+
+def response_bars(spark: SparkSession, paths: str | list[str], *, max_bytes: int = RESPONSE_BYTES) -> DataFrame:
+    """path, seq (place by time, from 0) and the columns of an external bar of stored responses, in order of time within each. A response that is over max_bytes, is
+    not of the form `name=([...]);`, holds no bars, or holds a time twice, raises. A response is one row, so its bars are ordered within it."""
+    own = chosen(spark, paths, max_bytes=max_bytes)
+    body = spark.read.text(own, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", r"(?s)=\s*\((.*)\)\s*;", 1).alias("j")) if own else spark.createDataFrame([], "path string, j string")
+    short = dict(zip(EXTERNAL_BAR, "dohlcvp", strict=True))
+
+    def bar(r: Column) -> Column:
+        cells = F.from_json(r, "array<string>")
+        pick = lambda i, c: F.when(r.startswith("["), F.get(cells, i)).otherwise(F.coalesce(F.get_json_object(r, f"$.{short[c]}"), F.get_json_object(r, f"$.{c}")))
+        return F.struct(*(pick(i, c).alias(c) for i, c in enumerate(EXTERNAL_BAR)))
+
+    rows = body.withColumn("bars", F.array_sort(F.transform(F.from_json("j", "array<string>"), bar)))
+    times = F.transform("bars", lambda b: b["datetime"])
+    said = lambda text: F.raise_error(F.concat(F.lit(f"{text} in "), F.col("path"))).cast("boolean")
+    ok = F.when(F.col("bars").isNull(), said("no response")).when(F.size("bars") == 0, said("no bars")).when(F.size(F.array_distinct(times)) < F.size(times), said("a time twice")).otherwise(F.lit(True))
+    return rows.filter(ok).select("path", F.posexplode("bars").alias("seq", "b")).select("path", "seq", "b.*")
+
+
 def trade_dates(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Distinct trade dates of a JSON list or of lines; # begins a comment; YYYYMMDD or YYYY-MM-DD. Anything else raises, as does an
     empty calendar when it is used."""

@@ -48,7 +48,7 @@ def _own_year(rows: DataFrame) -> DataFrame:
 def upsert_raw(rows: DataFrame, path: str) -> int:
     """Takes rows (symbol, period, seq and the columns of an external bar) into the raw archive, the last of a time winning. All rows of all
     symbols, and what is there of their years, are checked before the first partition is written: a bar whose prices do not fit
-    together raises, and nothing has changed. Returns the partitions written. Writers of one archive take turns."""
+    together, or a time that is there twice, raises, and nothing has changed. Returns the partitions written. Writers of one archive take turns."""
     spark = rows.sparkSession
     good = F.when(consistent(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("inconsistent bar at "), F.col("datetime").cast("string"))))
     with exclusive(spark, path.rstrip("/")):
@@ -56,6 +56,9 @@ def upsert_raw(rows: DataFrame, path: str) -> int:
         cols = [f.name for f in spark.createDataFrame([], RAW).schema]
         batch = last_wins(batch, RAW_KEYS).select(*cols, "seq")
         old = _own_year(only(read_archive(spark, path, RAW), named_parts(batch, RAW_PARTS), RAW_PARTS)).filter(good)
+        twice = old.groupBy(*RAW_KEYS).count().filter("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"the archive has a time twice: {twice[0].symbol} {twice[0].period} {twice[0].datetime}")
         # all of it is computed, and so checked, into a folder of this run; only then are partitions exchanged
         staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
         upsert(old, batch, RAW_KEYS).write.parquet(staged)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, is_dataclass
@@ -18,6 +19,14 @@ from .store import path_of, write_report
 Stage = Callable[[DataFrame, str], DataFrame]
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in what spark.checkpoint.dir names; a session of one process may do without and gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{named or tempfile.gettempdir()}/files-{uuid.uuid4().hex}"
+
+
 def as_they_are(df: DataFrame, name: str) -> DataFrame:
     return df
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -166,11 +165,15 @@ class Processor(StatefulProcessor):
             self.handle.registerTimer(end)
 
     @staticmethod
-    def _frame(key: tuple, out: list[tuple[int, Bars]]) -> Iterator[pd.DataFrame]:
+    def _frame(key: tuple, out: list[tuple[int, Bars]]) -> Iterator:
+        import pandas as pd  # only in tasks
+
         for n, bars in out:
             yield pd.DataFrame({"symbol": key[0], "period": f"{n}m", **{c: bars[c] for c in BAR_FIELDS}})
 
     def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
         own, out = self._read(), []
         ticks = pd.concat(list(rows)).sort_values("seq", kind="stable")
         flush = ticks["flush"].to_numpy(bool)

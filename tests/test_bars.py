@@ -126,3 +126,31 @@ def test_charts(spark):
     placed = charts.positions(b, ["symbol"])
     assert [(r.x, r.label, r.minutes) for r in charts.breaks(placed, ["symbol"]).collect()] == [(1.5, "午休", 208)]
     assert charts.afternoon_x(placed, F.hour("bar_time") >= 13, ["symbol"]).first().x == 1.5
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_prefix_scans_in_blocks(spark, block):
+    """Whatever the blocks, running price by volume, relevant ticks and consecutive bars are those of a loop over each symbol's ticks."""
+    made = {f"s{k}": [(i, *t) for i, t in enumerate(trace(k, 120)) if t[1]] for k in range(3)}
+    rows = [(s, i, time, price, float(i % 4 > 1) * (i % 5)) for s, own in made.items() for i, time, price, *_ in own]
+    df = spark.createDataFrame(rows, "symbol string, seq long, time timestamp_ntz, price double, delta_volume double")
+    vwap, relevant, runs = {}, set(), []
+    for s in made:
+        paid = volume = 0.0
+        last = minute = None
+        for _, i, time, price, dv in (r for r in rows if r[0] == s):
+            if dv > 0:
+                paid, volume = paid + price * dv, volume + dv
+                vwap[s, i] = paid / volume
+            if price != last or dv > 0:
+                relevant.add((s, i))
+            last, now = price, time.replace(second=0)
+            if now != minute:
+                runs.append([s, now, price, price, price, price, 0.0, 0])
+            minute, own = now, runs[-1]
+            runs[-1] = [s, now, own[2], max(own[3], price), min(own[4], price), price, own[6] + dv, own[7] + 1]
+    got = {(r.symbol, r.seq): r.vwap for r in ticks.session_vwap(df, ["symbol"], block=block).collect()}
+    assert got.keys() == vwap.keys() and all(abs(got[k] - vwap[k]) < 1e-9 for k in got)
+    assert {(r.symbol, r.seq) for r in ticks.relevant_ticks(df, ["symbol"], block=block).collect()} == relevant
+    bars_ = bars.consecutive_bars(df, ["symbol"], block=block).orderBy("symbol", "bar_no").collect()
+    assert [[r.symbol, r.bar_time, r.open, r.high, r.low, r.close, r.volume, r.tick_count] for r in bars_] == runs

@@ -66,12 +66,13 @@ def test_find_levels(spark):
     assert next(r for r in got if "VPOC" in r.node_types).lower <= 55.5 <= next(r for r in got if "VPOC" in r.node_types).upper
 
 
-def test_events(spark):
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_events(spark, block):
     at = lambda s: dt.datetime(2026, 1, 9, 13, 0, s)
     t = spark.createDataFrame([("x", i, at(i), p) for i, p in enumerate((110.0, 104.0, 101.0, 103.0))], "symbol string, seq long, time timestamp_ntz, price double")
     zones = spark.createDataFrame([("x", 1, 99.0, 101.0), ("x", 2, 50.0, 60.0)], "symbol string, zone_no int, lower double, upper double")
     limits = events.thresholds(spark.createDataFrame([("x", 4.0)], "symbol string, range_ticks double"), CFG, ["symbol"])
-    r = events.outcomes(events.first_touch(zones, t, ["symbol"]), t, limits, 1.0, ["symbol"]).collect()
+    r = events.outcomes(events.first_touch(zones, t, ["symbol"], block=block), t, limits, 1.0, ["symbol"]).collect()
     assert [(x.zone_no, x.role, x.outcome, x.touch_seq, x.mfe_ticks, x.mae_ticks) for x in r] == [(1, "support", "bounce", 2, 2.0, 0.0)]
     assert {x.zone_no: x.role for x in events.roles(zones, t, ["symbol"]).collect()} == {1: "support", 2: "neutral"}
     with pytest.raises(Exception, match="look-ahead"):

@@ -29,6 +29,20 @@ def test_source_ticks(spark, tmp_path):
         files.source_ticks(spark, str(tmp_path / "IH*.csv")).collect()
 
 
+def test_scans_follow_the_listing(spark, tmp_path):
+    row = "20260109,{0},09:30:00,0,100,10,0,30,1\n"
+    for name, day, n in (("IF2603", "20260109", 1), ("rb 2605", "20260109", 1), ("IF连续", "20260109", 1), ("IF2603", "20260112", 50)):
+        (tmp_path / f"{name}_{day}.csv").write_text(f"{HEAD}\n" + row.format(name) * n)
+    read = lambda **o: files.source_ticks(spark, str(tmp_path), **o)
+    names = lambda df: sorted(f.rsplit("/", 1)[1] for f in df.inputFiles())
+    assert names(read(roots=["if"], days=["20260109"])) == ["IF2603_20260109.csv"]
+    assert len(names(read())) == 3 and not any("连续" in n or "%E8%BF%9E" in n for n in names(read()))
+    assert read(roots=["RB"]).count() == 1 and read(roots=["au"]).count() == 0
+    with pytest.raises(ValueError, match="too large.*20260112"):
+        read(max_bytes=1000)
+    assert names(read(days=["20260109"], max_bytes=1000)) == ["IF2603_20260109.csv", "rb%202605_20260109.csv"]
+
+
 def test_simple_ticks_and_calendar(spark, tmp_path):
     (tmp_path / "s.csv").write_text('update_date,symbol,last_price,volume\n"2026-07-01 09:29:00",IC2608,100.2,10\n2026-07-01 09:30:00.5,"IC2608",100.4,20\n')
     assert [(r.seq, r.time.microsecond, r.price) for r in files.simple_ticks(spark, str(tmp_path / "s.csv")).orderBy("seq").collect()] == [(1, 0, 100.2), (2, 500000, 100.4)]
