@@ -22,7 +22,7 @@ def plain(x):
     return f"{x:.9g}" if isinstance(x, float) else str(x)
 
 
-@pytest.mark.parametrize("name", ["b6_rollup_15m", "b7_all_periods", "a1_contract_stats", "f11_reasons", "a2_representative", "t9_calendar_day", "p5_value_area", "p1_smoothed_sigma2", "e3_outcomes", "v1_lod", "w3_gap_flags", "k3_upsert"])
+@pytest.mark.parametrize("name", ["b6_rollup_15m", "b7_all_periods", "a1_contract_stats", "f11_reasons", "a2_representative", "t9_calendar_day", "p5_value_area", "p1_smoothed_sigma2", "e3_outcomes", "v1_lod", "w3_gap_flags", "k3_upsert", "j8_mixed_sessions", "t12_last_minute", "b4_consecutive_bars", "w5_session_vwap", "f12_relevant_ticks", "e2_first_touch", "v3_payload", "d4_review_table", "k8_canonical_archive", "a10_run_counters"])
 def test_query_equals_its_twin(spark, duck, name):
     df = own.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
