@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.times import epoch_minute
+from ..functions.times import epoch_micros, epoch_minute
 
 
 def thinned(ticks: DataFrame, keys: list[str], bucket_ms: int = 1000) -> DataFrame:
     """Of each bucket of time the first, the last, the lowest and the highest tick (the first of equals), each once. One aggregation that holds four rows a
-    bucket; seq tells a key's ticks apart."""
-    t = F.floor(F.unix_millis(F.col("time").cast("timestamp")) / bucket_ms)
+    bucket; seq tells a key's ticks apart. Buckets lie in exchange time, whatever the session's zone."""
+    micros = epoch_micros(F.col("time"))
+    t = micros - F.pmod(micros, F.lit(bucket_ms * 1000))
     row, rank = F.struct(*ticks.columns), (F.col("seq"), F.struct("price", "seq"), F.struct("price", -F.col("seq")))
     four = F.array(F.min_by(row, rank[0]), F.max_by(row, rank[0]), F.min_by(row, rank[1]), F.max_by(row, rank[2]))
     per = ticks.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), t.alias("__t")).agg(four.alias("__r"))
