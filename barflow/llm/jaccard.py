@@ -24,8 +24,8 @@ from .components import components
 COUNTERS = 1 << 22
 #: Parts in which the table is summed.
 PARTS = 64
-#: A shingle is frequent if its counter is over this. The limit is that of a list's length, so it does not grow with the table; where counters are
-#: so full that most are over it, most shingles are indexed in pairs.
+#: A shingle is frequent if its counter is over this and the mean counter, which is what other shingles add to it; but over BLOCK it always is, so
+#: lists of single shingles stay short. Where counters are so full that most are over that, most shingles are indexed in pairs.
 FREQUENT = 64
 #: Words that each Python worker remembers.
 MEMO = 300_000
@@ -113,6 +113,7 @@ class Index:
 
     def __init__(self, counters: np.ndarray, num: int, den: int):
         self.counters, self.num, self.den = counters, num, den
+        self.limit = min(FREQUENT + int(counters.mean()), BLOCK)
 
     def missing(self, n: int) -> int:
         """How many tokens of a set of n can lack in a similar set."""
@@ -138,7 +139,7 @@ class Index:
         out = []
         for b in self.bands(len(t)):
             salt = mix(np.array([b + 1], np.uint64))
-            rare = int(np.searchsorted(c, FREQUENT, "right")) if (classes := self.classes(b)) else len(t)
+            rare = int(np.searchsorted(c, self.limit, "right")) if (classes := self.classes(b)) else len(t)
             alone, shared = t[: min(rare, need)], c[: min(rare, need)] > 1
             out.append(mix(alone[shared] ^ salt))
             if rare < need:
@@ -356,11 +357,17 @@ class Join:
         # one set stands for all rows with the same
         first = lambda c: F.first(c).alias(c)
         sets = keep(base.filter("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"), *map(first, ("n", "keys", "sketch"))), "sets")
+        # keys and sketches are most of what lies on disk, and are read from sets from here on
+        base = keep(base.select("id", "n", "fp"), "rows")
+        drop("base")
         entries = sets.select("id", F.xxhash64("fp").alias("one"), F.xxhash64(F.lit(1), "fp").alias("two"), F.explode("keys").alias("key"))
         lists = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"))
         # lists of the same members (told by a 128-bit sum of their sets, number and least id) give the same pairs: one stands for all
         lists = lists.filter("members > 1").groupBy("members", "first", "one", "two").agg(F.min("key").alias("key"))
-        entries = keep(entries.select("id", "key").join(lists.select("key", "members", "first"), "key"), "entries")
+        # written first, so that the shuffles of all entries by key, for the lists and for their members, do not lie on disk together
+        lists = keep(lists.select("key", "members", "first"), "lists")
+        entries = keep(entries.select("id", "key").join(lists, "key"), "entries")
+        drop("lists")
         sketches = sets.select("id", "n", "sketch")
         # first every member of a list with the list's smallest, then what is still apart
         stars = entries.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
@@ -381,7 +388,7 @@ class Join:
             links = links.unionByName(self.verify(found.select("a", "b"), "rest-links"))
         known = components(links, self.tables, "last")
         label = sets.select("fp", "id").join(known, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-        out = base.select("id", "n", "fp").join(label, "fp", "left")
+        out = base.join(label, "fp", "left")
         out = out.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
         with self.tables.tidied():
             return cut(out)
