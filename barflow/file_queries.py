@@ -211,7 +211,8 @@ def full_payload(spark, sf):
     f = _chart_frames(spark, sf)
     hist = profile.histograms(f["ticks"].withColumn("interval_vwap", F.col("price")), 1.0, CHART).filter("method = 'LTP'")
     scales = hist.withColumn("sigma", F.explode(F.array(F.lit(0.0), F.lit(1.0))))
-    docs = charts.full_documents(f["bars"], f["ticks"], f["zones"], f["events"], scales, SESSIONS, 1.0, bucket_ms=3_600_000)
+    # written once: each part reads them, and would make them anew
+    docs = runs.Stages(_place(spark))(charts.full_documents(f["bars"], f["ticks"], f["zones"], f["events"], scales, SESSIONS, 1.0, bucket_ms=3_600_000), "documents")
     profiles = "flatten(flatten(transform(map_entries(doc.profiles), m -> transform(map_entries(m.value), s -> transform(s.value, (v, i) -> struct(m.key AS method, s.key AS sigma, v[0] AS price, v[1] AS volume, i AS i))))))"
     rows = _flat(
         charts.read_document(docs, charts.FULL_SCHEMA),
